@@ -45,10 +45,10 @@ def add_buckets(df: DataFrame, order_by: str, buckets: int, out: str = "_bucket"
     splits = [float("-inf"), *sorted({c for c in cuts}), float("inf")]
     ready = df.withColumn("_order", value)
     return (
-        Bucketizer(splits=splits, inputCol="_order", outputCol="_b", handleInvalid="keep")
+        Bucketizer(splits=splits, inputCol="_order", outputCol="_place", handleInvalid="keep")
         .transform(ready)
-        .withColumn(out, F.coalesce(F.col("_b").cast("int"), F.lit(-1)))
-        .drop("_order", "_b")
+        .withColumn(out, F.coalesce(F.col("_place").cast("int"), F.lit(-1)))
+        .drop("_order", "_place")
     )
 
 
