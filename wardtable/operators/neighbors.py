@@ -72,7 +72,94 @@ class _Cells:
         self.rows = np.zeros(cells, dtype="int64")
         self.complete = np.zeros(cells, dtype="int64")
 
-    def nearest(
+    def nearest(self, y: np.ndarray) -> np.ndarray:
+        """Cell of each donor. Any choice is right; a near pivot makes tight boxes."""
+        out = np.zeros(len(y), dtype="int32")
+        for part in _chunks(len(y), self.pivots.size):
+            d = _distances(y[part], self.pivots, self.metric)
+            out[part] = np.where(np.isnan(d), np.inf, d).argmin(axis=1)
+        return out
+
+    def candidates(self, x: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each query row the cells that may hold one of its k nearest donors."""
+        out: list[np.ndarray] = []
+        filled = self.rows > 0
+        for part in _chunks(len(x), self.low.size):
+            q = x[part][:, None, :]
+            known = ~np.isnan(q)
+            with np.errstate(invalid="ignore"):
+                near = np.maximum(np.maximum(self.low - q, q - self.high), 0.0)
+                far = np.maximum(np.abs(self.high - q), np.abs(q - self.low))
+            near = np.where(known & ~self.holes, near, 0.0)
+            far = np.where(known, far, 0.0)
+            power = 1 if self.metric == "manhattan" else 2
+            n_known = known.sum(axis=2)
+            stretch = x.shape[1] / np.maximum(n_known, 1)
+            with np.errstate(invalid="ignore", over="ignore"):
+                lower = (near**power).sum(axis=2) * stretch
+                upper = (far**power).sum(axis=2) * stretch
+            upper = np.where(self.complete > 0, upper, np.inf)
+            order = np.argsort(upper, axis=1)
+            seen = np.cumsum(self.complete[order], axis=1)
+            place = (seen < k).sum(axis=1)
+            inside = place < upper.shape[1]
+            at = np.minimum(place, upper.shape[1] - 1)
+            bound = np.take_along_axis(upper, order, axis=1)[np.arange(len(at)), at]
+            bound = np.where(inside, bound, np.inf)
+            keep = (lower <= bound[:, None] * (1 + 1e-9)) & filled & (n_known > 0)
+            out += [np.flatnonzero(row) for row in keep]
+        return out
+
+
+def _learn_cells(donors: DataFrame, width: int, metric: str, block_rows: int) -> _Cells:
+    n = donors.count()
+    cells = max(1, min(MAX_CELLS, math.ceil(n / (block_rows / 2))))
+    picked = donors.orderBy(hash_number(F.col("_d")), "_d").limit(cells).select("_y").collect()
+    pivots = _matrix(pd.Series([r["_y"] for r in picked]), width)
+    if not len(pivots):
+        pivots = np.zeros((1, width))
+    found = _Cells(pivots, metric)
+
+    def boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            y = _matrix(pdf["_y"], width)
+            cell = found.nearest(y)
+            complete = ~np.isnan(y).any(axis=1)
+            for c in np.unique(cell):
+                mine = y[cell == c]
+                has = ~np.isnan(mine)
+                yield pd.DataFrame(
+                    {
+                        "cell": int(c),
+                        "pos": np.arange(width),
+                        "low": np.where(has, mine, np.inf).min(axis=0),
+                        "high": np.where(has, mine, -np.inf).max(axis=0),
+                        "holes": (~has).sum(axis=0),
+                        "n": len(mine),
+                        "complete": int(complete[cell == c].sum()),
+                    }
+                )
+
+    schema = "cell int, pos int, low double, high double, holes bigint, n bigint, complete bigint"
+    rows = (
+        donors.select("_y")
+        .mapInPandas(boxes, schema)
+        .groupBy("cell", "pos")
+        .agg(
+            F.min("low").alias("low"), F.max("high").alias("high"), F.sum("holes").alias("holes"),
+            F.sum("n").alias("n"), F.sum("complete").alias("complete"),
+        )
+        .collect()  # at most MAX_CELLS rows per coordinate
+    )
+    for r in rows:
+        c, p = r["cell"], r["pos"]
+        found.low[c, p], found.high[c, p] = r["low"], r["high"]
+        found.holes[c, p] = r["holes"] > 0
+        found.rows[c], found.complete[c] = r["n"], r["complete"]
+    return found
+
+
+def nearest(
     queries: DataFrame,
     donors: DataFrame,
     width: int,
