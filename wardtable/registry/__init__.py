@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["tables", "metrics"]
+MODULES = ["tables", "metrics", "forms"]
 
 
 def load_all():
