@@ -45,13 +45,26 @@ def exact_quantiles(
     small: int = SMALL_COLUMN,
     read_limit: int = READ_LIMIT,
 ) -> dict[str, list[float | None]]:
-    """Quantiles per column, missing values left out; an empty column gives nulls."""
+    """Quantiles per column, missing values left out; an empty column gives nulls.
+
+    The wanted columns are kept (memory, then disk) while the few passes run, so the
+    input is computed once; a lost copy is computed again from its source.
+    """
     columns = list(columns)
     if not columns:
         return {}
     values = df.select(
         *[F.nanvl(col(c).cast("double"), F.lit(None)).alias(f"v{i}") for i, c in enumerate(columns)]
-    )
+    ).persist()
+    try:
+        return _quantiles(values, columns, shares, small, read_limit)
+    finally:
+        values.unpersist()
+
+
+def _quantiles(
+    values: DataFrame, columns: list[str], shares: Sequence[float], small: int, read_limit: int
+) -> dict[str, list[float | None]]:
     first = values.agg(
         *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))],
         *[F.min(f"v{i}").alias(f"lo{i}") for i in range(len(columns))],

@@ -158,16 +158,19 @@ def quantile_recode(
     """
     shares = [i / q for i in range(q + 1)]
     found = exact_quantiles(df, columns, shares, small)
+    return df.select("*", *_labels(found, suffix, on_ties))
+
+
+def _labels(found: dict[str, list], suffix: str, on_ties: str) -> list[Column]:
     labels = []
-    for c in columns:
-        edges = found[c]
+    for c, edges in found.items():
         if edges[0] is None:
             labels.append(F.lit(None).cast("int").alias(c + suffix))
             continue
         if on_ties == "error" and len(set(edges)) < len(edges):
             raise ValueError(f"quantiles of {c} coincide: {edges}")
         labels.append(interval_labels(col(c), edges).alias(c + suffix))
-    return df.select("*", *labels)
+    return labels
 
 
 def outliers_and_quartiles(
@@ -175,11 +178,19 @@ def outliers_and_quartiles(
 ) -> DataFrame:
     """Null outliers beyond ``k`` interquartile ranges, then add quartile labels.
 
-    Columns that do not exist are skipped.
+    Columns that do not exist are skipped. The measured columns are kept while limits and
+    quartiles are found, so the input is computed once for both.
     """
     present = [c for c in columns if c in df.columns]
-    cleaned = clean_outliers(df, outlier_limits(df, present, k))
-    return quantile_recode(cleaned, present, on_ties=on_ties)
+    if not present:
+        return df
+    measured = df.select(*[col(c) for c in present]).persist()
+    try:
+        limits = outlier_limits(measured, present, k)
+        edges = exact_quantiles(clean_outliers(measured, limits), present, [0, 0.25, 0.5, 0.75, 1])
+    finally:
+        measured.unpersist()
+    return clean_outliers(df, limits).select("*", *_labels(edges, "_recoded", on_ties))
 
 
 # --- profile ----------------------------------------------------------------

@@ -329,11 +329,21 @@ def final_columns(wide: DataFrame) -> DataFrame:
 
 
 def build(
-    catalog: dict[str, DataFrame], keys: Keys = KEYS, on_admission: bool = False
+    catalog: dict[str, DataFrame],
+    keys: Keys = KEYS,
+    on_admission: bool = False,
+    stable_columns: bool = True,
 ) -> dict[str, DataFrame]:
-    """Every result table by name, lazily; see ``save_results`` for the sinks."""
+    """Every result table by name, lazily; see ``save_results`` for the sinks.
+
+    ``stable_columns`` takes the organism columns from the dictionary: one small job instead
+    of one pass over each form, and the same columns on every run. A group that a form never
+    mentions is then a column of zeros; without it the column is left out.
+    """
     infections_form = catalog["tbl_infecciones_previas"]
     organisms = organism_dictionary(catalog["tbl_microorganismos"])
+    labels = R.level_values(organisms, "label") if stable_columns else None
+    results = sorted([*labels, NEGATIVE]) if stable_columns else None
     out = {
         "patients": patients(catalog["tbl_paciente"], catalog["tbl_personid2center"], infections_form, keys),
         "comorbidities": comorbidities(catalog["tbl_comorbilidad"]),
@@ -342,12 +352,12 @@ def build(
         "vital_signs": vital_signs(catalog["tbl_signos"], keys),
         "sepsis_labs": sepsis_labs(catalog["tbl_sepsis"], keys),
         "organisms": organisms,
-        "blood_cultures": blood_cultures(catalog["tbl_hemocultivo_de_urgencias"], organisms, keys),
-        "colonisations": colonisations(catalog["tbl_colonizaciones_previas"], organisms, keys),
-        "other_cultures": other_cultures(catalog["tbl_otros_cultivos_en_urgencias"], organisms, keys),
+        "blood_cultures": blood_cultures(catalog["tbl_hemocultivo_de_urgencias"], organisms, keys, results),
+        "colonisations": colonisations(catalog["tbl_colonizaciones_previas"], organisms, keys, labels),
+        "other_cultures": other_cultures(catalog["tbl_otros_cultivos_en_urgencias"], organisms, keys, results),
     }
     groups = infection_groups(infections_form, organisms)
-    out["previous_infections"] = previous_infections(groups, keys)
+    out["previous_infections"] = previous_infections(groups, keys, labels)
     out["infections_complete"] = infections_complete(out["previous_infections"], groups, keys, on_admission)
     forms = ["comorbidities", "risk_factors", "sepsis_labs", "vital_signs", "symptoms", "other_cultures"]
     wide = wide_table(
