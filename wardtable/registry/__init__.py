@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["tables", "metrics", "forms"]
+MODULES = ["tables", "metrics", "forms", "learning"]
 
 
 def load_all():
