@@ -86,12 +86,12 @@ def random_candidates(space: dict, n: int, seed: int = SEED) -> list[dict]:
 METRICS = ["f1", "roc_auc", "accuracy", "recall"]
 
 
-def _in_threads(work: Sequence[Callable], threads: int) -> list:
+def _in_threads(spark: SparkSession, work: Sequence[Callable], threads: int) -> list:
     """Runs driver calls that submit Spark jobs side by side, results in order."""
     if threads <= 1:
         return [w() for w in work]
     with ThreadPoolExecutor(max_workers=threads) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(w)) for w in work]]
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(w)) for w in work]]
 
 
 def cross_validate(
@@ -125,7 +125,7 @@ def search(
     for c in candidates:
         models.ignored_parameters(family, c)  # fails on a bad name before any job
     results = _in_threads(
-        [lambda c=c: cross_validate(df, family, c, label, fold, key) for c in candidates], threads
+        df.sparkSession, [lambda c=c: cross_validate(df, family, c, label, fold, key) for c in candidates], threads
     )
     rows = []
     for i, (c, per_fold) in enumerate(zip(candidates, results)):
@@ -245,7 +245,7 @@ def run_trials(
             literal_table(spark, [result], TRIAL_SCHEMA).write.mode("append").parquet(log_path)
         return result
 
-    rows = _in_threads([lambda i=i, c=c: one(i, c) for i, c in enumerate(candidates)], threads)
+    rows = _in_threads(spark, [lambda i=i, c=c: one(i, c) for i, c in enumerate(candidates)], threads)
     return literal_table(spark, rows, TRIAL_SCHEMA)
 
 
@@ -343,7 +343,7 @@ def eliminate_features(
         rows = evaluate.class_scores(scored, label, "prediction", by=["n_features"]).collect()
         return {r["n_features"]: r["f1"] for r in rows}
 
-    per_fold = _in_threads([lambda f=f: one(f) for f in folds], threads)
+    per_fold = _in_threads(df.sparkSession, [lambda f=f: one(f) for f in folds], threads)
     sizes = sorted(per_fold[0])
     means = {n: float(np.mean([s[n] for s in per_fold])) for n in sizes}
     best = min(sizes, key=lambda n: (-means[n], n))

@@ -6,6 +6,8 @@ run, on any cluster, sees the same parts.
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -69,6 +71,20 @@ def imputed_set(df: DataFrame, limit: float = 0.1, key: str = KEY) -> DataFrame:
     return impute_all(kept, key)
 
 
+CELLS_PER_TASK = 2_000_000
+
+
+def sized(df: DataFrame, width: int) -> DataFrame:
+    """Persisted table on no more partitions than its size is worth.
+
+    Iterative fits run one aggregate per step, so on a small table the number of tasks is
+    the cost; a large one keeps every partition it has. Merging partitions moves no rows.
+    """
+    df = df.persist()
+    wanted = max(1, math.ceil(df.count() * (width + 1) / CELLS_PER_TASK))
+    return df.coalesce(wanted)
+
+
 @dataclass
 class Parts:
     """Scaled, assembled parts of one data set. The scaler is learnt on the training rows."""
@@ -79,11 +95,6 @@ class Parts:
     validation: DataFrame | None
     scaler: MinMax | None
 
-    def release(self) -> None:
-        for part in (self.train, self.test, self.validation):
-            if part is not None:
-                part.unpersist()
-
 
 def prepare(
     df: DataFrame,
@@ -115,7 +126,7 @@ def prepare(
         if with_folds and folds:
             part = stratified_folds(part, key, label, folds, seed)
             keep.append("fold")
-        return M.assemble(part, features, label, keep).persist()
+        return sized(M.assemble(part, features, label, keep), len(features))
 
     own = MinMax.fit(tested, features) if scale and refit_on_test else None
     return Parts(
@@ -174,17 +185,11 @@ def experiment(
         )
         best = L.first_of_front(S.complete_trials(log), "f1", "log_loss", "trial_id").first()
         if best is not None:
-            fitted[family] = M.fit(parts.train, family, _params(best["params"]), label, key)
+            fitted[family] = M.fit(parts.train, family, json.loads(best["params"]), label, key)
         logs = log if logs is None else logs.unionByName(log)
     return Experiment(logs, compare_on(fitted, parts.test, label), fitted, parts)
 
 
-def _params(text: str) -> dict:
-    import json
-
-    return json.loads(text)
-
-
 def run_testing(
     df: DataFrame,
     families: dict[str, dict],
@@ -207,7 +212,7 @@ def run_testing(
         parts.train, families, label, n_iter, seed=seed, key=key, threads=threads
     )
     best = L.arg_max(summary, "best_score", "model").first()
-    model = M.fit(parts.train, best["model"], _params(best["best_params"]), label, key)
+    model = M.fit(parts.train, best["model"], json.loads(best["best_params"]), label, key)
     scored = M.score_rows(model, parts.test, label)
     return {
         "summary": summary,

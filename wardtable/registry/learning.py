@@ -130,14 +130,14 @@ def _folded(t, folds=3):
 
 @query("grid_search")
 def _(t):
-    grid = {"C": [0.1, 10], "penalty": ["l2", "l1"], "solver": ["saga"]}
+    grid = {"C": [0.1, 10], "penalty": ["l2", "l1"], "max_iter": [40], "solver": ["saga"]}
     return S.cv_search(_folded(t).train, {"logistic_regression": grid}, MP.LABEL)[1]
 
 
 @query("random_search")
 def _(t):
     spaces = {
-        "logistic_regression": {"C": S.LogUniform(0.1, 500), "penalty": ["l2", "l1", "elasticnet"]},
+        "logistic_regression": {"C": S.LogUniform(0.1, 500), "penalty": ["l2", "l1", "elasticnet"], "max_iter": [40]},
         "bernoulli_bayes": {"alpha": S.Uniform(0.1, 2.0), "fit_prior": [True, False], "binarize": S.Uniform(0.0, 2.0)},
     }
     return S.cv_search(_folded(t).train, spaces, MP.LABEL, n_iter=3)[0].drop("elapsed_time")
