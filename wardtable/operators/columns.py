@@ -96,20 +96,20 @@ def fill_missing(df: DataFrame, value, only: Iterable[str] | None = None) -> Dat
     value's text. Dates and nested columns stay missing: a column has one type.
     """
     only = set(df.columns if only is None else only)
-    out = []
+    filled = {}
     for f in df.schema.fields:
+        if f.name not in only:
+            continue
         c = col(f.name)
-        if f.name in only:
-            if isinstance(f.dataType, T.NumericType):
-                number = int(value) if isinstance(value, bool) else value
-                if not isinstance(number, str):
-                    c = F.coalesce(c, F.lit(number).cast(f.dataType))
-            elif isinstance(f.dataType, T.BooleanType):
-                c = F.coalesce(c, F.lit(bool(value)))
-            elif isinstance(f.dataType, T.StringType):
-                c = F.coalesce(c, F.lit(str(value)))
-        out.append(c.alias(f.name))
-    return df.select(*out)
+        if isinstance(f.dataType, T.NumericType):
+            number = int(value) if isinstance(value, bool) else value
+            if not isinstance(number, str):
+                filled[f.name] = F.coalesce(c, F.lit(number).cast(f.dataType))
+        elif isinstance(f.dataType, T.BooleanType):
+            filled[f.name] = F.coalesce(c, F.lit(bool(value)))
+        elif isinstance(f.dataType, T.StringType):
+            filled[f.name] = F.coalesce(c, F.lit(str(value)))
+    return df.withColumns(filled) if filled else df
 
 
 def combine_columns(df: DataFrame, names: Sequence[str], new_name: str) -> DataFrame:

@@ -48,8 +48,11 @@ def join_with_suffixes(
     """Key join; other columns that exist on both sides get the suffixes."""
     keys = list(keys)
     both = (set(left.columns) & set(right.columns)) - set(keys)
-    a = left.select(*[col(c).alias(c + suffixes[0] if c in both else c) for c in left.columns])
-    b = right.select(*[col(c).alias(c + suffixes[1] if c in both else c) for c in right.columns])
+    a, b = (
+        # Only tables with a collision need another projection: wide plans are slow to analyse.
+        side.withColumnsRenamed({c: c + suffix for c in both}) if both else side
+        for side, suffix in zip((left, right), suffixes)
+    )
     if not null_keys_match:
         return a.join(b, keys, how)
     renamed = b.select(*[col(c).alias(f"_k_{c}" if c in keys else c) for c in b.columns])

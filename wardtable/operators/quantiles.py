@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from wardtable.functions.expressions import col
 
-SMALL_COLUMN = 1_000_000
+SMALL_COLUMN = 200_000
 READ_LIMIT = 20_000
 SKETCH = 10_000
 
@@ -87,9 +87,10 @@ def _quantiles(
             for s in shares:
                 place = s * (n - 1)
                 rank = min(int(math.floor(place)), max(n - 2, 0))
-                targets.append(
-                    _Target(f"v{i}", s, rank, place - rank, first[f"lo{i}"], first[f"hi{i}"], 0, n)
-                )
+                target = _Target(f"v{i}", s, rank, place - rank, first[f"lo{i}"], first[f"hi{i}"], 0, n)
+                if s in (0, 1):
+                    target.value = target.high if s else target.low
+                targets.append(target)
     _narrow(values, targets, read_limit)
     done = iter(targets)
     for i, n in enumerate(counts):
@@ -99,24 +100,34 @@ def _quantiles(
 
 
 def _narrow(values: DataFrame, targets: list[_Target], read_limit: int) -> None:
-    open_ = [t for t in targets if t.low < t.high]
     for t in targets:
-        if t.low == t.high:
+        if t.value is None and t.low == t.high:
             t.value = t.low
+    open_ = [t for t in targets if t.value is None]
     while True:
-        wide = [t for t in open_ if t.inside > read_limit and t.low < t.high]
+        wide = [t for t in open_ if t.value is None and t.inside > read_limit and t.low < t.high]
         if not wide:
             break
-        aggs = []
-        for k, t in enumerate(wide):
-            c = F.col(t.column)
-            within = F.when((c >= t.low) & (c <= t.high), c)
+        # Targets that share a bracket (all of a column's, at first) share one sketch.
+        shared: dict[tuple, list[float]] = {}
+        places = []
+        for t in wide:
             here = (t.rank - t.below) / t.inside
             margin = 2.0 / SKETCH
-            ends = [max(0.0, here - margin), min(1.0, here + margin + 2.0 / t.inside)]
-            aggs.append(F.percentile_approx(within, ends, SKETCH).alias(f"e{k}"))
-        ends_row = values.agg(*aggs).first()
-        tries = [tuple(ends_row[f"e{k}"]) for k in range(len(wide))]
+            ends = shared.setdefault((t.column, t.low, t.high), [])
+            places.append(((t.column, t.low, t.high), len(ends)))
+            ends += [max(0.0, here - margin), min(1.0, here + margin + 2.0 / t.inside)]
+        brackets = list(shared)
+        found = values.agg(
+            *[
+                F.percentile_approx(
+                    F.when((F.col(c) >= low) & (F.col(c) <= high), F.col(c)), shared[(c, low, high)], SKETCH
+                ).alias(f"e{k}")
+                for k, (c, low, high) in enumerate(brackets)
+            ]
+        ).first()
+        ends_of = {b: found[f"e{k}"] for k, b in enumerate(brackets)}
+        tries = [(ends_of[b][i], ends_of[b][i + 1]) for b, i in places]
         checks = []
         for k, (t, (lo, hi)) in enumerate(zip(wide, tries)):
             c = F.col(t.column)

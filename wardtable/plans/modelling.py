@@ -71,7 +71,7 @@ def imputed_set(df: DataFrame, limit: float = 0.1, key: str = KEY) -> DataFrame:
     return impute_all(kept, key)
 
 
-CELLS_PER_TASK = 2_000_000
+CELLS_PER_TASK = 500_000
 
 
 def sized(df: DataFrame, width: int) -> DataFrame:
@@ -113,6 +113,8 @@ def prepare(
     ``refit_on_test`` scales the test rows by their own range (a leak; for comparison only).
     """
     features = list(features or C.other_columns(df, [label, key]))
+    # Kept while the parts are cut from it, so the data set is computed once.
+    df = df.select(*[col(c) for c in (key, label, *features)]).persist()
     if validation:
         train, held, tested = three_way(df, key, validation, test, seed)
     else:
@@ -129,9 +131,11 @@ def prepare(
         return sized(M.assemble(part, features, label, keep), len(features))
 
     own = MinMax.fit(tested, features) if scale and refit_on_test else None
-    return Parts(
+    parts = Parts(
         features, ready(train, True), ready(tested, own=own), ready(held) if held is not None else None, scaler
     )
+    df.unpersist()
+    return parts
 
 
 def compare_on(models: dict[str, M.Fitted], test: DataFrame, label: str) -> DataFrame:
