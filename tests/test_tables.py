@@ -79,6 +79,20 @@ def test_collision_suffixes_and_person_fanout(spark, rows):
     assert rows(J.join_person(left, right, "p", "adm", on_admission=True), "adm", "v_x", "v_y") == [("a", 10, 1), ("b", 20, 2)]
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_hot_keys_join_as_any_other(spark, rows, how):
+    left = spark.createDataFrame([(1, i) for i in range(90)] + [(2, 0), (3, 0), (None, 0), (4, 0), (4, 0)], "k int, a int")
+    right = spark.createDataFrame([(1, 0), (1, 1), (5, 0), (None, 9)] + [(2, i) for i in range(60)], "k int, b int")
+    plain = rows(left.join(right, "k", how))
+    assert rows(J.balanced_join(left, right, ["k"], how, hot_rows=20)) == plain
+    assert rows(J.balanced_join(left, right, ["k"], how, hot_rows=10**6)) == plain
+    two = [d.withColumn("j", F.lit("x")) for d in (left, right)]
+    assert rows(J.balanced_join(*two, ["k", "j"], how, hot_rows=20), "k", "a", "b") == plain
+    unique = right.dropDuplicates(["k"])
+    assert rows(J.balanced_join(left, unique, ["k"], how, right_unique=True, hot_rows=20)) == rows(left.join(unique, "k", how))
+    assert J.hot_keys(left, ["k"], 20) == [(1,)]
+
+
 def test_null_keys_match_only_on_request(spark):
     a = spark.createDataFrame([(None, 1)], "k int, x int")
     b = spark.createDataFrame([(None, 2)], "k int, y int")
@@ -144,14 +158,10 @@ def test_scaler_learns_on_train_only(spark):
 
 def test_drop_correlated_keeps_the_earlier(spark):
     df = spark.range(50).select(F.col("id").alias("a"), (F.col("id") * 2).alias("b"), (-F.col("id")).alias("c"), F.expr("id % 7").alias("d"))
-    kept, pairs = C_drop(df)
+    kept, pairs = S.drop_correlated(df, 0.95)
     assert kept.columns == ["a", "d"] and {r["dropped"] for r in pairs.collect()} == {"b", "c"}
 
 
-def C_drop(df):
-    return S.drop_correlated(df, 0.95)
-
-
 def test_spearman(spark):
     df = spark.range(1, 40).select(F.col("id").alias("a"), F.expr("id * id * id").alias("b"))
     assert S.correlations(df, ["a", "b"], "spearman").first()["r"] == pytest.approx(1.0)

@@ -18,6 +18,9 @@ from wardtable.functions.expressions import col, normalise_code
 from wardtable.operators.columns import fill_missing, other_columns
 
 BROADCAST_ROWS = 100_000
+HOT_ROWS = 1_000_000  # rows of one key that are worth spreading over several tasks
+HOT_KEYS = 200  # beyond the 200 most frequent, a key holds less than 1/200 of the rows
+SALTS = 32
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -29,6 +32,63 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 # --- joins ------------------------------------------------------------------
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> list[tuple]:
+    """The keys with more than ``rows`` rows, at most ``HOT_KEYS`` of them (pre-aggregated)."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    top = counts.filter(F.col("_n") > (HOT_ROWS if rows is None else rows)).orderBy(F.desc("_n"), *keys).limit(HOT_KEYS)
+    found = [tuple(r[k] for k in keys) for r in top.collect()]
+    return [f for f in found if None not in f]
+
+
+def _is_one_of(keys: Sequence[str], hot: Sequence[tuple]) -> Column:
+    if len(keys) == 1:
+        return F.coalesce(col(keys[0]).isin([h[0] for h in hot]), F.lit(False))
+    rows = [reduce(lambda a, b: a & b, [col(k) == F.lit(v) for k, v in zip(keys, h)]) for h in hot]
+    return F.coalesce(reduce(lambda a, b: a | b, rows, F.lit(False)), F.lit(False))
+
+
+def balanced_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    how: str = "left",
+    right_unique: bool = False,
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """Left or inner key join that stays even when one key owns a large share of either side.
+
+    Rows of a hot key are dealt over ``SALTS`` parts and the other side's rows of that key are
+    copied to each part; all other keys join as usual. Exact in every case: a key that is hot
+    on the left keeps each left row in one part; one that is hot only on the right certainly
+    has a match, so its left rows may be copied. Without hot keys it is a plain join.
+    """
+    keys = list(keys)
+    hot_left = hot_keys(left, keys, hot_rows)
+    hot_right = [] if right_unique else [h for h in hot_keys(right, keys, hot_rows) if h not in hot_left]
+    if not hot_left and not hot_right:
+        return left.join(right, keys, how)
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    parts = []
+    if hot_left:
+        a, b = left.filter(_is_one_of(keys, hot_left)), right.filter(_is_one_of(keys, hot_left))
+        parts.append(_spread(a).join(b.withColumn("_salt", every), [*keys, "_salt"], how).drop("_salt"))
+    if hot_right:
+        a, b = left.filter(_is_one_of(keys, hot_right)), right.filter(_is_one_of(keys, hot_right))
+        parts.append(a.withColumn("_salt", every).join(_spread(b), [*keys, "_salt"], "inner").drop("_salt"))
+    hot = hot_left + hot_right
+    out = left.filter(~_is_one_of(keys, hot)).join(right.filter(~_is_one_of(keys, hot)), keys, how)
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Part number from the row's content, never from its position: a task that runs again
+    after an executor is lost must send each row to the same part as before."""
+    content = F.xxhash64(*[col(c) for c in df.columns])
+    return df.withColumn("_salt", F.pmod(content, F.lit(SALTS)).cast("int"))
+
+
 def natural_left_join(left: DataFrame, right: DataFrame) -> DataFrame:
     """Left join on every column the two tables share."""
     shared = sorted(set(left.columns) & set(right.columns))
@@ -44,8 +104,12 @@ def join_with_suffixes(
     how: str = "left",
     suffixes: tuple[str, str] = ("_x", "_y"),
     null_keys_match: bool = False,
+    balance: bool = False,
 ) -> DataFrame:
-    """Key join; other columns that exist on both sides get the suffixes."""
+    """Key join; other columns that exist on both sides get the suffixes.
+
+    ``balance`` spreads keys that own a large share of the rows (see ``balanced_join``).
+    """
     keys = list(keys)
     both = (set(left.columns) & set(right.columns)) - set(keys)
     a, b = (
@@ -54,15 +118,21 @@ def join_with_suffixes(
         for side, suffix in zip((left, right), suffixes)
     )
     if not null_keys_match:
-        return a.join(b, keys, how)
+        return balanced_join(a, b, keys, how) if balance else a.join(b, keys, how)
     renamed = b.select(*[col(c).alias(f"_k_{c}" if c in keys else c) for c in b.columns])
     condition = reduce(lambda x, y: x & y, [a[k].eqNullSafe(renamed[f"_k_{k}"]) for k in keys])
     return a.join(renamed, condition, how).drop(*[f"_k_{k}" for k in keys])
 
 
-def join_forms(base: DataFrame, forms: Iterable[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Chain of left joins on the same keys: every step reuses the base partitioning."""
-    return reduce(lambda a, b: join_with_suffixes(a, b, keys), forms, base)
+def join_forms(
+    base: DataFrame, forms: Iterable[DataFrame], keys: Sequence[str], balance: bool = False
+) -> DataFrame:
+    """Chain of left joins on the same keys: every step reuses the base partitioning.
+
+    Joins on the person alone should ``balance``: one person may own many rows, while
+    person and admission together spread well.
+    """
+    return reduce(lambda a, b: join_with_suffixes(a, b, keys, balance=balance), forms, base)
 
 
 def join_person(
@@ -81,7 +151,7 @@ def join_person(
     """
     if on_admission and admission in right.columns:
         return join_with_suffixes(left, right, [person, admission], how)
-    return join_with_suffixes(left, right.drop(admission), [person], how)
+    return join_with_suffixes(left, right.drop(admission), [person], how, balance=True)
 
 
 def join_zero_filled(
@@ -97,7 +167,7 @@ def exists_flag(df: DataFrame, other: DataFrame, keys: Sequence[str], out: str)
     """1 where the key occurs in ``other``, else 0. Keys are made unique first."""
     hits = other.select(*keys).distinct().withColumn("_hit", F.lit(1))
     return (
-        df.join(hits, list(keys), "left")
+        balanced_join(df, hits, keys, right_unique=True)
         .withColumn(out, F.coalesce(F.col("_hit"), F.lit(0)))
         .drop("_hit")
     )

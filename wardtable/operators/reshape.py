@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardtable.functions.expressions import col
+from wardtable.operators.joins import balanced_join
 
 MAX_LEVELS = 5_000
 
@@ -90,11 +91,11 @@ def row_weight(
     """``1 / rows of the person`` and a flag for persons with more than one row.
 
     Counted with a pre-aggregating ``groupBy`` and joined back, not with a window: a
-    window would bring all rows of one person into one task.
+    window would bring all rows of one person into one task. The join spreads such persons.
     """
     counts = df.groupBy(person).agg(F.count(F.lit(1)).alias("_rows"))
     return (
-        df.join(counts, person, "left")
+        balanced_join(df, counts, [person], right_unique=True)
         .withColumn(weight, F.lit(1.0) / F.col("_rows"))
         .withColumn(shared, F.when(F.col(weight) < 1, 1).otherwise(0))
         .drop("_rows")

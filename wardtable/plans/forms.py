@@ -96,7 +96,7 @@ def patients(patient: DataFrame, centers: DataFrame, infections: DataFrame, keys
         J.natural_left_join(patient, centers), infections, [keys.person], "inf_previa_sino"
     )
     resistant = S.any_positive(infections, [keys.person], "bmr_infec_previa", "bmr_infec_previa")
-    joined = J.join_forms(flagged, [resistant], [keys.person])
+    joined = J.join_forms(flagged, [resistant], [keys.person], balance=True)
     return C.fill_missing(joined, False).withColumn("bmr_infec_previa", F.col("bmr_infec_previa").cast("int"))
 
 
@@ -203,7 +203,7 @@ def visits(groups: DataFrame, keys: Keys = KEYS) -> tuple[DataFrame, DataFrame]:
     count = S.distinct_per_key(dates, [keys.person], "fecha_infeccion", "numero_visitas")
     last = S.latest_per_key(dates, [keys.person], "fecha_infeccion", "ultima_fecha")
     admissions = dates.select(*keys.both).distinct()
-    since = last.join(admissions, keys.person, "inner").withColumn(
+    since = J.balanced_join(admissions, last, [keys.person], "inner", right_unique=True).withColumn(
         "tiempo_ultima", X.days_between(X.parse_date(col(keys.admission)), col("ultima_fecha"))
     )
     return count, since
@@ -226,10 +226,10 @@ def infections_complete(
     gets every combination; ``on_admission`` joins it to its own admission.
     """
     count, since = visits(groups, keys)
-    joined = J.join_forms(pivoted, [count], [keys.person])
+    joined = J.join_forms(pivoted, [count], [keys.person], balance=True)
     if on_admission:
         return J.join_forms(joined, [since], keys.both)
-    crossed = J.join_with_suffixes(joined, since, [keys.person])
+    crossed = J.join_with_suffixes(joined, since, [keys.person], balance=True)
     return crossed.drop(f"{keys.admission}_y")
 
 
@@ -264,14 +264,14 @@ def _history(
     if on_admission:
         out = J.join_forms(base, [infections, colonised], keys.both)
     else:
-        out = J.join_forms(base, [infections], [keys.person])
+        out = J.join_forms(base, [infections], [keys.person], balance=True)
         out = J.join_person(out, colonised, *keys.both)
     return C.fill_missing(out, 0, only=C.added_columns(before, out))
 
 
 def _with_result(base: DataFrame, cultures: DataFrame, keys: Keys, on_admission: bool) -> DataFrame:
     on = keys.both if on_admission else [keys.person]
-    return J.join_forms(base, [cultures.select(*on, "resultado_hemo")], on)
+    return J.join_forms(base, [cultures.select(*on, "resultado_hemo")], on, balance=not on_admission)
 
 
 def wide_table(

@@ -29,7 +29,7 @@ def symptom_wide(customers, events):
         *[X.presence(F.col(n)).alias(n) for n in names],
         *[X.duration_class(F.col(n)).alias(f"{n}_class") for n in names],
     )
-    joined = J.join_forms(customers.select("c_custkey"), [both], ["c_custkey"])
+    joined = J.join_forms(customers.select("c_custkey"), [both], ["c_custkey"], balance=True)
     return C.fill_missing(joined, 0, only=C.other_columns(joined, ["c_custkey", "day"]))
 
 
@@ -120,7 +120,7 @@ def _(t):
     wide = R.pivot_count(e, ["user_id", "day"], "event_type")
     names = C.other_columns(wide, ["user_id", "day"])
     lists = wide.select(F.col("user_id").alias("c_custkey"), "day", X.positive_names(names).alias("result"))
-    joined = J.join_forms(t("customer").select("c_custkey"), [lists], ["c_custkey"])
+    joined = J.join_forms(t("customer").select("c_custkey"), [lists], ["c_custkey"], balance=True)
     rows = R.row_weight(R.explode_list(joined, "result"), "c_custkey")
     return rows.withColumn("weight", F.round("weight", 9))
 
@@ -206,7 +206,8 @@ def _(t):
     visits = t("orders").select("o_custkey", X.parse_date(F.col("o_orderdate").cast("string").substr(1, 10)).alias("day"))
     last = S.latest_per_key(visits, ["o_custkey"], "day", "last_day")
     count = S.distinct_per_key(visits, ["o_custkey"], "day", "n_visits")
-    rows = visits.distinct().join(last, "o_custkey", "inner").join(count, "o_custkey", "left")
+    rows = J.balanced_join(visits.distinct(), last, ["o_custkey"], "inner", right_unique=True)
+    rows = J.balanced_join(rows, count, ["o_custkey"], right_unique=True)
     return rows.select(
         "o_custkey",
         F.col("day").cast("string").alias("day"),
@@ -290,10 +291,6 @@ def _(t):
 @query("first_label", "select p_brand, min(nullif(p_type, 'ECONOMY')) as label from part group by 1")
 def _(t):
     parts = t("part").select("p_brand", F.nullif("p_type", F.lit("ECONOMY")).alias("label"))
-    return S_first_label(parts)
-
-
-def S_first_label(parts):
     return J.first_label(parts, "p_brand", "label")
 
 
