@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardtable.functions import expressions as X
-from wardtable.operators.columns import columns_of
 from wardtable.plans import forms as P
 from wardtable.registry.base import Tables, query
 
