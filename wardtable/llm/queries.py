@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wardtable.llm import bpe, secrets
+from wardtable.llm import bpe, mixing, secrets, simhash, toxicity
 from wardtable.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,21 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the ranks of a public vocabulary and decoded again, as digests."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encode_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep=["doc_id"])
+
+
+@query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 64 bits over four-word shingles and the components that links of four bits make."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), simhash.EXACT_64)
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to weighted targets of their sources."""
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document, learned from the labels that are not held out."""
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
