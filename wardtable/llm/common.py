@@ -23,6 +23,14 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many further underscores as it takes to differ from all columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``; a fresh local one only in local mode."""
     conf = spark.sparkContext.getConf()

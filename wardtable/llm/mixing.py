@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wardtable.llm.common import WORD, col, saved
+from wardtable.llm.common import WORD, col, free_name, saved
 
 #: Patterns and sources are few; more than this is refused.
 MOST_PATTERNS = 50_000
@@ -148,37 +148,23 @@ def plan_mix(sized: DataFrame, weights: Sequence[int] | None, seed: int) -> tupl
 
 
 def _times(sized: DataFrame, given: DataFrame, seed: int) -> DataFrame:
-    """How often each row is taken: whole rounds, and once more up to its pattern's rest in seeded order."""
+    """How often each row is taken: whole rounds, and once more up to its pattern's rest in seeded order.
+
+    A document that does not fit ends the first filling; the second goes on behind it with those that fit.
+    """
     number = seeded_number(F.col("_id"), seed)
-    drawn = sized.withColumn("_n", number).join(F.broadcast(given), "_members")
     high = F.shiftright("_n", 60 - _RANGE_BITS)
     low = F.shiftright("_n", 60 - 2 * _RANGE_BITS).bitwiseAND((1 << _RANGE_BITS) - 1)
-    drawn = drawn.withColumns({"_high": high, "_low": low})
-    # The range where the rest is used up, then the part of that range; each table has a row per pattern.
-    first = _crossing(drawn, "_high", F.col("_rest"))
-    inside = drawn.join(F.broadcast(first.select("_members", "_high", "_before")), ["_members", "_high"])
-    second = _crossing(inside, "_low", F.col("_rest") - F.col("_before"))
-    ends = first.select("_members", F.col("_high").alias("_high_end"), F.col("_before").alias("_before_high"))
-    ends = ends.join(
-        second.select("_members", F.col("_low").alias("_low_end"), F.col("_before").alias("_before_low")), "_members", "left"
-    )
-    marked = drawn.join(F.broadcast(ends), "_members", "left")
-    here = (F.col("_high") == F.col("_high_end")) & (F.col("_low") == F.col("_low_end"))
-    before = Window.partitionBy("_members").orderBy("_n", "_size", "_id")
-    total = F.sum("_size").over(before.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before_high") + F.col("_before_low")
-    last = marked.filter(here).withColumn("_more", (total <= F.col("_rest")).cast("int"))
-    sooner = (F.col("_high") < F.col("_high_end")) | (
-        (F.col("_high") == F.col("_high_end")) & (F.col("_low") < F.col("_low_end"))
-    )
-    others = marked.filter(~F.coalesce(here, F.lit(False))).withColumn("_more", F.coalesce(sooner, F.lit(False)).cast("int"))
-    columns = [*sized.columns, "_n", "_whole", "_rest", "_more"]
-    picked = saved(last.select(*columns).unionByName(others.select(*columns)), "picked")
-    # What is left then goes to the one further document whose size comes nearest to it.
-    gaps = picked.groupBy("_members").agg((F.first("_rest") - F.sum(F.col("_size") * F.col("_more"))).alias("_gap"))
+    drawn = sized.join(F.broadcast(given), "_members").withColumn("_n", number)
+    picked = drawn.withColumns({"_high": high, "_low": low, "_more": F.lit(0)})
+    for _ in range(2):
+        picked = saved(_filled(picked, given), "picked")
+    # What is missing then goes to the one further document whose size comes nearest to it.
+    gaps = _gaps(picked, given)
     far = F.abs(F.col("_size") - F.col("_gap"))
     nearest = (
         picked.filter("_more = 0")
-        .join(F.broadcast(gaps.filter("_gap > 0")), "_members")
+        .join(F.broadcast(gaps), "_members")
         .filter(far < F.col("_gap"))
         .groupBy("_members")
         .agg(F.min(F.struct(far.alias("_far"), "_n", "_size", F.col("_id").alias("_nearest"))).alias("_s"))
@@ -190,6 +176,39 @@ def _times(sized: DataFrame, given: DataFrame, seed: int) -> DataFrame:
     )
 
 
+def _gaps(picked: DataFrame, given: DataFrame) -> DataFrame:
+    """Words that each pattern still lacks, where it lacks any."""
+    taken = picked.groupBy("_members").agg(F.sum(F.col("_size") * F.col("_more")).alias("_taken"))
+    gaps = given.join(taken, "_members").select("_members", (F.col("_rest") - F.col("_taken")).alias("_gap"))
+    return gaps.filter("_gap > 0")
+
+
+def _filled(picked: DataFrame, given: DataFrame) -> DataFrame:
+    """``picked`` with further rows marked, in seeded order among those that fit, as long as the gap lasts."""
+    columns = picked.columns
+    asked = picked.join(F.broadcast(_gaps(picked, given)), "_members", "left")
+    fits = F.coalesce((F.col("_more") == 0) & (F.col("_size") <= F.col("_gap")), F.lit(False))
+    open_ = asked.filter(fits)
+    # The range where the gap is filled, then the part of that range; each table has a row per pattern.
+    first = _crossing(open_, "_high", F.col("_gap"))
+    inside = open_.join(F.broadcast(first), ["_members", "_high"])
+    second = _crossing(inside, "_low", F.col("_gap") - F.col("_before"))
+    ends = first.select("_members", F.col("_high").alias("_high_end"), F.col("_before").alias("_before_high"))
+    part = second.select("_members", F.col("_low").alias("_low_end"), F.col("_before").alias("_before_low"))
+    marked = asked.withColumn("_fits", fits).join(F.broadcast(ends.join(part, "_members")), "_members", "left")
+    here = F.col("_fits") & (F.col("_high") == F.col("_high_end")) & (F.col("_low") == F.col("_low_end"))
+    order = Window.partitionBy("_members").orderBy("_n", "_size", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("_size").over(order) + F.col("_before_high") + F.col("_before_low")
+    last = marked.filter(here).withColumn("_more", (total <= F.col("_gap")).cast("int"))
+    sooner = (F.col("_high") < F.col("_high_end")) | (
+        (F.col("_high") == F.col("_high_end")) & (F.col("_low") < F.col("_low_end"))
+    )
+    # Without an end all that fit are taken.
+    more = F.when(F.col("_fits"), F.coalesce(sooner, F.lit(True)).cast("int")).otherwise(F.col("_more"))
+    others = marked.filter(~F.coalesce(here, F.lit(False))).withColumn("_more", more)
+    return last.select(*columns).unionByName(others.select(*columns))
+
+
 def _crossing(rows: DataFrame, part: str, rest: Column) -> DataFrame:
     """For each pattern the range in which ``rest`` words are reached, and the words ``_before`` it."""
     sums = rows.groupBy("_members", part).agg(F.sum("_size").alias("_sum"), F.first(rest).alias("_wanted"))
@@ -236,6 +255,8 @@ def mix(
     kind = dict(df.dtypes)[source]
     members = F.sort_array(F.array_distinct(col(source))) if kind.startswith("array") else F.array(col(source).cast("string"))
     planned, _ = plan_mix(_sized(df, key, text, members), weights, seed)
-    times = planned.groupBy(F.col("_id")).agg(F.min("_times").alias("_times")).filter("_times > 0")
-    joined = df.join(times, col(key).eqNullSafe(F.col("_id")))
-    return joined.select(*[col(c) for c in df.columns], F.explode(F.sequence(F.lit(1), "_times")).alias("_copy")).drop("_copy")
+    own, count, copy = (free_name(df, n) for n in ("_id", "_times", "_copy"))
+    times = planned.groupBy(F.col("_id").alias(own)).agg(F.min("_times").alias(count)).filter(F.col(count) > 0)
+    joined = df.join(times, col(key).eqNullSafe(F.col(own)))
+    copies = F.explode(F.sequence(F.lit(1), F.col(count))).alias(copy)
+    return joined.select(*[col(c) for c in df.columns], copies).drop(copy)

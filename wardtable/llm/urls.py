@@ -25,7 +25,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Share of a host's score that its links pass on.
 DAMPING = 0.85
 #: Rounds stop when all changes together are below this share of the seeds.
-SETTLED = 1e-6
+SETTLED = 1e-3
 LINK = "(?is)<a\\s[^>]*?\\bhref\\s*=\\s*[\"']?\\s*(?:https?:)?//([^/?#\"'\\s>]+)"
 
 Rule = tuple[str, str, str]  # allow or block, host, path
