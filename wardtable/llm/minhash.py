@@ -48,12 +48,12 @@ def functions(size: int = SIZE, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Words(dict):
-    """Hash of a word, emptied when it gets large."""
+    """Hash of a word; the first 100,000 words are kept, which the common ones are among."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(self) < 100_000:
+            self[word] = value
         return value
 
 

@@ -33,24 +33,25 @@ from wardtable.llm.common import col, map_text
 PLACES = 1 << 20
 BEGINNINGS = (5, 6, 7)
 #: About so many labelled rows are learned from, whatever the size of the table.
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 6_000
+#: Words whose hashes a worker keeps, some 25 MB; common words come early.
+REMEMBERED = 60_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 _PLAIN = re.compile(r"[\W_]+").sub
 
 
 class _Words(dict):
-    """Hashes of a word and of its beginnings, by the raw word; emptied when it gets large."""
+    """Hashes of a word and of its beginnings, by the raw word; the first ``REMEMBERED`` words are kept."""
 
     def __missing__(self, raw: str) -> tuple[int, ...]:
-        if len(self) > 500_000:
-            self.clear()
         word = _PLAIN("", raw.lower())
         found = (0,) * (1 + len(BEGINNINGS))
         if word:
             starts = [xxhash.xxh64_intdigest(f"{n}{word[:n]}") if len(word) > n else 0 for n in BEGINNINGS]
             found = (xxhash.xxh64_intdigest(word), *starts)
-        self[raw] = found
+        if len(self) < REMEMBERED:
+            self[raw] = found
         return found
 
 
@@ -151,7 +152,7 @@ def train(
 
 
 def _small(places: np.ndarray, values: np.ndarray, y: int) -> tuple[np.ndarray, np.ndarray, int]:
-    return places.astype("i4"), values.astype("f4"), y
+    return places.astype("i4"), values.astype("f2"), y
 
 
 def scorer(model: tuple[np.ndarray, np.ndarray, float]) -> Callable[[str], float]:
