@@ -1,6 +1,7 @@
 """The form jobs on hand-made tables, one golden value per rule."""
 
 import datetime as dt
+import uuid
 
 import pytest
 
@@ -122,7 +123,7 @@ def test_visits_fan_out_by_person_and_not_by_admission(catalog, rows):
     organisms = P.organism_dictionary(catalog["tbl_microorganismos"])
     groups = P.infection_groups(catalog["tbl_infecciones_previas"], organisms)
     pivoted = P.previous_infections(groups)
-    by_person = P.infections_complete(pivoted, groups)
+    by_person = P.infections_complete(pivoted, groups, on_admission=False)
     assert by_person.count() == 4 and "fecha_ingreso_urgencias_x" in by_person.columns
     by_admission = P.infections_complete(pivoted, groups, on_admission=True)
     last = dt.date(2023, 6, 1)
@@ -162,3 +163,24 @@ def test_stable_columns_add_only_zero_columns(catalog):
     assert set(b.columns) <= set(a.columns)
     row = a.selectExpr(*[f"sum(coalesce(`{c}`, 0)) as c{i}" for i, c in enumerate(sorted(extra))]).first()
     assert all(v == 0 for v in row)
+
+
+def jobs_of(spark, make):
+    """Number of Spark jobs that ``make`` starts."""
+    name = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(name, name)
+    made = make()
+    group = spark.sparkContext.statusTracker().getJobIdsForGroup(name)
+    spark.sparkContext.setJobGroup("other", "other")
+    return len(set(group)), made
+
+
+def test_a_table_runs_only_its_own_jobs(spark, catalog):
+    tables = P.build(catalog)
+    assert jobs_of(spark, lambda: tables["patients"])[0] == 0
+    assert jobs_of(spark, lambda: tables["symptoms"])[0] <= 2  # its levels
+    own = sum(jobs_of(spark, lambda n=n: tables[n])[0] for n in ("vital_signs", "sepsis_labs", "comorbidities", "organisms"))
+    before, wide = jobs_of(spark, lambda: tables["wide"])
+    assert before <= 8 and own > 0  # the organism names, each query in several steps
+    assert jobs_of(spark, lambda: tables["exploded"])[0] == 0
+    assert tables["wide"] is wide

@@ -75,7 +75,7 @@ def test_collision_suffixes_and_person_fanout(spark, rows):
     right = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "p int, adm string, v int")
     both = J.join_with_suffixes(left, right, ["p"])
     assert set(both.columns) == {"p", "adm_x", "v_x", "adm_y", "v_y"} and both.count() == 4
-    assert J.join_person(left, right, "p", "adm").count() == 4
+    assert J.join_person(left, right, "p", "adm", on_admission=False).count() == 4
     assert rows(J.join_person(left, right, "p", "adm", on_admission=True), "adm", "v_x", "v_y") == [("a", 10, 1), ("b", 20, 2)]
 
 
@@ -84,13 +84,11 @@ def test_hot_keys_join_as_any_other(spark, rows, how):
     left = spark.createDataFrame([(1, i) for i in range(90)] + [(2, 0), (3, 0), (None, 0), (4, 0), (4, 0)], "k int, a int")
     right = spark.createDataFrame([(1, 0), (1, 1), (5, 0), (None, 9)] + [(2, i) for i in range(60)], "k int, b int")
     plain = rows(left.join(right, "k", how))
-    assert rows(J.balanced_join(left, right, ["k"], how, hot_rows=20)) == plain
-    assert rows(J.balanced_join(left, right, ["k"], how, hot_rows=10**6)) == plain
+    assert rows(J.balanced_join(left, right, ["k"], how)) == plain
     two = [d.withColumn("j", F.lit("x")) for d in (left, right)]
-    assert rows(J.balanced_join(*two, ["k", "j"], how, hot_rows=20), "k", "a", "b") == plain
+    assert rows(J.balanced_join(*two, ["k", "j"], how), "k", "a", "b") == plain
     unique = right.dropDuplicates(["k"])
-    assert rows(J.balanced_join(left, unique, ["k"], how, right_unique=True, hot_rows=20)) == rows(left.join(unique, "k", how))
-    assert J.hot_keys(left, ["k"], 20) == [(1,)]
+    assert rows(J.balanced_join(left, unique, ["k"], how, right_unique=True)) == rows(left.join(unique, "k", how))
 
 
 def test_null_keys_match_only_on_request(spark):
@@ -172,3 +170,33 @@ def test_density_integrates_to_one(spark):
     d = S.density(df, "x", bins=400, grid=400, bandwidth=0.01).collect()
     step = (96 / 97) / 399
     assert sum(r["density"] for r in d) * step == pytest.approx(1.0, abs=0.05)
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_joins_hold_for_many_hot_keys_equal_rows_and_nulls(spark, rows, how):
+    left = spark.range(3000).select((F.col("id") % 300).alias("k"), F.lit("same").alias("a"))
+    left = left.unionByName(spark.range(500).select(F.lit(None).cast("bigint").alias("k"), F.lit("none").alias("a")))
+    right = spark.range(900).select((F.col("id") % 450).alias("k"), F.col("id").alias("b"))
+    spark.sparkContext.setJobGroup("joins", "joins")
+    joined = J.balanced_join(left, right, ["k"], how)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("joins")
+    spark.sparkContext.setJobGroup("other", "other")
+    assert rows(joined, "k", "a", "b") == rows(left.join(right, "k", how), "k", "a", "b")
+
+
+def test_nan_counts_as_missing(spark, rows):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, nan, 0.0), (1, 2.0, 1.0), (2, None, nan), (2, -4.0, None)], "k int, v double, b double")
+    assert rows(S.any_positive(df.filter("k = 2 or isnan(v)"), ["k"], "v", "p")) == [(1, False), (2, False)]
+    assert C.drop_incomplete_rows(df).count() == 1
+    assert rows(C.fill_missing(df, 0), "v") == [(-4.0,), (0.0,), (0.0,), (2.0,)]
+    assert C.classify_columns(df)["binary"] == ["b"]
+    assert C.drop_low_variance(df)[0].columns == ["k", "v", "b"]
+    assert sum(r["n"] for r in S.histogram(df, "v", 3).collect()) == 2
+
+
+def test_charts_of_columns_without_values(spark):
+    df = spark.createDataFrame([(None, None, 1), (None, None, 2)], "x double, y double, hue int")
+    assert S.histogram(df, "x", 4).count() == 0
+    assert S.pair_bins(df, ["x", "y"], "hue").count() == 0
+    assert S.density(df, "x").count() == 0

@@ -110,8 +110,14 @@ def fix_values(c: Column, corrections: dict) -> Column:
     return out
 
 
+def known(c: Column) -> Column:
+    """A number with NaN as missing: the marker that tables written from pandas keep."""
+    return F.nullif(c, F.lit(float("nan")))
+
+
 def temperature_class(c: Column, high: float = 38, low: float = 36) -> Column:
     """2 from ``high`` up, 0 from ``low`` up, 1 below; missing stays missing."""
+    c = known(c)
     return F.when(c >= high, 2).when(c >= low, 0).when(c.isNotNull(), 1)
 
 
@@ -127,6 +133,7 @@ def threshold_flag(
     measure: Column, recorded: Column, op: str, threshold: float, met: int = 1, unmet: int = 0
 ) -> Column:
     """Flag from a measurement; the recorded flag stands in for a missing one."""
+    measure = known(measure)
     return (
         F.when(measure.isNull(), recorded)
         .when(_COMPARE[op](measure, threshold), met)
@@ -141,12 +148,12 @@ def differs_flag(c: Column, literal: str) -> Column:
 
 def only_if_complete(score: Column, parts: Sequence[Column]) -> Column:
     """A score only where all of its parts are present."""
-    return F.when(reduce(lambda a, b: a & b, [p.isNotNull() for p in parts]), score)
+    return F.when(reduce(lambda a, b: a & b, [known(p).isNotNull() for p in parts]), score)
 
 
 def presence(c: Column) -> Column:
-    """1 where the value is above 0, else 0."""
-    return F.coalesce((c > 0).cast("int"), F.lit(0))
+    """1 where the value is above 0, else 0; missing counts as 0."""
+    return F.coalesce((known(c) > 0).cast("int"), F.lit(0))
 
 
 def duration_class(c: Column, long_after: float = 7) -> Column:

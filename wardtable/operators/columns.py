@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardtable.functions.tables import literal_table
-from wardtable.functions.expressions import col, row_sum
+from wardtable.functions.expressions import col, known, row_sum
 
 # Identifiers and leak columns removed before modelling.
 NON_FEATURES = [
@@ -104,7 +104,7 @@ def fill_missing(df: DataFrame, value, only: Iterable[str] | None = None) -> Dat
         if isinstance(f.dataType, T.NumericType):
             number = int(value) if isinstance(value, bool) else value
             if not isinstance(number, str):
-                filled[f.name] = F.coalesce(c, F.lit(number).cast(f.dataType))
+                filled[f.name] = F.when(is_missing(f), F.lit(number).cast(f.dataType)).otherwise(c)
         elif isinstance(f.dataType, T.BooleanType):
             filled[f.name] = F.coalesce(c, F.lit(bool(value)))
         elif isinstance(f.dataType, T.StringType):
@@ -116,7 +116,7 @@ def combine_columns(df: DataFrame, names: Sequence[str], new_name: str) -> DataF
     """One whole-number column from a column family; the parts are dropped."""
     names = list(names)
     kept = [col(c) for c in df.columns if c not in names and c != new_name]
-    numbers = [F.coalesce(col(n).cast("double"), F.lit(0.0)) for n in names]
+    numbers = [F.coalesce(known(col(n).cast("double")), F.lit(0.0)) for n in names]
     total: Column = F.lit(0.0)
     for n in numbers:
         total = total + n
@@ -144,8 +144,8 @@ def split_label(df: DataFrame, label: str) -> tuple[list[str], DataFrame]:
 
 def drop_incomplete_rows(df: DataFrame) -> DataFrame:
     condition = F.lit(True)
-    for c in df.columns:
-        condition = condition & col(c).isNotNull()
+    for f in df.schema.fields:
+        condition = condition & ~is_missing(f)
     return df.filter(condition)
 
 
@@ -216,7 +216,7 @@ def drop_low_variance(df: DataFrame, threshold: float = 0.0) -> tuple[DataFrame,
     numeric = columns_of(df, "number")
     if not numeric:
         return df, literal_table(df.sparkSession, [], "column string, variance double, dropped boolean")
-    row = df.agg(*[F.var_samp(col(c)).alias(f"v{i}") for i, c in enumerate(numeric)]).first()
+    row = df.agg(*[F.var_samp(known(col(c))).alias(f"v{i}") for i, c in enumerate(numeric)]).first()
     report = []
     for i, c in enumerate(numeric):
         v = row[f"v{i}"]
@@ -243,8 +243,8 @@ def classify_columns(
         return groups
     aggs = []
     for i, c in enumerate(numeric):
-        aggs.append(F.coalesce(F.bool_or(~col(c).isin(0, 1)), F.lit(False)).alias(f"off{i}"))
-        aggs.append(F.approx_count_distinct(col(c)).alias(f"d{i}"))
+        aggs.append(F.coalesce(F.bool_or(~known(col(c)).isin(0, 1)), F.lit(False)).alias(f"off{i}"))
+        aggs.append(F.approx_count_distinct(known(col(c))).alias(f"d{i}"))
     row = df.agg(*aggs).first()
     unsure = []
     for i, c in enumerate(numeric):
@@ -263,7 +263,7 @@ def classify_columns(
         counts = (
             df.select(pairs.alias("p"))
             .select("p.name", "p.value")
-            .filter(F.col("value").isNotNull())
+            .filter(known(F.col("value")).isNotNull())
             .distinct()
             .groupBy("name")
             .count()

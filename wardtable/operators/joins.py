@@ -1,8 +1,7 @@
 """Joins of form tables and dictionary lookups.
 
-Small sides are broadcast only after their size is checked; beyond the bound the
-join is an ordinary shuffled one, where adaptive execution splits a key that holds
-a large share of the left rows (left and inner joins allow that).
+All joins are plain ones: adaptive execution broadcasts a side once its size is known to be
+small, and splits a key that holds a large share of the rows.
 """
 
 from __future__ import annotations
@@ -17,76 +16,26 @@ from wardtable.functions.tables import literal_table
 from wardtable.functions.expressions import col, normalise_code
 from wardtable.operators.columns import fill_missing, other_columns
 
-BROADCAST_ROWS = 100_000
-HOT_ROWS = 1_000_000  # rows of one key that are worth spreading over several tasks
-HOT_KEYS = 200  # beyond the 200 most frequent, a key holds less than 1/200 of the rows
-SALTS = 32
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a row-count check that stops reading at the bound."""
-    seen = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if seen <= max_rows else df
-
-
 # --- joins ------------------------------------------------------------------
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> list[tuple]:
-    """The keys with more than ``rows`` rows, at most ``HOT_KEYS`` of them (pre-aggregated)."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    top = counts.filter(F.col("_n") > (HOT_ROWS if rows is None else rows)).orderBy(F.desc("_n"), *keys).limit(HOT_KEYS)
-    found = [tuple(r[k] for k in keys) for r in top.collect()]
-    return [f for f in found if None not in f]
-
-
-def _is_one_of(keys: Sequence[str], hot: Sequence[tuple]) -> Column:
-    if len(keys) == 1:
-        return F.coalesce(col(keys[0]).isin([h[0] for h in hot]), F.lit(False))
-    rows = [reduce(lambda a, b: a & b, [col(k) == F.lit(v) for k, v in zip(keys, h)]) for h in hot]
-    return F.coalesce(reduce(lambda a, b: a | b, rows, F.lit(False)), F.lit(False))
-
-
 def balanced_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    right_unique: bool = False,
-    hot_rows: int | None = None,
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", right_unique: bool = False
 ) -> DataFrame:
     """Left or inner key join that stays even when one key owns a large share of either side.
 
-    Rows of a hot key are dealt over ``SALTS`` parts and the other side's rows of that key are
-    copied to each part; all other keys join as usual. Exact in every case: a key that is hot
-    on the left keeps each left row in one part; one that is hot only on the right certainly
-    has a match, so its left rows may be copied. Without hot keys it is a plain join.
+    Adaptive execution splits a large partition of either side of an inner join, and of the left side of a
+    left join. A left join with a right side that repeats keys is therefore written as the inner join and the left rows
+    without a match, so every side that can be hot can be split. Nothing runs while the plan is written, no key is
+    listed, and rows with equal values or null keys are split like all others.
     """
     keys = list(keys)
-    hot_left = hot_keys(left, keys, hot_rows)
-    hot_right = [] if right_unique else [h for h in hot_keys(right, keys, hot_rows) if h not in hot_left]
-    if not hot_left and not hot_right:
+    if how == "inner" or right_unique:
         return left.join(right, keys, how)
-    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    parts = []
-    if hot_left:
-        a, b = left.filter(_is_one_of(keys, hot_left)), right.filter(_is_one_of(keys, hot_left))
-        parts.append(_spread(a).join(b.withColumn("_salt", every), [*keys, "_salt"], how).drop("_salt"))
-    if hot_right:
-        a, b = left.filter(_is_one_of(keys, hot_right)), right.filter(_is_one_of(keys, hot_right))
-        parts.append(a.withColumn("_salt", every).join(_spread(b), [*keys, "_salt"], "inner").drop("_salt"))
-    hot = hot_left + hot_right
-    out = left.filter(~_is_one_of(keys, hot)).join(right.filter(~_is_one_of(keys, hot)), keys, how)
-    for p in parts:
-        out = out.unionByName(p)
-    return out
-
-
-def _spread(df: DataFrame) -> DataFrame:
-    """Part number from the row's content, never from its position: a task that runs again
-    after an executor is lost must send each row to the same part as before."""
-    content = F.xxhash64(*[col(c) for c in df.columns])
-    return df.withColumn("_salt", F.pmod(content, F.lit(SALTS)).cast("int"))
+    if how != "left":
+        raise ValueError(f"balanced_join is for left and inner joins, not {how}")
+    alone = left.join(right.select(*[col(k) for k in keys]).distinct(), keys, "left_anti")
+    return left.join(right, keys, "inner").unionByName(alone, allowMissingColumns=True)
 
 
 def natural_left_join(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -140,14 +89,13 @@ def join_person(
     right: DataFrame,
     person: str,
     admission: str,
-    on_admission: bool = False,
+    on_admission: bool = True,
     how: str = "left",
 ) -> DataFrame:
-    """Join an admission-level table to another one.
+    """Join an admission-level table to another one, on both keys.
 
-    The default joins on the person only and keeps the left admission, so a person
-    with several admissions on both sides multiplies (as analysts of the original
-    tables expect). ``on_admission`` joins on both keys and never multiplies.
+    ``on_admission=False`` joins on the person only and keeps the left admission, so a person with
+    several admissions on both sides gets every combination (as analysts of the original tables expect).
     """
     if on_admission and admission in right.columns:
         return join_with_suffixes(left, right, [person, admission], how)
@@ -209,7 +157,7 @@ def lookup(
         F.lit(True).alias("_known"),
     )
     joined = df.withColumn("_key", key.cast("string")).join(
-        broadcast_if_small(entries), F.col("_key") == F.col("_code"), "left"
+        entries, F.col("_key") == F.col("_code"), "left"
     )
     value = F.col("_label")
     if default is not None:
@@ -255,7 +203,7 @@ def codes_to_names(
         code = normalise_code(col(column), missing=None)
         out = out.withColumn("_key", F.coalesce(code, col(column).cast("string")))
         out = out.join(
-            broadcast_if_small(names), F.col("_key") == F.col("_code"), "left"
+            names, F.col("_key") == F.col("_code"), "left"
         )
         out = out.select(
             *[F.col("_name").alias(c) if c == column else col(c) for c in df.columns],

@@ -128,18 +128,24 @@ KNOWN = {
     "logistic_regression": {"C", "penalty", "max_iter", "l1_ratio", "class_weight"},
     "random_forest": {
         "criterion", "n_estimators", "max_depth", "min_samples_leaf", "bootstrap", "class_weight", "random_state",
+        "max_bins",
     },
     "svc": {"C", "kernel", "gamma", "degree", "class_weight", "max_iter", "components"},
-    "decision_tree": {"criterion", "max_depth", "min_samples_leaf", "random_state"},
+    "decision_tree": {"criterion", "max_depth", "min_samples_leaf", "random_state", "max_bins"},
     "bernoulli_bayes": {"alpha", "fit_prior", "binarize"},
     "gradient_boosting": {
         "n_estimators", "learning_rate", "max_depth", "subsample", "colsample_bytree", "gamma", "min_child_weight",
-        "scale_pos_weight", "seed", "random_state",
+        "scale_pos_weight", "seed", "random_state", "max_bins",
     },
     "sgd_classifier": {"loss", "alpha", "max_iter"},
     "knn_classifier": {"n_neighbors", "weights", "metric"},
 }
 FAMILIES = sorted(KNOWN)
+# Values that are offered, the default first.
+VALUES = {
+    "svc": {"kernel": ("rbf", "linear", "poly")},
+    "sgd_classifier": {"loss": ("hinge", "log_loss")},
+}
 
 
 def ignored_parameters(family: str, params: dict) -> list[str]:
@@ -147,6 +153,11 @@ def ignored_parameters(family: str, params: dict) -> list[str]:
     unknown = set(params) - KNOWN[family] - IGNORED[family]
     if unknown:
         raise ValueError(f"{family} has no parameter {sorted(unknown)}")
+    if (params.get("max_depth") or 0) > MAX_TREE_DEPTH:
+        raise ValueError(f"max_depth {params['max_depth']} is not offered: {MAX_TREE_DEPTH} is the deepest")
+    for name, offered in VALUES.get(family, {}).items():
+        if params.get(name, offered[0]) not in offered:
+            raise ValueError(f"{family} offers {name} {offered}, not {params[name]}")
     return sorted(set(params) & IGNORED[family])
 
 
@@ -254,7 +265,7 @@ def fit(df: DataFrame, family: str, params: dict | None, label: str, key: str |
         impurity = "gini" if p.get("criterion", "gini") == "gini" else "entropy"
         depth = p.get("max_depth")
         tree = {
-            **cols, "impurity": impurity, "maxDepth": MAX_TREE_DEPTH if depth is None else min(int(depth), MAX_TREE_DEPTH),
+            **cols, "impurity": impurity, "maxDepth": MAX_TREE_DEPTH if depth is None else int(depth), "maxBins": int(p.get("max_bins", 32)),
             "minInstancesPerNode": int(p.get("min_samples_leaf", 1)), "seed": seed, "maxMemoryInMB": 1024,
         }
         if family == "random_forest":
@@ -278,7 +289,7 @@ def fit(df: DataFrame, family: str, params: dict | None, label: str, key: str |
         stages = [
             GBTClassifier(
                 **cols, maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)),
-                maxDepth=min(int(p.get("max_depth", 3)), MAX_TREE_DEPTH), subsamplingRate=float(p.get("subsample", 1.0)),
+                maxDepth=int(p.get("max_depth", 3)), maxBins=int(p.get("max_bins", 32)), subsamplingRate=float(p.get("subsample", 1.0)),
                 featureSubsetStrategy=str(float(p.get("colsample_bytree", 1.0))),
                 minInfoGain=float(p.get("gamma", 0.0)), minInstancesPerNode=int(p.get("min_child_weight", 1)), seed=seed,
             )

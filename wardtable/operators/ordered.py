@@ -17,13 +17,15 @@ from pyspark.sql.window import Window
 
 from wardtable.functions.expressions import col
 
-MAX_BUCKETS = 2048
+#: Narrow rows that one task sorts with ease; the number of buckets follows from it.
+BUCKET_ROWS = 5_000_000
 HASH_BITS = 60
 
 
 def default_buckets(df: DataFrame) -> int:
+    """At least one bucket per shuffle partition, and as many as the number of rows asks for (one counting job)."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(2, min(MAX_BUCKETS, parts))
+    return max(2, parts, -(-df.count() // BUCKET_ROWS))
 
 
 def hash_number(*parts: Column) -> Column:
@@ -121,7 +123,8 @@ def hash_rank(
     buckets = buckets or default_buckets(df)
     by = list(by)
     step = (1 << HASH_BITS) // buckets + 1
-    ready = df.withColumn("_hash", hash_number(col(key), F.lit(seed))).withColumn(
+    # Only key, group and hash go through the windows; the other columns join the finished rank.
+    ready = df.select(*dict.fromkeys([key, *by])).withColumn("_hash", hash_number(col(key), F.lit(seed))).withColumn(
         "_bucket", F.floor(F.col("_hash") / F.lit(step)).cast("int")
     )
     counts = ready.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -131,9 +134,9 @@ def hash_rank(
         *by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
     )
     inside = Window.partitionBy(*by, "_bucket").orderBy("_hash", col(key))
-    return (
+    ranks = (
         ready.withColumn("_row", F.row_number().over(inside))
         .join(starts, [*by, "_bucket"], "left")
-        .withColumn(out, (F.col("_start") + F.col("_row") - 1).cast("bigint"))
-        .drop("_hash", "_bucket", "_row", "_start")
+        .select(col(key).alias("_ranked"), (F.col("_start") + F.col("_row") - 1).cast("bigint").alias(out))
     )
+    return df.join(ranks, df[key].eqNullSafe(F.col("_ranked"))).drop("_ranked")

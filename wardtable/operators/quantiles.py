@@ -1,10 +1,9 @@
 """Exact quantiles of whole columns, with linear interpolation.
 
-Small columns use the built-in exact ``percentile``. That function keeps every
-distinct value in one task, so larger columns go another way: a mergeable sketch
+The built-in exact ``percentile`` keeps every distinct value in one task. Here a mergeable sketch
 brackets each wanted rank, counting proves the bracket right, and the bracket is
 narrowed until it holds few enough values to read. Each round is one aggregate
-over the column; nothing is sampled, so the result is exact.
+over the column; nothing is sampled, so the result is exact. Columns of every size go this way.
 """
 
 from __future__ import annotations
@@ -18,8 +17,8 @@ from pyspark.sql import functions as F
 
 from wardtable.functions.expressions import col
 
-SMALL_COLUMN = 200_000
-READ_LIMIT = 20_000
+#: Values that all brackets together may hold when they are read.
+READ_LIMIT = 100_000
 SKETCH = 10_000
 
 
@@ -42,7 +41,6 @@ def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     shares: Sequence[float],
-    small: int = SMALL_COLUMN,
     read_limit: int = READ_LIMIT,
 ) -> dict[str, list[float | None]]:
     """Quantiles per column, missing values left out; an empty column gives nulls.
@@ -57,13 +55,13 @@ def exact_quantiles(
         *[F.nanvl(col(c).cast("double"), F.lit(None)).alias(f"v{i}") for i, c in enumerate(columns)]
     ).persist()
     try:
-        return _quantiles(values, columns, shares, small, read_limit)
+        return _quantiles(values, columns, shares, read_limit)
     finally:
         values.unpersist()
 
 
 def _quantiles(
-    values: DataFrame, columns: list[str], shares: Sequence[float], small: int, read_limit: int
+    values: DataFrame, columns: list[str], shares: Sequence[float], read_limit: int
 ) -> dict[str, list[float | None]]:
     first = values.agg(
         *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))],
@@ -73,17 +71,9 @@ def _quantiles(
     counts = [first[f"n{i}"] for i in range(len(columns))]
     out: dict[str, list[float | None]] = {c: [None] * len(shares) for c in columns}
 
-    few = [i for i, n in enumerate(counts) if 0 < n <= small]
-    if few:
-        row = values.agg(
-            *[F.percentile(f"v{i}", F.array(*map(F.lit, map(float, shares)))).alias(f"q{i}") for i in few]
-        ).first()
-        for i in few:
-            out[columns[i]] = list(row[f"q{i}"])
-
     targets = []
     for i, n in enumerate(counts):
-        if n > small:
+        if n:
             for s in shares:
                 place = s * (n - 1)
                 rank = min(int(math.floor(place)), max(n - 2, 0))
@@ -91,10 +81,10 @@ def _quantiles(
                 if s in (0, 1):
                     target.value = target.high if s else target.low
                 targets.append(target)
-    _narrow(values, targets, read_limit)
+    _narrow(values, targets, max(1, read_limit // max(1, len(targets))))
     done = iter(targets)
     for i, n in enumerate(counts):
-        if n > small:
+        if n:
             out[columns[i]] = [next(done).value for _ in shares]
     return out
 
@@ -150,19 +140,17 @@ def _narrow(values: DataFrame, targets: list[_Target], read_limit: int) -> None:
     rest = [t for t in open_ if t.value is None]
     if not rest:
         return
-    # Each bracket holds at most `read_limit` values, so these lists are bounded.
+    # Brackets hold at most `read_limit` values each, and all together no more than the caller allows.
+    brackets = list(dict.fromkeys((t.column, t.low, t.high) for t in rest))
     row = values.agg(
         *[
-            F.sort_array(
-                F.collect_list(
-                    F.when((F.col(t.column) >= t.low) & (F.col(t.column) <= t.high), F.col(t.column))
-                )
-            ).alias(f"l{k}")
-            for k, t in enumerate(rest)
+            F.sort_array(F.collect_list(F.when((F.col(c) >= low) & (F.col(c) <= high), F.col(c)))).alias(f"l{k}")
+            for k, (c, low, high) in enumerate(brackets)
         ]
     ).first()
-    for k, t in enumerate(rest):
-        found = row[f"l{k}"]
+    lists = {b: row[f"l{k}"] for k, b in enumerate(brackets)}
+    for t in rest:
+        found = lists[t.column, t.low, t.high]
         at = t.rank - t.below
         a = found[at]
         b = found[min(at + 1, len(found) - 1)]

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardtable.functions.expressions import col, scale_between
+from wardtable.functions.expressions import col, known, scale_between
 
 
 @dataclass(frozen=True)
@@ -22,8 +22,8 @@ class MinMax:
         if not columns:
             return cls({})
         row = df.agg(
-            *[F.min(col(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(columns)],
-            *[F.max(col(c).cast("double")).alias(f"hi{i}") for i, c in enumerate(columns)],
+            *[F.min(known(col(c).cast("double"))).alias(f"lo{i}") for i, c in enumerate(columns)],
+            *[F.max(known(col(c).cast("double"))).alias(f"hi{i}") for i, c in enumerate(columns)],
         ).first()
         return cls({c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)})
 
@@ -34,7 +34,7 @@ class MinMax:
             if low is None:
                 out.append(col(c))
             else:
-                out.append(scale_between(col(c).cast("double"), low, high).alias(c))
+                out.append(scale_between(known(col(c).cast("double")), low, high).alias(c))
         return df.select(*out)
 
     def save(self, spark, path: str) -> None:

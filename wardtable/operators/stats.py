@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardtable.functions.tables import literal_table
-from wardtable.functions.expressions import col, days_between
+from wardtable.functions.expressions import col, days_between, known
 from wardtable.operators.columns import columns_of, is_missing
-from wardtable.operators.quantiles import SMALL_COLUMN, exact_quantiles
+from wardtable.operators.quantiles import exact_quantiles
 
 # --- per key ----------------------------------------------------------------
 
@@ -21,7 +21,7 @@ from wardtable.operators.quantiles import SMALL_COLUMN, exact_quantiles
 def any_positive(df: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFrame:
     """True per key if any value is above 0; missing values do not count."""
     return df.groupBy(*keys).agg(
-        F.coalesce(F.bool_or(col(column) > 0), F.lit(False)).alias(out)
+        F.coalesce(F.bool_or(known(col(column)) > 0), F.lit(False)).alias(out)
     )
 
 
@@ -82,11 +82,11 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def outlier_limits(
-    df: DataFrame, columns: Sequence[str], k: float = 3.0, small: int = SMALL_COLUMN
+    df: DataFrame, columns: Sequence[str], k: float = 3.0
 ) -> dict[str, tuple[float, float]]:
     """``Q1 - k*IQR`` and ``Q3 + k*IQR`` for all columns together."""
     limits = {}
-    for c, (q1, q3) in exact_quantiles(df, columns, [0.25, 0.75], small).items():
+    for c, (q1, q3) in exact_quantiles(df, columns, [0.25, 0.75]).items():
         if q1 is not None:
             limits[c] = (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
     return limits
@@ -149,7 +149,6 @@ def quantile_recode(
     q: int = 4,
     suffix: str = "_recoded",
     on_ties: str = "collapse",
-    small: int = SMALL_COLUMN,
 ) -> DataFrame:
     """``{column}{suffix}`` with labels 0..q-1 by interpolated quantiles.
 
@@ -157,7 +156,7 @@ def quantile_recode(
     quantiles coincide instead of collapsing them.
     """
     shares = [i / q for i in range(q + 1)]
-    found = exact_quantiles(df, columns, shares, small)
+    found = exact_quantiles(df, columns, shares)
     return df.select("*", *_labels(found, suffix, on_ties))
 
 
@@ -178,18 +177,13 @@ def outliers_and_quartiles(
 ) -> DataFrame:
     """Null outliers beyond ``k`` interquartile ranges, then add quartile labels.
 
-    Columns that do not exist are skipped. The measured columns are kept while limits and
-    quartiles are found, so the input is computed once for both.
+    Columns that do not exist are skipped.
     """
     present = [c for c in columns if c in df.columns]
     if not present:
         return df
-    measured = df.select(*[col(c) for c in present]).persist()
-    try:
-        limits = outlier_limits(measured, present, k)
-        edges = exact_quantiles(clean_outliers(measured, limits), present, [0, 0.25, 0.5, 0.75, 1])
-    finally:
-        measured.unpersist()
+    limits = outlier_limits(df, present, k)
+    edges = exact_quantiles(clean_outliers(df, limits), present, [0, 0.25, 0.5, 0.75, 1])
     return clean_outliers(df, limits).select("*", *_labels(edges, "_recoded", on_ties))
 
 
@@ -336,15 +330,17 @@ def drop_correlated(
 
 
 def _bounds(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Smallest and largest value of each column, missing ones left out; 0 and 0 without a value."""
     row = df.agg(
-        *[F.min(col(c).cast("double")).alias(f"lo{i}") for i, c in enumerate(columns)],
-        *[F.max(col(c).cast("double")).alias(f"hi{i}") for i, c in enumerate(columns)],
+        *[F.min(known(col(c).cast("double"))).alias(f"lo{i}") for i, c in enumerate(columns)],
+        *[F.max(known(col(c).cast("double"))).alias(f"hi{i}") for i, c in enumerate(columns)],
     ).first()
-    return {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)}
+    return {c: (row[f"lo{i}"] or 0.0, row[f"hi{i}"] or 0.0) for i, c in enumerate(columns)}
 
 
 def bin_of(c: Column, low: float, high: float, bins: int) -> Column:
-    """0-based equal-width bin; the top edge belongs to the last bin."""
+    """0-based equal-width bin; the top edge belongs to the last bin, missing values to none."""
+    c = known(c)
     if not high > low:
         return F.when(c.isNotNull(), F.lit(0))
     place = F.floor((c.cast("double") - F.lit(low)) / F.lit((high - low) / bins))
@@ -356,7 +352,7 @@ def histogram(df: DataFrame, column: str, bins: int, by: Sequence[str] = ()) ->
     low, high = _bounds(df, [column])[column]
     width = (high - low) / bins
     return (
-        df.filter(col(column).isNotNull())
+        df.filter(known(col(column)).isNotNull())
         .groupBy(*by, bin_of(col(column), low, high, bins).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("left", F.lit(low) + F.col("bin") * F.lit(width))
@@ -438,9 +434,10 @@ def density(
     grid. The default bandwidth is Scott's rule on the whole column.
     """
     low, high = _bounds(df, [column])[column]
-    row = df.agg(F.stddev_samp(col(column)).alias("s"), F.count(col(column)).alias("n")).first()
+    value = known(col(column).cast("double"))
+    row = df.agg(F.stddev_samp(value).alias("s"), F.count(value).alias("n")).first()
     if bandwidth is None:
-        bandwidth = (row["s"] or 1.0) * row["n"] ** (-1 / 5)
+        bandwidth = (row["s"] or 1.0) * max(row["n"], 1) ** (-1 / 5)
     width = (high - low) / bins
     step = (high - low) / (grid - 1)
     counts = histogram(df, column, bins, by)

@@ -6,7 +6,7 @@ the input format of the study, so they are fixed values; keys are arguments.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -218,12 +218,12 @@ def mean_days_between_infections(groups: DataFrame, keys: Keys = KEYS) -> DataFr
 
 
 def infections_complete(
-    pivoted: DataFrame, groups: DataFrame, keys: Keys = KEYS, on_admission: bool = False
+    pivoted: DataFrame, groups: DataFrame, keys: Keys = KEYS, on_admission: bool = True
 ) -> DataFrame:
     """Infection counts with visits and recency.
 
-    By default recency joins on the person alone, so a person with several admissions
-    gets every combination; ``on_admission`` joins it to its own admission.
+    Recency joins its own admission; without ``on_admission`` it joins on the person alone, so a person
+    with several admissions gets every combination.
     """
     count, since = visits(groups, keys)
     joined = J.join_forms(pivoted, [count], [keys.person], balance=True)
@@ -281,7 +281,7 @@ def wide_table(
     colonised: DataFrame,
     cultures: DataFrame,
     keys: Keys = KEYS,
-    on_admission: bool = False,
+    on_admission: bool = True,
 ) -> DataFrame:
     """All forms on the patients; history and result columns by person or by admission."""
     joined = J.join_forms(base, forms, keys.both)
@@ -307,7 +307,7 @@ def aetiology_table(
     colonised: DataFrame,
     labs: DataFrame,
     keys: Keys = KEYS,
-    on_admission: bool = False,
+    on_admission: bool = True,
 ) -> DataFrame:
     """History-only table for predicting the organism, exploded and weighted."""
     joined = _with_result(base, cultures, keys, on_admission)
@@ -331,51 +331,92 @@ def final_columns(wide: DataFrame) -> DataFrame:
 def build(
     catalog: dict[str, DataFrame],
     keys: Keys = KEYS,
-    on_admission: bool = False,
+    on_admission: bool = True,
     stable_columns: bool = True,
-) -> dict[str, DataFrame]:
-    """Every result table by name, lazily; see ``save_results`` for the sinks.
+) -> Mapping[str, DataFrame]:
+    """Every result table by name; see ``save_results`` for the sinks.
+
+    A table is made when it is first asked for, and then only with the tables it needs: quantiles of
+    the signs, for instance, are looked for only by tables that hold signs.
 
     ``stable_columns`` takes the organism columns from the dictionary: one small job instead
     of one pass over each form, and the same columns on every run. A group that a form never
     mentions is then a column of zeros; without it the column is left out.
     """
-    infections_form = catalog["tbl_infecciones_previas"]
-    organisms = organism_dictionary(catalog["tbl_microorganismos"])
-    labels = R.level_values(organisms, "label") if stable_columns else None
-    results = sorted([*labels, NEGATIVE]) if stable_columns else None
-    out = {
-        "patients": patients(catalog["tbl_paciente"], catalog["tbl_personid2center"], infections_form, keys),
-        "comorbidities": comorbidities(catalog["tbl_comorbilidad"]),
-        "risk_factors": catalog["tbl_factores_riesgo_bmr"],
-        "symptoms": symptoms(catalog["tbl_sintomas"], keys),
-        "vital_signs": vital_signs(catalog["tbl_signos"], keys),
-        "sepsis_labs": sepsis_labs(catalog["tbl_sepsis"], keys),
-        "organisms": organisms,
-        "blood_cultures": blood_cultures(catalog["tbl_hemocultivo_de_urgencias"], organisms, keys, results),
-        "colonisations": colonisations(catalog["tbl_colonizaciones_previas"], organisms, keys, labels),
-        "other_cultures": other_cultures(catalog["tbl_otros_cultivos_en_urgencias"], organisms, keys, results),
-    }
-    groups = infection_groups(infections_form, organisms)
-    out["previous_infections"] = previous_infections(groups, keys, labels)
-    out["infections_complete"] = infections_complete(out["previous_infections"], groups, keys, on_admission)
     forms = ["comorbidities", "risk_factors", "sepsis_labs", "vital_signs", "symptoms", "other_cultures"]
-    wide = wide_table(
-        out["patients"], [out[f] for f in forms], out["infections_complete"], out["colonisations"],
-        out["blood_cultures"], keys, on_admission,
-    )
-    out["wide"] = organism_totals(wide, organisms)
-    out["exploded"] = explode_weighted(out["wide"], keys)
-    out["aetiology"] = aetiology_table(
-        out["patients"], out["blood_cultures"], out["infections_complete"], out["colonisations"],
-        out["sepsis_labs"], keys, on_admission,
+
+    def labels(t: Built) -> list | None:
+        return t.once("labels", lambda: R.level_values(t["organisms"], "label")) if stable_columns else None
+
+    def results(t: Built) -> list | None:
+        return sorted([*labels(t), NEGATIVE]) if stable_columns else None
+
+    def groups(t: Built) -> DataFrame:
+        return t.once("groups", lambda: infection_groups(catalog["tbl_infecciones_previas"], t["organisms"]))
+
+    return Built(
+        {
+            "patients": lambda t: patients(
+                catalog["tbl_paciente"], catalog["tbl_personid2center"], catalog["tbl_infecciones_previas"], keys
+            ),
+            "comorbidities": lambda t: comorbidities(catalog["tbl_comorbilidad"]),
+            "risk_factors": lambda t: catalog["tbl_factores_riesgo_bmr"],
+            "symptoms": lambda t: symptoms(catalog["tbl_sintomas"], keys),
+            "vital_signs": lambda t: vital_signs(catalog["tbl_signos"], keys),
+            "sepsis_labs": lambda t: sepsis_labs(catalog["tbl_sepsis"], keys),
+            "organisms": lambda t: organism_dictionary(catalog["tbl_microorganismos"]),
+            "blood_cultures": lambda t: blood_cultures(
+                catalog["tbl_hemocultivo_de_urgencias"], t["organisms"], keys, results(t)
+            ),
+            "colonisations": lambda t: colonisations(
+                catalog["tbl_colonizaciones_previas"], t["organisms"], keys, labels(t)
+            ),
+            "other_cultures": lambda t: other_cultures(
+                catalog["tbl_otros_cultivos_en_urgencias"], t["organisms"], keys, results(t)
+            ),
+            "previous_infections": lambda t: previous_infections(groups(t), keys, labels(t)),
+            "infections_complete": lambda t: infections_complete(t["previous_infections"], groups(t), keys, on_admission),
+            "wide": lambda t: organism_totals(
+                wide_table(
+                    t["patients"], [t[f] for f in forms], t["infections_complete"], t["colonisations"],
+                    t["blood_cultures"], keys, on_admission,
+                ),
+                t["organisms"],
+            ),
+            "exploded": lambda t: explode_weighted(t["wide"], keys),
+            "aetiology": lambda t: aetiology_table(
+                t["patients"], t["blood_cultures"], t["infections_complete"], t["colonisations"], t["sepsis_labs"],
+                keys, on_admission,
+            ),
+            "processed": lambda t: final_columns(t["wide"]),
+        }
     )
-    out["processed"] = final_columns(out["wide"])
-    return out
+
+
+class Built(Mapping):
+    """Tables by name, each made once, when it is first asked for."""
+
+    def __init__(self, recipes: dict[str, Callable[[Built], DataFrame]]):
+        self._recipes = recipes
+        self._made: dict = {}
+
+    def once(self, name: str, make: Callable):
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.once(name, lambda: self._recipes[name](self))
+
+    def __iter__(self):
+        return iter(self._recipes)
+
+    def __len__(self) -> int:
+        return len(self._recipes)
 
 
 def save_results(
-    catalog: dict[str, DataFrame], folder: str, keys: Keys = KEYS, on_admission: bool = False
+    catalog: dict[str, DataFrame], folder: str, keys: Keys = KEYS, on_admission: bool = True
 ) -> dict[str, DataFrame]:
     """Runs the whole job with one named parquet sink per table, each read back by its name.
 

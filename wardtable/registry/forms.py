@@ -307,7 +307,7 @@ def _(t):
 @query("visits_by_person", with_steps("select * from infections_by_person"))
 def _(t):
     groups = _groups(t)
-    return plain(P.infections_complete(P.previous_infections(groups), groups))
+    return plain(P.infections_complete(P.previous_infections(groups), groups, on_admission=False))
 
 
 @query("visits_by_admission", with_steps("select * from infections_complete"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from wardtable.operators import models as M
@@ -13,6 +11,7 @@ from wardtable.plans import forms as FP
 from wardtable.plans import modelling as MP
 from wardtable.registry.base import query
 from wardtable.registry.forms import form, with_steps
+from wardtable.session import new_folder
 from wardtable.sources import catalog as K
 
 # --- data sets from the given tables ----------------------------------------
@@ -247,14 +246,6 @@ def _(t):
 # --- sources and sinks ------------------------------------------------------
 
 
-def _scratch(t, name):
-    """A new folder under the cluster's shared one, or a local one where none is named."""
-    from wardtable.session import shared_folder
-
-    root = shared_folder(t.spark, fallback=tempfile.gettempdir())
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=root) if "://" not in root else f"{root}/{name}"
-
-
 @query(
     "catalog",
     """select form, n_columns from (values ('customer', 5), ('events', 6), ('lineitem', 11), ('nation', 3), ('orders', 6),
@@ -294,7 +285,7 @@ def _(t):
     rows = t("orders").select(
         "o_orderkey", "o_orderstatus", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("o_orderpriority"), "o_totalprice"
     )
-    path = _scratch(t, "csv")
+    path = new_folder(t.spark, "csv")
     K.write_csv(rows, path)
     return K.read_csv(t.spark, path, schema="o_orderkey bigint, o_orderstatus string, o_orderpriority string, o_totalprice double")
 
@@ -302,7 +293,7 @@ def _(t):
 @query("save_load")
 def _(t):
     parts = MP.prepare(documents_set(t))
-    path = _scratch(t, "model")
+    path = new_folder(t.spark, "model")
     M.fit(parts.train, "svc", {"kernel": "rbf", "components": 16, "gamma": "auto"}, MP.LABEL).save(path)
     return M.score_rows(M.load(path, "svc"), parts.test, MP.LABEL, [MP.KEY])
 

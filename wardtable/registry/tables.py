@@ -10,6 +10,7 @@ from wardtable.operators import columns as C
 from wardtable.operators import joins as J
 from wardtable.operators import reshape as R
 from wardtable.operators import stats as S
+from wardtable.operators.scaling import MinMax
 from wardtable.registry.base import query
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -417,7 +418,6 @@ def _(t):
                        max(l_quantity) as qhi from lineitem)""",
 )
 def _(t):
-    from wardtable.operators.scaling import MinMax
 
     rows = t("lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
@@ -434,15 +434,20 @@ def _(t):
     "rename_columns",
     """select c_custkey, "A", "B" from (select o_custkey as c_custkey,
          count(*) filter (where o_orderstatus = 'F') as "A", count(*) filter (where o_orderstatus = 'O') as "B"
-       from orders group by 1) order by c_custkey limit 5""",
+       from orders group by 1)""",
 )
 def _(t):
     wide = R.pivot_count(t("orders"), ["o_custkey"], "o_orderstatus")
     names = C.names_from_codes([{"value": "F", "name": " A"}, {"value": "O", "name": " B"}], "{}", "{}")
     renamed = C.rename_columns(wide, {**names, "o_custkey": "c_custkey", "absent": "x"})
     wanted = ["c_custkey", *C.merged_names(["B", "A"], ["A"])]
-    kept = C.keep_columns(C.drop_columns(renamed, ["P", "not_there"]), wanted)
-    return kept.orderBy(F.asc_nulls_last("c_custkey")).limit(5)
+    return C.keep_columns(C.drop_columns(renamed, ["P", "not_there"]), wanted)
+
+
+@query("head_rows", "select c_custkey, c_mktsegment from customer order by c_custkey nulls last limit 5")
+def _(t):
+    """The first rows of a table are the feature here."""
+    return t("customer").select("c_custkey", "c_mktsegment").orderBy(F.asc_nulls_last("c_custkey")).limit(5)
 
 
 def _holey(t):
@@ -834,3 +839,65 @@ def _(t):
 def _(t):
     d = S.density(t("lineitem"), "l_quantity", bins=50, grid=20, by=["l_returnflag"])
     return d.withColumn("x", F.round("x", 6)).withColumn("density", F.round("density", 7))
+
+
+# --- NaN is missing ---------------------------------------------------------
+
+
+def _with_nan(t):
+    """Customers with NaN planted in the balance, and a flag."""
+    nan = F.lit(float("nan"))
+    balance = F.when(F.col("c_custkey") % 7 == 0, nan).otherwise(F.col("c_acctbal"))
+    flag = F.when(F.col("c_custkey") % 5 == 0, nan).otherwise((F.col("c_custkey") % 2).cast("double"))
+    return t("customer").select("c_custkey", "c_nationkey", balance.alias("balance"), flag.alias("flag"))
+
+
+_WITH_NAN = """n as (select c_custkey, c_nationkey, case when c_custkey % 7 <> 0 then c_acctbal end as balance,
+            case when c_custkey % 5 <> 0 then cast(c_custkey % 2 as double) end as flag from customer)"""
+
+
+@query(
+    "nan_flags",
+    f"""with {_WITH_NAN} select c_custkey,
+        case when balance >= 5000 then 2 when balance >= 0 then 0 when balance is not null then 1 end as class,
+        case when balance is null then c_nationkey when balance > 1000 then 1 else 0 end as raised,
+        case when flag > 0 then 1 else 0 end as present,
+        case when balance is not null and flag is not null then c_nationkey end as score from n""",
+)
+def _(t):
+    return _with_nan(t).select(
+        "c_custkey",
+        X.temperature_class(F.col("balance"), 5000, 0).alias("class"),
+        X.threshold_flag(F.col("balance"), F.col("c_nationkey"), ">", 1000).alias("raised"),
+        X.presence(F.col("flag")).alias("present"),
+        X.only_if_complete(F.col("c_nationkey"), [F.col("balance"), F.col("flag")]).alias("score"),
+    )
+
+
+@query(
+    "nan_complete_cases",
+    f"""with {_WITH_NAN} select c_custkey, c_nationkey, balance, flag from n where balance is not null and flag is not null
+        union all select c_custkey, c_nationkey, coalesce(balance, 0), coalesce(flag, 0) from n
+        where balance is null or flag is null""",
+)
+def _(t):
+    rows = _with_nan(t)
+    complete = C.drop_incomplete_rows(rows)
+    rest = rows.join(complete.select("c_custkey"), "c_custkey", "left_anti")
+    return complete.unionByName(C.fill_missing(rest, 0))
+
+
+@query(
+    "nan_scale_histogram",
+    f"""with {_WITH_NAN}, b as (select min(balance) as lo, max(balance) as hi from n),
+        h as (select least(cast(floor((balance - lo) / ((hi - lo) / 8)) as integer), 7) as bin,
+                     (balance - lo) / (hi - lo) as scaled from n, b where balance is not null)
+        select bin, count(*) as n, round(avg(scaled), 6) as scaled from h group by bin""",
+)
+def _(t):
+    rows = _with_nan(t)
+    counts = S.histogram(rows, "balance", 8).select("bin", "n")
+    scaled = MinMax.fit(rows, ["balance"]).transform(rows)
+    bins = scaled.select(S.bin_of(F.col("balance"), 0.0, 1.0, 8).alias("bin"), F.col("balance").alias("scaled"))
+    means = bins.filter("bin is not null").groupBy("bin").agg(F.round(F.avg("scaled"), 6).alias("scaled"))
+    return counts.join(means, "bin")

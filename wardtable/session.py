@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "wardtable") -> SparkSession:
@@ -40,10 +42,11 @@ def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
     return fallback
 
 
-def cut_lineage(df: DataFrame, fallback: str | None = None) -> DataFrame:
-    """Reliable checkpoint in the shared folder (never a local one)."""
-    spark = df.sparkSession
-    folder = shared_folder(spark, fallback)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own, not made yet, in the shared folder.
+
+    Where ``spark.checkpoint.dir`` is unset a folder of this machine is used in local mode alone.
+    """
+    local = spark.sparkContext.master.startswith("local[")
+    fallback = "file://" + tempfile.gettempdir() if local else None
+    return f"{shared_folder(spark, fallback).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -6,7 +6,9 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from wardtable.functions.expressions import col, known
 from wardtable.functions.tables import literal_table
 from wardtable.operators.columns import rename_columns
 from wardtable.operators.joins import codes_to_names
@@ -36,10 +38,18 @@ def load_catalog(spark: SparkSession, path: str, fmt: str = "parquet", **options
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
         fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         where = file if fs.exists(hadoop) else os.path.join(path, name)
-        out[name] = read_csv(spark, where, **options) if fmt == "csv" else spark.read.parquet(where)
+        out[name] = nan_to_null(read_csv(spark, where, **options) if fmt == "csv" else spark.read.parquet(where))
     return out
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN in number columns, the missing marker of tables written from pandas, becomes null."""
+    numbers = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    if not numbers:
+        return df
+    return df.select(*[known(col(c)).alias(c) if c in numbers else col(c) for c in df.columns])
+
+
 def load_jdbc(
     spark: SparkSession,
     url: str,
@@ -52,7 +62,7 @@ def load_jdbc(
     ``upperBound`` and ``numPartitions`` there, so that large tables are read in parallel.
     """
     return {
-        name: spark.read.format("jdbc").option("url", url).option("dbtable", name).options(**options, **own).load()
+        name: nan_to_null(spark.read.format("jdbc").option("url", url).option("dbtable", name).options(**options, **own).load())
         for name, own in tables.items()
     }
 
