@@ -11,6 +11,7 @@ from wardtable.plans import forms as FP
 from wardtable.plans import modelling as MP
 from wardtable.registry.base import query
 from wardtable.registry.forms import form, with_steps
+from wardtable.registry.metrics import TEST_LIMIT, hash_sql
 from wardtable.session import new_folder
 from wardtable.sources import catalog as K
 
@@ -90,11 +91,23 @@ def _(t):
     return scores_of(t, "knn_classifier", {"n_neighbors": 7, "weights": "distance", "metric": "manhattan"}, documents_set)
 
 
-@query("score_rows")
+#: Test rows with their labels, and what holds for every scored row.
+_SCORED = f"""select cast(doc_id as bigint) as {MP.KEY}, quality as {MP.LABEL}, %s
+    from labels join documents using (doc_id) where {hash_sql('doc_id')} < {TEST_LIMIT}"""
+
+
+def _agreement():
+    """1 where the score is a probability and the prediction is what it says."""
+    said = (F.col("score") > 0.5).cast("int") == F.col("prediction")
+    return (said & F.col("score").between(0, 1)).cast("int").alias("agrees")
+
+
+@query("score_rows", _SCORED % "1 as agrees")
 def _(t):
     parts = MP.prepare(documents_set(t))
     model = M.fit(parts.train, "logistic_regression", {}, MP.LABEL)
-    return M.score_rows(model, parts.test, MP.LABEL, [MP.KEY])
+    scored = M.score_rows(model, parts.test, MP.LABEL, [MP.KEY])
+    return scored.select(MP.KEY, MP.LABEL, _agreement())
 
 
 @query("class_balance", """select quality, count(*) as n, round(sum(w), 6) as weight from
@@ -290,11 +303,19 @@ def _(t):
     return K.read_csv(t.spark, path, schema="o_orderkey bigint, o_orderstatus string, o_orderpriority string, o_totalprice double")
 
 
-@query("save_load")
+@query("save_load", _SCORED % "1 as valid, 0 as differs")
 def _(t):
+    """Scores of a model that was written and read, and where they differ from those before."""
     parts = MP.prepare(documents_set(t))
     path = new_folder(t.spark, "model")
-    M.fit(parts.train, "svc", {"kernel": "rbf", "components": 16, "gamma": "auto"}, MP.LABEL).save(path)
-    return M.score_rows(M.load(path, "svc"), parts.test, MP.LABEL, [MP.KEY])
+    fitted = M.fit(parts.train, "svc", {"kernel": "rbf", "components": 16, "gamma": "auto"}, MP.LABEL)
+    fitted.save(path)
+    scored = M.score_rows(M.load(path, "svc"), parts.test, MP.LABEL, [MP.KEY])
+    before = M.score_rows(fitted, parts.test, MP.LABEL, [MP.KEY])
+    before = before.select(MP.KEY, F.col("prediction").alias("_prediction"), F.col("score").alias("_score"))
+    same = (F.col("prediction") == F.col("_prediction")) & (F.col("score") == F.col("_score"))
+    return scored.join(before, MP.KEY, "left").select(
+        MP.KEY, MP.LABEL, F.col("score").between(0, 1).cast("int").alias("valid"), F.coalesce((~same).cast("int"), F.lit(1)).alias("differs")
+    )
 
 

@@ -393,9 +393,12 @@ def _(t):
     )
 
 
-@query("run_stamp")
+@query("run_stamp", "select r_regionkey, 1 as well_formed, 15 as length from region")
 def _(t):
-    return t("region").select("r_regionkey", X.run_stamp().alias("stamp"))
+    """The stamp differs from run to run; its form does not."""
+    stamped = t("region").select("r_regionkey", X.run_stamp().alias("stamp"))
+    well_formed = F.col("stamp").rlike("^20[0-9]{6}_[0-2][0-9][0-5][0-9][0-5][0-9]$").cast("int")
+    return stamped.select("r_regionkey", well_formed.alias("well_formed"), F.length("stamp").alias("length"))
 
 
 @query(
