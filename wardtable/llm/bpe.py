@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from wardtable.llm.common import map_text
 
 #: Distinct stretches that a task remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED = 150_000
+REMEMBERED = 60_000
 #: Stretches of visible characters with the white space before them.
 STRETCHES = r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+"
 

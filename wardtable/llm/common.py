@@ -53,6 +53,13 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: where the session has the default of 10,000 rows for each batch that goes to Python, 1,000 are sent."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -65,6 +72,7 @@ def map_text(
     ``work`` is called once per task; texts come in small slices, so that memory follows
     the longest texts and not the number of rows.
     """
+    small_batches(df.sparkSession)
     fields = df.select(*[col(c) for c in keep]).schema
     out = _add(fields, schema)
     arrow = _arrow_schema(out)

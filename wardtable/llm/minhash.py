@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wardtable.llm.common import col, map_text, parts, saved
+from wardtable.llm.common import col, map_text, parts, saved, small_batches
 from wardtable.llm.components import components
 
 WORDS = 5
@@ -107,6 +107,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def with_next(df: DataFrame, key: str, text: str, schema: str, work) -> DataFrame:
     """``key`` and what ``work(text, next_text)`` returns for every row; the last row is followed by the first."""
     spark = df.sparkSession
+    small_batches(spark)
     ids = df.select(F.coalesce(col(key).cast("bigint"), F.lit(-(1 << 63))).alias("_k"))
     rows = ids.count()
     ranges = max(1, 4 * parts(spark), -(-rows // RANGE_ROWS))

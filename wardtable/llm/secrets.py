@@ -23,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from wardtable.llm.common import map_text
+from wardtable.llm.common import map_text, small_batches
 
 ALL = frozenset(range(256))
 #: Stretches scanned side by side.
@@ -404,6 +404,7 @@ def redact(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE + F
     """
     import pyarrow as pa
 
+    small_batches(df.sparkSession)
     names, kinds = df.columns, [r.kind for r in rules]
     at = names.index(text)
     count = names.index("n_chars") if "n_chars" in names and dict(df.dtypes)["n_chars"] in ("int", "bigint") else None

@@ -64,10 +64,10 @@ def scheme(longs: int, radius: int, segments: int, blocks: int) -> Scheme:
 EXACT_64 = scheme(1, 4, 2, 5)
 
 
-def near_128(radius: int) -> Scheme:
-    """For likeness of shingles: five segments of 128 bits, each with five blocks of eight of the other bits."""
+def near_128(radius: int, blocks: int = 6) -> Scheme:
+    """For likeness of shingles: five segments of 128 bits, each with some of the 13 blocks of eight of the other bits."""
     wide = scheme(2, radius, 5, 13)
-    return Scheme(2, radius, tuple((start, blocks[i::3][:5]) for i, (start, blocks) in enumerate(wide.segments)))
+    return Scheme(2, radius, tuple((start, (*found[2 * i :], *found)[:blocks]) for i, (start, found) in enumerate(wide.segments)))
 
 
 # --- fingerprints -----------------------------------------------------------
@@ -136,21 +136,20 @@ def fuzzy_keys(prints: np.ndarray, how: Scheme) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(rows), np.concatenate(found)
 
 
-def _distance_hits(prints: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
-    return np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype="i8") <= radius
+def _distances(prints: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype="i8")
 
 
-def stars(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(centre, row) for rows of whole groups of equal keys, sorted by key: a star for each connected part."""
+def pairs_within(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows with equal keys and at most ``radius`` differing bits; rows are whole groups, sorted by key."""
     begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(begins, len(keys)))
-    label = np.arange(len(keys))
     left = np.repeat(begins + sizes, sizes) - np.arange(len(keys)) - 1  # rows after each one in its group
     hits = []
     small = np.flatnonzero((left > 0) & (np.repeat(sizes, sizes) <= 64))
     step = 1
     while len(small):
-        ok = _distance_hits(prints, small, small + step, radius)
+        ok = _distances(prints, small, small + step) <= radius
         hits.append((small[ok], small[ok] + step))
         step += 1
         small = small[left[small] >= step]
@@ -161,22 +160,58 @@ def stars(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray
             x, y = np.nonzero(far <= radius)
             x, y = i[x], y + a
             hits.append((x[x < y], y[x < y]))
-    if hits:
-        i, j = (np.concatenate(side) for side in zip(*hits, strict=True))
-        while len(i):
-            low = np.minimum(label[i], label[j])
-            new = label.copy()
-            np.minimum.at(new, i, low)
-            np.minimum.at(new, j, low)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
+    if not hits:
+        return np.zeros(0, "i8"), np.zeros(0, "i8")
+    i, j = (np.concatenate(side) for side in zip(*hits, strict=True))
+    return i, j
+
+
+def _merge(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest row that each of ``n`` rows reaches over the pairs."""
+    label = np.arange(n)
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        if (label[i] == low).all() and (label[j] == low).all():
+            break
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+    return label
+
+
+def stars(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(centre, row): a star for each connected part of each group."""
+    label = _merge(len(keys), *pairs_within(keys, prints, radius))
     rows = np.flatnonzero(label != np.arange(len(label)))
     return label[rows], rows
 
 
-def _links_in_groups(keyed: DataFrame, how: Scheme, together: int | None) -> DataFrame:
+def nearest_forest(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect each part of each group by its smallest distances: a minimum spanning forest.
+
+    In each round every part takes its nearest pair to another part (ties by number, so no circle arises).
+    """
+    i, j = pairs_within(keys, prints, radius)
+    weight = (_distances(prints, i, j) << 40) | np.arange(len(i))
+    label, taken = np.arange(len(keys)), []
+    while True:
+        apart = label[i] != label[j]
+        i, j, weight = i[apart], j[apart], weight[apart]
+        if not len(i):
+            break
+        best = np.full(len(keys), np.iinfo("i8").max)
+        np.minimum.at(best, label[i], weight)
+        np.minimum.at(best, label[j], weight)
+        pick = (weight == best[label[i]]) | (weight == best[label[j]])
+        taken.append((i[pick], j[pick]))
+        label = _merge(len(keys), label[i[pick]], label[j[pick]])[label]
+    if not taken:
+        return i, j
+    a, b = (np.concatenate(side) for side in zip(*taken, strict=True))
+    return a, b
+
+
+def _links_in_groups(keyed: DataFrame, how: Scheme, together: int | None, reduce: Callable) -> DataFrame:
     """Links within groups of equal ``key`` (rows come sorted by it); groups beyond ``together`` pass with their key."""
     names = _names(how.longs)
     schema = ", ".join(["key bigint", *[f"a{n} bigint" for n in names], *[f"b{n} bigint" for n in names]])
@@ -195,7 +230,7 @@ def _links_in_groups(keyed: DataFrame, how: Scheme, together: int | None) -> Dat
 
         def passed(keys: np.ndarray, prints: np.ndarray):
             if len(keys):
-                centre, row = stars(keys, prints, how.radius)
+                centre, row = reduce(keys, prints, how.radius)
                 if len(row):
                     yield batch(None, prints[centre], prints[row])
 
@@ -236,8 +271,11 @@ def _sorted_by_key(keyed: DataFrame) -> DataFrame:
     return keyed.repartition(n, "key").sortWithinPartitions("key")
 
 
-def links(prints: DataFrame, how: Scheme) -> DataFrame:
-    """Distinct links (``a``, ``b`` as hexadecimal) that connect the distinct fingerprints of ``prints`` as all links do."""
+def links(prints: DataFrame, how: Scheme, reduce: Callable = stars) -> DataFrame:
+    """Distinct links (``a``, ``b`` as hexadecimal) that connect the distinct fingerprints of ``prints`` as all links do.
+
+    ``reduce`` turns the pairs of a group into few: ``stars``, or ``nearest_forest`` where each link is to be a true pair.
+    """
     names = _names(how.longs)
     distinct = prints.select(*names).distinct()
 
@@ -251,7 +289,7 @@ def links(prints: DataFrame, how: Scheme) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["key", *names])
 
     schema = ", ".join(["key bigint", *[f"{n} bigint" for n in names]])
-    first = saved(_links_in_groups(_sorted_by_key(distinct.mapInArrow(keyed, schema)), how, TOGETHER), "links")
+    first = saved(_links_in_groups(_sorted_by_key(distinct.mapInArrow(keyed, schema)), how, TOGETHER, reduce), "links")
     # Large groups: pairs of blocks, as many as their size asks for.
     late = first.filter("key is not null").select("key", *[col(f"a{n}").alias(n) for n in names])
     sizes = late.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("_blocks"))
@@ -262,21 +300,56 @@ def links(prints: DataFrame, how: Scheme) -> DataFrame:
         .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)))
         .select(F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("key"), *names)
     )
-    second = _links_in_groups(_sorted_by_key(pairs), how, None)
+    second = _links_in_groups(_sorted_by_key(pairs), how, None, reduce)
     ends = [hexadecimal(*[col(f"{side}{n}") for n in names]).alias(side) for side in "ab"]
     return first.filter("key is null").select(*ends).unionByName(second.select(*ends)).distinct()
 
 
+def verified(
+    df: DataFrame, prints: DataFrame, found: DataFrame, key: str, text: str, words: int, least: float
+) -> DataFrame:
+    """The links whose texts' shingle sets have a Jaccard likeness of ``least`` or more.
+
+    Each fingerprint stands for the text of its smallest key. Only texts with a link are read into shingles.
+    """
+    shown = hexadecimal(*[col(n) for n in prints.columns if n != key])
+    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
+    named = prints.groupBy(shown.alias("node")).agg(F.min(col(key)).alias("_key")).join(ends, "node")
+    texts = df.select(col(key).alias("_key"), col(text).alias("_said")).join(named, "_key")
+
+    def work() -> Callable[[list[str]], list[tuple]]:
+        return lambda texts: [(np.unique(shingle_hashes(t, words, 1, 0)[:, 0].astype("u8").view("i8")),) for t in texts]
+
+    sets = saved(map_text(texts, "_said", "shingles array<bigint>", work, ["node"]).dropDuplicates(["node"]), "shingles")
+    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a"))
+    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b"))
+    common = F.size(F.array_intersect("_a", "_b"))
+    alike = common >= least * (F.size("_a") + F.size("_b") - common)
+    return found.join(a, "a").join(b, "b").filter(alike).select("a", "b")
+
+
 def near_duplicates(
-    df: DataFrame, how: Scheme, key: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42
+    df: DataFrame,
+    how: Scheme,
+    key: str = "doc_id",
+    text: str = "text",
+    words: int = 4,
+    seed: int = 42,
+    least: float | None = None,
 ) -> DataFrame:
     """``key``, ``fingerprint`` (hexadecimal) and ``component_id`` (smallest key that links reach), a row for each row.
 
+    With ``least`` links must also have that Jaccard likeness of shingle sets: each key then gives the pairs that connect
+    its fingerprints by the smallest distances, so the nearest pair of two texts is the one that is looked at.
     Null keys are numbers after all others. No rows: none come out.
     """
     names = _names(how.longs)
     prints = saved(fingerprints(df, key, text, words, how.longs, seed), "fingerprints")
-    labels = components(links(prints, how))
+    if least is None:
+        found = links(prints, how)
+    else:
+        found = verified(df, prints, saved(links(prints, how, nearest_forest), "pairs"), key, text, words, least)
+    labels = components(found)
     shown = hexadecimal(*[col(n) for n in names])
     classes = prints.groupBy(shown.alias("fingerprint")).agg(F.min(col(key)).alias("_least"))
     classes = classes.join(labels.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
@@ -290,14 +363,20 @@ def near_duplicates(
 
 
 def drop_near_duplicates(
-    df: DataFrame, how: Scheme, key: str = "doc_id", text: str = "text", words: int = 5, seed: int = 42
+    df: DataFrame,
+    how: Scheme,
+    key: str = "doc_id",
+    text: str = "text",
+    words: int = 5,
+    seed: int = 42,
+    least: float | None = 0.8,
 ) -> DataFrame:
     """One row of each group of near-duplicates, the one with the smallest key; all its columns as they are.
 
     Rows that repeat a key are one document, of which one row stays. Rows without a key can't be
     named and all stay.
     """
-    found = near_duplicates(df.filter(col(key).isNotNull()), how, key, text, words, seed)
+    found = near_duplicates(df.filter(col(key).isNotNull()), how, key, text, words, seed, least)
     kept = found.filter(col(key) == F.col("component_id")).select(col(key)).distinct()
     # The semi join leaves rows dealt and sorted by key, which is what dropping repeats needs.
     named = df.join(kept, key, "left_semi").dropDuplicates([key])

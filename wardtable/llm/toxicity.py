@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardtable.llm.common import col, map_text
+from wardtable.llm.common import col, map_text, small_batches
 
 PLACES = 1 << 20
 BEGINNINGS = (5, 6, 7)
@@ -123,6 +123,7 @@ def train(
 ) -> tuple[np.ndarray, np.ndarray, float]:
     """The fitted model, a few thousand numbers, from about ``rows`` of the labelled rows."""
     known = labels.filter(col(key).isNotNull() & col(label).isNotNull()).groupBy(col(key)).agg(F.max(col(label)).alias("_y"))
+    small_batches(df.sparkSession)
     total = known.count()
     limit = 1 << 30
     drawn = F.pmod(F.xxhash64(col(key).cast("string"), F.lit(how.seed)), F.lit(limit))
@@ -183,6 +184,7 @@ def drop_toxic(
     df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", threshold: float = 0.5
 ) -> DataFrame:
     """The rows whose score is below ``threshold``, their columns as they are."""
+    small_batches(df.sparkSession)
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
