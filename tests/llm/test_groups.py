@@ -76,6 +76,53 @@ def test_no_link_is_lost(spark, monkeypatch, together):
     assert merged(every, pairs) == merged(every, brute)
 
 
+def test_groups_are_joined_by_their_smallest_distances():
+    draw = np.random.default_rng(3)
+    for _ in range(40):
+        n = int(draw.integers(1, 300))
+        keys = np.sort(draw.integers(0, max(1, n // int(draw.integers(1, 90))), n))
+        words = draw.integers(0, 1 << 60, 5)[draw.integers(0, 5, n)] ^ (1 << draw.integers(0, 60, n)) ^ (1 << draw.integers(0, 60, n))
+        prints = words.astype("u8").reshape(-1, 1)
+        every = [
+            (int(np.bitwise_count(prints[i, 0] ^ prints[j, 0])), i, j)
+            for i in range(n) for j in range(i + 1, n) if keys[i] == keys[j]
+        ]
+        near = sorted(p for p in every if p[0] <= 4)
+        want = merged(range(n), [(i, j) for _, i, j in near])
+        for reduce in (simhash.stars, simhash.nearest_forest):
+            a, b = (side.tolist() for side in reduce(keys, prints, 4))
+            assert merged(range(n), zip(a, b, strict=True)) == want and len(a) == n - len(set(want.values()))
+        least, parent = 0, {i: i for i in range(n)}
+        for d, i, j in near:
+            x, y = sorted((parent[i], parent[j]))
+            if x != y:
+                least += d
+                parent = {k: x if v == y else v for k, v in parent.items()}
+        assert sum(int(np.bitwise_count(prints[i, 0] ^ prints[j, 0])) for i, j in zip(a, b, strict=True)) == least
+
+
+def test_verified_links_are_alike(docs):
+    draw = random.Random(9)
+    words = [f"w{i}" for i in range(2000)]
+    rows = []
+    for g in range(25):
+        base = [draw.choice(words) for _ in range(150)]
+        for c in range(6):
+            text = list(base)
+            for _ in range(3 * c):
+                text[draw.randrange(len(text))] = draw.choice(words)
+            rows.append((10 * g + c, " ".join(text), "a"))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t, _ in rows}
+    ids = sorted(sets)
+    likeness = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for i, a in enumerate(ids) for b in ids[i + 1 : i + 6]}
+    exact = merged(ids, [p for p, x in likeness.items() if x >= 0.8])
+    got = simhash.near_duplicates(docs(rows), simhash.near_128(26), words=5, least=0.8).collect()
+    found = {r["doc_id"]: r["component_id"] for r in got}
+    for i in ids:  # nothing is joined that links of 0.8 don't join, and most of these links are found
+        assert exact[found[i]] == exact[i]
+    assert sum(found[i] == exact[i] for i in ids) >= 0.95 * len(ids)
+
+
 def near_texts():
     draw = random.Random(5)
     words = [f"w{i}" for i in range(900)]
