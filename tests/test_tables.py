@@ -200,3 +200,21 @@ def test_charts_of_columns_without_values(spark):
     assert S.histogram(df, "x", 4).count() == 0
     assert S.pair_bins(df, ["x", "y"], "hue").count() == 0
     assert S.density(df, "x").count() == 0
+
+
+def test_correlations_use_rows_with_both_values(spark):
+    import numpy as np
+    import pandas as pd
+
+    draw = np.random.default_rng(1)
+    data = pd.DataFrame(draw.normal(size=(60, 5)), columns=list("abcde"))
+    data["e"] = 1.0
+    data = data.mask(draw.random(data.shape) < 0.2)
+    data["d"] = data["d"].where(data["a"].isna())  # never there together with a
+    df = spark.createDataFrame(data)
+    got = {(r["column_a"], r["column_b"]): r["r"] for r in S.correlations(df, list("abcde")).collect()}
+    want = data.corr()
+    assert len(got) == 10
+    for (a, b), r in got.items():
+        assert (r is None) if pd.isna(want.loc[a, b]) else r == pytest.approx(want.loc[a, b])
+    assert S.correlations(df, ["a"]).count() == 0 and S.correlations(df.limit(0), ["a", "b"]).first()["r"] is None

@@ -271,37 +271,43 @@ def profile_quantiles(df: DataFrame, shares: Sequence[float] = (0.05, 0.25, 0.5,
     return literal_table(df.sparkSession, rows, "column string, share double, value double")
 
 
-def correlations(
-    df: DataFrame, columns: Sequence[str], method: str = "pearson", chunk: int = 150
-) -> DataFrame:
-    """Correlation of every column pair (i < j), rows with both values present.
+def correlations(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:
+    """Correlation of every column pair (i < j) as ``(column_a, column_b, r)``.
 
-    Pearson is a mergeable aggregate: all pairs of a chunk in one pass. Spearman ranks
-    each column with a distributed sort and uses complete rows.
+    Pearson uses the rows that have both values: each row gives its pairs to one mergeable aggregate, so
+    the table is read once whatever the number of columns, and nothing passes through the driver.
+    Spearman ranks each column with a distributed sort, over rows without a missing value.
     """
     columns = list(columns)
-    pairs = list(combinations(columns, 2))
-    rows = []
+    last = len(columns) - 1
+    names = F.array(*[F.lit(c) for c in columns]) if columns else F.array().cast("array<string>")
+    spark = df.sparkSession
+    every = spark.range(0, max(last, 0), 1, 1).select(
+        F.col("id").cast("int").alias("i"), F.explode(F.sequence(F.col("id").cast("int") + 1, F.lit(last))).alias("j")
+    )
     if method == "pearson":
-        for start in range(0, len(pairs), chunk):
-            part = pairs[start : start + chunk]
-            row = df.agg(
-                *[F.corr(col(a).cast("double"), col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(part)]
-            ).first()
-            rows += [(a, b, row[f"c{i}"]) for i, (a, b) in enumerate(part)]
+        values = df.select(F.array(*[known(col(c).cast("double")) for c in columns]).alias("v"))
+        firsts = values.select("v", F.explode(F.sequence(F.lit(0), F.lit(max(last - 1, 0)))).alias("i"))
+        firsts = firsts.filter(F.get("v", F.col("i")).isNotNull())
+        pairs = firsts.select("v", "i", F.explode(F.sequence(F.col("i") + 1, F.lit(max(last, 1)))).alias("j"))
+        x, y = F.get("v", F.col("i")), F.get("v", F.col("j"))
+        # A column that is constant over a pair's rows has no correlation.
+        spread = F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+        found = pairs.filter(y.isNotNull()).groupBy("i", "j").agg((F.covar_pop(x, y) / spread).alias("r"))
     else:
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.stat import Correlation
 
-        numbers = df.select(*[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]).dropna()
+        numbers = df.select(*[known(col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)]).dropna()
         vectors = VectorAssembler(
             inputCols=[f"v{i}" for i in range(len(columns))], outputCol="v"
         ).transform(numbers)
         matrix = Correlation.corr(vectors.select("v"), "v", method).first()[0].toArray()
-        at = {c: i for i, c in enumerate(columns)}
-        rows = [(a, b, float(matrix[at[a], at[b]])) for a, b in pairs]
-    rows = [(a, b, None if r is None or math.isnan(r) else float(r)) for a, b, r in rows]
-    return literal_table(df.sparkSession, rows, "column_a string, column_b string, r double")
+        rows = [(i, j, float(matrix[i, j])) for i, j in combinations(range(len(columns)), 2)]
+        found = literal_table(spark, rows, "i int, j int, r double")
+    return every.join(found, ["i", "j"], "left").select(
+        F.get(names, F.col("i")).alias("column_a"), F.get(names, F.col("j")).alias("column_b"), known(F.col("r")).alias("r")
+    )
 
 
 def drop_correlated(
