@@ -197,3 +197,22 @@ def test_imputed_set_has_no_gaps(spark):
     out = MP.imputed_set(df)
     assert set(out.columns) == {"row_key", "plaquetas", "bit", "mujer_gestante", "tumores", "sepsis"}
     assert out.dropna().count() == 120
+
+
+def test_own_objective_and_refit_from_a_saved_log(spark, tmp_path):
+    rows = [(i, float(i % 7), float(i % 3), int(i % 7 > 3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_key bigint, a double, b double, sepsis int")
+
+    def objective(params):
+        if params["C"] > 6:
+            raise ValueError("too large")
+        return params["C"], -params["C"]
+
+    log = S.run_trials(df, df, "logistic_regression", {"C": S.Uniform(0.1, 9.9)}, 8, "sepsis", objective=objective)
+    done = [r for r in log.collect() if r["state"] == "COMPLETE"]
+    assert done and len(done) < 8 and all(r["f1"] == -r["log_loss"] for r in done)
+    saved = MP.save_tables({"log": log}, str(tmp_path))["log"]
+    out = MP.refit_from_log(df, saved)
+    assert out["chosen"].first()["f1"] == max(r["f1"] for r in done)
+    counts = out["confusion"].first()
+    assert counts["tp"] + counts["tn"] > 0 and out["report"].count() == 5

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import logging
 import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -205,6 +206,7 @@ TRIAL_SPACES = {
     "svc": {"C": Uniform(0.1, 9.9), "kernel": ["linear", "rbf", "poly"], "gamma": Uniform(0.001, 0.999)},
 }
 
+LOG = logging.getLogger(__name__)
 TRIAL_SCHEMA = "trial_id int, model string, params string, state string, f1 double, log_loss double"
 
 
@@ -220,19 +222,24 @@ def run_trials(
     from_labels: bool = False,
     log_path: str | None = None,
     threads: int = 4,
+    objective: Callable[[dict], tuple[float, float]] | None = None,
 ) -> DataFrame:
     """Trial log: F1 (to maximise) and log-loss (to minimise) per sampled candidate.
 
-    A failed trial is logged as such and does not stop the study. With ``log_path`` each
-    finished trial is appended to that parquet table, so a lost driver loses no results.
+    ``objective`` replaces fitting and scoring: it gets the sampled parameters and returns both values. A
+    failed trial is logged as such, its error goes to the log of this module, and the study goes on. With
+    ``log_path`` each finished trial is appended to that parquet table, so a lost driver loses no results.
     """
     candidates = random_candidates(space, n_trials, seed)
-    for c in candidates:
+    for c in candidates if objective is None else ():
         models.ignored_parameters(family, c)
     spark = train.sparkSession
 
     def one(i: int, c: dict) -> tuple:
         try:
+            if objective is not None:
+                f1, loss = objective(dict(c))
+                return logged((i, family, _text(c), "COMPLETE", float(f1), float(loss)))
             model = models.fit(train, family, c, label, key)
             scored = models.score_rows(model, validation, label).withColumn("model", F.lit(family))
             if from_labels:
@@ -240,7 +247,11 @@ def run_trials(
             row = evaluate.compare_models(scored, label, "prediction", "score").first()
             result = (i, family, _text(c), "COMPLETE", row["f1"], row["log_loss"])
         except Exception:
+            LOG.exception("trial %s of %s failed: %s", i, family, _text(c))
             result = (i, family, _text(c), "FAIL", None, None)
+        return logged(result)
+
+    def logged(result: tuple) -> tuple:
         if log_path:
             literal_table(spark, [result], TRIAL_SCHEMA).write.mode("append").parquet(log_path)
         return result

@@ -194,6 +194,52 @@ def experiment(
     return Experiment(logs, compare_on(fitted, parts.test, label), fitted, parts)
 
 
+def experiment_reports(run: Experiment, label: str = LABEL) -> dict[str, DataFrame]:
+    """Per model, on the test rows: confusion counts, scores of each class, ROC and precision-recall points."""
+    scored = None
+    for name, model in run.models.items():
+        part = M.score_rows(model, run.parts.test, label).withColumn("model", F.lit(name))
+        scored = part if scored is None else scored.unionByName(part)
+    if scored is None:
+        raise ValueError("no model was fitted")
+    return {
+        "confusion": E.confusion(scored, label, "prediction", ["model"]),
+        "class_report": E.class_report(scored, label, "prediction", "score", ["model"]),
+        "roc_points": E.roc_points(scored, label, "score", ["model"]),
+        "pr_points": E.pr_points(scored, label, "score", ["model"]),
+    }
+
+
+def save_tables(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
+    """Each table as parquet under its name, read back: a sink for the results of the jobs of this module."""
+    out = {}
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(path := f"{folder.rstrip('/')}/{name}")
+        out[name] = df.sparkSession.read.parquet(path)
+    return out
+
+
+def refit_from_log(
+    df: DataFrame, log: DataFrame, label: str = LABEL, key: str = KEY, seed: int = 99, scale: bool = True
+) -> dict[str, DataFrame]:
+    """Refits the first trial of the Pareto front of a saved trial log and reports on the test rows.
+
+    Tables: ``chosen`` (the trial), ``confusion`` and ``report``.
+    """
+    chosen = L.first_of_front(S.complete_trials(log), "f1", "log_loss", "trial_id")
+    best = chosen.first()
+    if best is None:
+        raise ValueError("the log has no complete trial")
+    parts = prepare(df, label, key, scale=scale, seed=seed)
+    model = M.fit(parts.train, best["model"], json.loads(best["params"]), label, key)
+    scored = M.score_rows(model, parts.test, label)
+    return {
+        "chosen": chosen,
+        "confusion": E.confusion(scored, label, "prediction"),
+        "report": E.class_report(scored, label, "prediction", "score"),
+    }
+
+
 def run_testing(
     df: DataFrame,
     families: dict[str, dict],

@@ -171,6 +171,21 @@ def _(t):
     return _trial_log(t)
 
 
+@query(
+    "refit_from_log",
+    f"""select 1 as trials, count(*) filter (where quality = 0) as n0, count(*) filter (where quality = 1) as n1
+        from labels join documents using (doc_id) where {hash_sql('doc_id')} < {TEST_LIMIT}""",
+)
+def _(t):
+    """A trial log is written, read, and its first front trial refitted: class totals of the test rows."""
+    folder = new_folder(t.spark, "trial-log")
+    log = MP.save_tables({"trials": _trial_log(t, n=3)}, folder)["trials"]
+    refit = MP.refit_from_log(documents_set(t), log)
+    counts = refit["confusion"].select((F.col("tn") + F.col("fp")).alias("n0"), (F.col("fn") + F.col("tp")).alias("n1"))
+    chosen = refit["chosen"].agg(F.count(F.lit(1)).cast("int").alias("trials")).withColumn("_one", F.lit(1))
+    return chosen.join(counts.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
 @query("trial_history")
 def _(t):
     log = S.complete_trials(_trial_log(t, "svc", 3))
