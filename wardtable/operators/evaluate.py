@@ -23,21 +23,32 @@ def _safe(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
 
 
-def confusion(df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
+def _rows(condition: Column, times: str | None) -> Column:
+    """Number of rows that meet a condition; ``times`` is a column with how often a row counts."""
+    if times is None:
+        return F.count_if(condition)
+    return F.coalesce(F.sum(F.when(condition, col(times))), F.lit(0)).cast("bigint")
+
+
+def confusion(
+    df: DataFrame, label: str, prediction: str, by: Sequence[str] = (), times: str | None = None
+) -> DataFrame:
     """Counts ``tn, fp, fn, tp``; absent cells are 0."""
     y, p = col(label).cast("int"), col(prediction).cast("int")
     return df.groupBy(*by).agg(
-        F.count_if((y == 0) & (p == 0)).alias("tn"),
-        F.count_if((y == 0) & (p == 1)).alias("fp"),
-        F.count_if((y == 1) & (p == 0)).alias("fn"),
-        F.count_if((y == 1) & (p == 1)).alias("tp"),
+        _rows((y == 0) & (p == 0), times).alias("tn"),
+        _rows((y == 0) & (p == 1), times).alias("fp"),
+        _rows((y == 1) & (p == 0), times).alias("fn"),
+        _rows((y == 1) & (p == 1), times).alias("tp"),
     )
 
 
-def class_scores(df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
+def class_scores(
+    df: DataFrame, label: str, prediction: str, by: Sequence[str] = (), times: str | None = None
+) -> DataFrame:
     """Accuracy, precision, recall and F1 of the positive class."""
     tn, fp, fn, tp = (F.col(c) for c in ["tn", "fp", "fn", "tp"])
-    return confusion(df, label, prediction, by).select(
+    return confusion(df, label, prediction, by, times).select(
         *by,
         _safe(tp + tn, tp + tn + fp + fn).alias("accuracy"),
         _safe(tp, tp + fp).alias("precision"),
@@ -47,12 +58,17 @@ def class_scores(df: DataFrame, label: str, prediction: str, by: Sequence[str] =
 
 
 def score_points(
-    df: DataFrame, label: str, score: str, by: Sequence[str] = (), buckets: int | None = None
+    df: DataFrame,
+    label: str,
+    score: str,
+    by: Sequence[str] = (),
+    buckets: int | None = None,
+    times: str | None = None,
 ) -> DataFrame:
     """Per distinct score, high to low: own and running counts of positives and negatives."""
     y = col(label).cast("int")
     points = df.groupBy(*by, col(score).cast("double").alias("threshold")).agg(
-        F.count_if(y == 1).alias("own_tp"), F.count_if(y == 0).alias("own_fp")
+        _rows(y == 1, times).alias("own_tp"), _rows(y == 0, times).alias("own_fp")
     )
     return running(
         points,
@@ -72,7 +88,7 @@ def _totals(df: DataFrame, label: str, by: Sequence[str]) -> DataFrame:
 def _with_totals(points: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFrame:
     if by:
         return points.join(totals, list(by))
-    row = totals.first()
+    row = totals.first()  # one row
     return points.withColumn("_p", F.lit(row["_p"])).withColumn("_n", F.lit(row["_n"]))
 
 
@@ -106,13 +122,15 @@ def pr_points(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) ->
     ).unionByName(end)
 
 
-def ranking_scores(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+def ranking_scores(
+    df: DataFrame, label: str, score: str, by: Sequence[str] = (), times: str | None = None
+) -> DataFrame:
     """Area under the ROC curve (ties exact) and average precision, one job for both.
 
     Each point adds its own trapezoid and its own recall step, so no row has to look
     at its neighbour. A class without rows gives null.
     """
-    points = score_points(df, label, score, by)
+    points = score_points(df, label, score, by, times=times)
     before = F.col("tp") - F.col("own_tp")
     trapezoid = F.col("own_fp").cast("double") * (before + F.col("own_tp") / 2.0)
     step = F.col("own_tp").cast("double") * F.col("tp") / (F.col("tp") + F.col("fp"))
@@ -124,7 +142,12 @@ def ranking_scores(df: DataFrame, label: str, score: str, by: Sequence[str] = ()
 
 
 def log_loss(
-    df: DataFrame, label: str, score: str, by: Sequence[str] = (), from_labels: bool = False
+    df: DataFrame,
+    label: str,
+    score: str,
+    by: Sequence[str] = (),
+    from_labels: bool = False,
+    times: str | None = None,
 ) -> DataFrame:
     """Mean negative log of the probability given to the true class.
 
@@ -135,7 +158,10 @@ def log_loss(
         s = F.round(s)
     p = F.least(F.greatest(s, F.lit(EPS)), F.lit(1 - EPS))
     truth = F.when(col(label).cast("int") == 1, p).otherwise(1 - p)
-    return df.groupBy(*by).agg(F.avg(-F.log(truth)).alias("log_loss"))
+    if times is None:
+        return df.groupBy(*by).agg(F.avg(-F.log(truth)).alias("log_loss"))
+    total = F.sum(-F.log(truth) * col(times)) / F.sum(col(times))
+    return df.groupBy(*by).agg(total.alias("log_loss"))
 
 
 def class_report(
@@ -171,7 +197,7 @@ def class_report(
     auc = ranking_scores(df, label, score, by).select(*by, "roc_auc")
     if by:
         return report.join(auc, list(by), "left")
-    return report.withColumn("roc_auc", F.lit(auc.first()["roc_auc"]).cast("double"))
+    return report.withColumn("roc_auc", F.lit(auc.first()["roc_auc"]).cast("double"))  # one row
 
 
 def compare_models(
@@ -181,8 +207,12 @@ def compare_models(
 
     Models whose rows have no score keep a null area and log-loss.
     """
-    hard = class_scores(df, label, prediction, by)
-    scored = df.filter(col(score).isNotNull())
-    areas = ranking_scores(scored, label, score, by).select(*by, "roc_auc")
-    loss = log_loss(scored, label, score, by)
+    # One row per distinct score, prediction and label; all measures follow from these counts.
+    points = df.groupBy(
+        *by, col(label).alias("_y"), col(prediction).alias("_p"), col(score).cast("double").alias("_s")
+    ).agg(F.count(F.lit(1)).alias("_times"))
+    hard = class_scores(points, "_y", "_p", by, "_times")
+    scored = points.filter(F.col("_s").isNotNull())
+    areas = ranking_scores(scored, "_y", "_s", by, "_times").select(*by, "roc_auc")
+    loss = log_loss(scored, "_y", "_s", by, times="_times")
     return hard.join(areas, list(by), "left").join(loss, list(by), "left")
