@@ -115,6 +115,11 @@ def known(c: Column) -> Column:
     return F.nullif(c, F.lit(float("nan")))
 
 
+def present(c: Column) -> Column:
+    """True where a value of any plain type is there, NaN being none."""
+    return F.coalesce(c.cast("string") != "NaN", F.lit(False))
+
+
 def temperature_class(c: Column, high: float = 38, low: float = 36) -> Column:
     """2 from ``high`` up, 0 from ``low`` up, 1 below; missing stays missing."""
     c = known(c)
@@ -148,7 +153,7 @@ def differs_flag(c: Column, literal: str) -> Column:
 
 def only_if_complete(score: Column, parts: Sequence[Column]) -> Column:
     """A score only where all of its parts are present."""
-    return F.when(reduce(lambda a, b: a & b, [known(p).isNotNull() for p in parts]), score)
+    return F.when(reduce(lambda a, b: a & b, [present(p) for p in parts]), score)
 
 
 def presence(c: Column) -> Column:
