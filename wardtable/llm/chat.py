@@ -99,7 +99,8 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     members = chosen.select("_tree", "_leaf", F.col("_leaf").alias("_node"))
     for level in reversed(levels):
         above = members.join(level, ["_tree", "_node"]).select("_tree", "_leaf", F.col("_up").alias("_node"))
-        members = members.unionByName(above)
+        # Written in each round: the plan would double with every level otherwise.
+        members = saved(members.unionByName(above), "members")
     return members.join(known.select("_tree", "_node", "_depth"), ["_tree", "_node"]).join(nodes, ["_tree", "_node"])
 
 
