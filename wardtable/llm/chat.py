@@ -60,14 +60,15 @@ def _reach(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         ),
         "paths",
     )
+    open_, done = state.filter("_up is not null"), state.filter("_up is null")
     levels, reach = [], 1
-    while reach <= max(rows, 1) and not state.filter("_up is not null").isEmpty():
-        levels.append(state.filter("_up is not null").select("_tree", "_node", "_up"))
-        other = state.select(
+    while reach <= max(rows, 1) and not open_.isEmpty():
+        levels.append(open_.select("_tree", "_node", "_up"))
+        other = open_.unionByName(done).select(
             F.col("_tree").alias("_t"), F.col("_node").alias("_n"), F.col("_up").alias("_up2"),
             F.col("_depth").alias("_depth2"), F.col("_sum").alias("_sum2"),
         )
-        joined = state.join(other, (F.col("_tree") == F.col("_t")) & (F.col("_up") == F.col("_n")), "left")
+        joined = open_.join(other, (F.col("_tree") == F.col("_t")) & (F.col("_up") == F.col("_n")), "left")
         state = saved(
             joined.select(
                 "_tree", "_node", F.col("_up2").alias("_up"),
@@ -76,8 +77,10 @@ def _reach(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             ),
             "paths",
         )
+        # Only rows that have not reached a root go on.
+        open_, done = state.filter("_up is not null"), done.unionByName(state.filter("_up is null"))
         reach *= 2
-    return levels, state.filter("_up is null").select("_tree", "_node", "_depth", "_sum")
+    return levels, done.select("_tree", "_node", "_depth", "_sum")
 
 
 def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
