@@ -123,6 +123,38 @@ def test_verified_links_are_alike(docs):
     assert sum(found[i] == exact[i] for i in ids) >= 0.95 * len(ids)
 
 
+def versions(count):
+    """A text of 304 words and ``count`` versions of it, each with words changed in five places of their own."""
+    draw = random.Random(12)
+    base = [f"w{draw.randrange(5000)}" for _ in range(304)]
+    out = [base]
+    for c in range(count):
+        text = list(base)
+        for k in range(5):
+            text[60 * k + draw.randrange(5, 55)] = f"v{c}x{k}"
+        out.append(text)
+    return out
+
+
+def test_versions_are_joined_by_their_base(docs):
+    """Two versions are alike by less than 0.85, so pairs of versions that are near by chance must not hide the base."""
+    texts = versions(500)
+    sets = [{tuple(t[k : k + 5]) for k in range(300)} for t in texts]
+    with_base = [len(s & sets[0]) / len(s | sets[0]) for s in sets]
+    apart = [len(a & b) / len(a | b) for a, b in zip(sets[1:], sets[2:], strict=False)]
+    least = 0.84
+    assert min(with_base) >= least > max(apart)
+    rows = [(i, " ".join(t), "a") for i, t in enumerate(texts)]
+    prints = [np.array(simhash.fingerprint(t, 5, 2)).view("u8") for _, t, _ in rows]
+    near = [int(np.bitwise_count(prints[0] ^ p).sum()) <= 26 for p in prints]
+    keys = [set(simhash.fuzzy_keys(p.reshape(1, -1), simhash.near_128(26))[1].tolist()) for p in prints]
+    reached = [i for i in range(501) if near[i] and keys[0] & keys[i]]
+    assert len(reached) > 400
+    got = simhash.near_duplicates(docs(rows), simhash.near_128(26), words=5, least=least).collect()
+    found = {r["doc_id"]: r["component_id"] for r in got}
+    assert all(found[i] == 0 for i in reached)
+
+
 def near_texts():
     draw = random.Random(5)
     words = [f"w{i}" for i in range(900)]

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Fingerprints of one key that are compared in one go; keys with more are dealt out.
 TOGETHER = 1024
 BITS = 64
+#: Pairs that each fingerprint of a key tries in the first round after the nearest ones; four times as many in each further one.
+TRIED = 4
 
 
 @dataclass(frozen=True)
@@ -211,32 +214,56 @@ def nearest_forest(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[n
     return a, b
 
 
-def _links_in_groups(keyed: DataFrame, how: Scheme, together: int | None, reduce: Callable) -> DataFrame:
-    """Links within groups of equal ``key`` (rows come sorted by it); groups beyond ``together`` pass with their key."""
-    names = _names(how.longs)
+def nearest_apart(
+    keys: np.ndarray, prints: np.ndarray, radius: int, labels: np.ndarray, most: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of each group whose ends differ in label, the ``most`` nearest of each row (ties by number)."""
+    i, j = pairs_within(keys, prints, radius)
+    apart = labels[i] != labels[j]
+    i, j = i[apart], j[apart]
+    far, pair = np.tile(_distances(prints, i, j), 2), np.tile(np.arange(len(i)), 2)
+    own = np.concatenate([i, j])
+    order = np.lexsort((pair, far, own))
+    own = own[order]
+    place = np.arange(len(own)) - np.searchsorted(own, own)
+    taken = np.unique(pair[order[place < most]])
+    return i[taken], j[taken]
+
+
+def _links_in_groups(
+    keyed: DataFrame, how: Scheme, together: int | None, reduce: Callable, with_keys: bool = False
+) -> DataFrame:
+    """Links within groups of equal ``key`` (rows come sorted by it); groups beyond ``together`` pass with their key.
+
+    Rows that pass have no second end; links have their key only ``with_keys``. ``reduce`` gets the first columns
+    after the key as fingerprints, and a column ``label`` behind them, if there is one, as labels.
+    """
+    names = [c for c in keyed.columns if c not in ("key", "label")]
+    labelled = "label" in keyed.columns
     schema = ", ".join(["key bigint", *[f"a{n} bigint" for n in names], *[f"b{n} bigint" for n in names]])
 
     def batch(key, a, b) -> pa.RecordBatch:
         none = pa.nulls(len(a), pa.int64())
         columns = [none if key is None else pa.array(key)]
-        columns += [pa.array(np.ascontiguousarray(a[:, i]).view("i8")) for i in range(how.longs)]
-        columns += [none if b is None else pa.array(np.ascontiguousarray(b[:, i]).view("i8")) for i in range(how.longs)]
+        columns += [pa.array(np.ascontiguousarray(a[:, i]).view("i8")) for i in range(len(names))]
+        columns += [none if b is None else pa.array(np.ascontiguousarray(b[:, i]).view("i8")) for i in range(len(names))]
         return pa.RecordBatch.from_arrays(columns, ["key", *[f"a{n}" for n in names], *[f"b{n}" for n in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_keys = np.zeros(0, "i8")
-        held = np.zeros((0, how.longs), "u8")
+        held = np.zeros((0, len(names) + labelled), "u8")
         late = None  # the key whose rows pass on
 
         def passed(keys: np.ndarray, prints: np.ndarray):
             if len(keys):
-                centre, row = reduce(keys, prints, how.radius)
+                bits = np.ascontiguousarray(prints[:, : how.longs])
+                centre, row = reduce(keys, bits, how.radius, *([prints[:, -1]] if labelled else []))
                 if len(row):
-                    yield batch(None, prints[centre], prints[row])
+                    yield batch(keys[row] if with_keys else None, prints[centre], prints[row])
 
         for part in batches:
             keys = part.column(0).to_numpy()
-            prints = np.column_stack([part.column(1 + i).to_numpy().view("u8") for i in range(how.longs)])
+            prints = np.column_stack([part.column(1 + i).to_numpy().view("u8") for i in range(len(names) + labelled)])
             if late is not None:
                 mine = keys == late
                 if mine.any():
@@ -277,21 +304,33 @@ def links(prints: DataFrame, how: Scheme, reduce: Callable = stars) -> DataFrame
     ``reduce`` turns the pairs of a group into few: ``stars``, or ``nearest_forest`` where each link is to be a true pair.
     """
     names = _names(how.longs)
-    distinct = prints.select(*names).distinct()
+    return _ends(_grouped_links(prints.select(*names).distinct(), how, reduce), names).distinct()
+
+
+def _ends(found: DataFrame, names: list[str], *keep: str) -> DataFrame:
+    ends = [hexadecimal(*[col(f"{side}{n}") for n in names]).alias(side) for side in "ab"]
+    return found.select(*keep, *ends)
+
+
+def _grouped_links(distinct: DataFrame, how: Scheme, reduce: Callable, with_keys: bool = False) -> DataFrame:
+    """Links of all groups: both ends' columns of ``distinct``, the first of which are fingerprints, and the key if asked for."""
+    names = distinct.columns
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 part = whole.slice(start, 1000)
                 found = np.column_stack([c.to_numpy().view("u8") for c in part.columns])
-                rows, keys = fuzzy_keys(found, how)
-                columns = [pa.array(keys), *[pa.array(np.ascontiguousarray(found[rows, i]).view("i8")) for i in range(how.longs)]]
+                rows, keys = fuzzy_keys(found[:, : how.longs], how)
+                columns = [pa.array(keys), *[pa.array(np.ascontiguousarray(found[rows, i]).view("i8")) for i in range(len(names))]]
                 yield pa.RecordBatch.from_arrays(columns, ["key", *names])
 
     schema = ", ".join(["key bigint", *[f"{n} bigint" for n in names]])
-    first = saved(_links_in_groups(_sorted_by_key(distinct.mapInArrow(keyed, schema)), how, TOGETHER, reduce), "links")
+    keys = _sorted_by_key(distinct.mapInArrow(keyed, schema))
+    first = saved(_links_in_groups(keys, how, TOGETHER, reduce, with_keys), "links")
+    passed = col(f"b{names[0]}").isNull()
     # Large groups: pairs of blocks, as many as their size asks for.
-    late = first.filter("key is not null").select("key", *[col(f"a{n}").alias(n) for n in names])
+    late = first.filter(passed).select("key", *[col(f"a{n}").alias(n) for n in names])
     sizes = late.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("_blocks"))
     own = F.pmod(F.xxhash64(*names), F.col("_blocks"))
     pairs = (
@@ -300,32 +339,73 @@ def links(prints: DataFrame, how: Scheme, reduce: Callable = stars) -> DataFrame
         .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)))
         .select(F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("key"), *names)
     )
-    second = _links_in_groups(_sorted_by_key(pairs), how, None, reduce)
-    ends = [hexadecimal(*[col(f"{side}{n}") for n in names]).alias(side) for side in "ab"]
-    return first.filter("key is null").select(*ends).unionByName(second.select(*ends)).distinct()
+    second = _links_in_groups(_sorted_by_key(pairs), how, None, reduce, with_keys)
+    return first.filter(~passed).unionByName(second)
 
 
-def verified(
-    df: DataFrame, prints: DataFrame, found: DataFrame, key: str, text: str, words: int, least: float
+def verified_links(
+    df: DataFrame, prints: DataFrame, how: Scheme, key: str, text: str, words: int, least: float
 ) -> DataFrame:
-    """The links whose texts' shingle sets have a Jaccard likeness of ``least`` or more.
+    """Links (``a``, ``b``) with a Jaccard likeness of ``least`` or more that connect the fingerprints as all such pairs do.
 
-    Each fingerprint stands for the text of its smallest key. Only texts with a link are read into shingles.
+    All pairs means those within the radius that share a key. First the nearest pairs that connect each key's fingerprints
+    are verified. Where some fail, each fingerprint goes on with its nearest pairs to others that links have not
+    joined to it yet, four times as many in each round, until a round takes all that are left. So a
+    pair is only left out if links join its ends, and the number of rounds follows the logarithm of the largest group.
     """
-    shown = hexadecimal(*[col(n) for n in prints.columns if n != key])
+    names = [c for c in prints.columns if c.startswith(("f", "s")) and c[1:].isdigit()]
+    pairs = saved(_grouped_links(prints.select(*names).distinct(), how, nearest_forest, True), "pairs")
+    shown = _ends(pairs, names, "key")
+    sets = _shingle_sets(df, prints, shown, names, key, text, words)
+    tried = saved(_tried(shown.select("a", "b").distinct(), sets, least), "tried")
+    labels = components(tried.filter("alike"))
+    # The nearest pairs reach every fingerprint of a key that has a pair at all.
+    sides = [pairs.select("key", *[col(f"{side}{n}").alias(n) for n in names]) for side in "ab"]
+    failed = shown.join(tried.filter("not alike"), ["a", "b"], "left_semi").groupBy("key").agg(F.count(F.lit(1)))
+    members = sides[0].unionByName(sides[1]).distinct().join(failed.select("key"), "key", "left_semi")
+    most, done = TRIED, 2
+    while True:
+        node = hexadecimal(*[col(n) for n in names])
+        named = members.withColumn("_node", node).join(labels.withColumnRenamed("node", "_node"), "_node", "left")
+        named = saved(named.select("key", *names, F.xxhash64(F.coalesce("label", "_node")).alias("label")), "members")
+        # Groups of up to ``done`` have tried all their pairs.
+        asked = named.groupBy("key").agg(F.count(F.lit(1)).alias("_size"), F.min("label").alias("_l"), F.max("label").alias("_m"))
+        named = named.join(asked.filter((F.col("_size") > done) & (F.col("_l") != F.col("_m"))), "key", "left_semi")
+        if named.isEmpty():
+            return tried.filter("alike").select("a", "b")
+        found = _links_in_groups(_sorted_by_key(named), how, None, partial(nearest_apart, most=most))
+        fresh = _ends(found, names).distinct()
+        fresh = fresh.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        now = saved(_tried(fresh.join(known, ["a", "b"], "left_anti"), sets, least), "tried")
+        tried = tried.unionByName(now)
+        if not now.filter("alike").isEmpty():
+            labels = components(tried.filter("alike"))
+        members, most, done = named.drop("label"), 4 * most, most + 1
+
+
+def _shingle_sets(
+    df: DataFrame, prints: DataFrame, found: DataFrame, names: list[str], key: str, text: str, words: int
+) -> DataFrame:
+    """``node`` and ``shingles`` of the ends of links; each stands for the text of its smallest key."""
     ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
+    shown = hexadecimal(*[col(n) for n in names])
     named = prints.groupBy(shown.alias("node")).agg(F.min(col(key)).alias("_key")).join(ends, "node")
     texts = df.select(col(key).alias("_key"), col(text).alias("_said")).join(named, "_key")
 
     def work() -> Callable[[list[str]], list[tuple]]:
         return lambda texts: [(np.unique(shingle_hashes(t, words, 1, 0)[:, 0].astype("u8").view("i8")),) for t in texts]
 
-    sets = saved(map_text(texts, "_said", "shingles array<bigint>", work, ["node"]).dropDuplicates(["node"]), "shingles")
+    return saved(map_text(texts, "_said", "shingles array<bigint>", work, ["node"]).dropDuplicates(["node"]), "shingles")
+
+
+def _tried(found: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs with ``alike``: whether their shingle sets have a Jaccard likeness of ``least`` or more."""
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a"))
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b"))
     common = F.size(F.array_intersect("_a", "_b"))
     alike = common >= least * (F.size("_a") + F.size("_b") - common)
-    return found.join(a, "a").join(b, "b").filter(alike).select("a", "b")
+    return found.join(a, "a").join(b, "b").select("a", "b", alike.alias("alike"))
 
 
 def near_duplicates(
@@ -339,8 +419,7 @@ def near_duplicates(
 ) -> DataFrame:
     """``key``, ``fingerprint`` (hexadecimal) and ``component_id`` (smallest key that links reach), a row for each row.
 
-    With ``least`` links must also have that Jaccard likeness of shingle sets: each key then gives the pairs that connect
-    its fingerprints by the smallest distances, so the nearest pair of two texts is the one that is looked at.
+    With ``least`` links must also have that Jaccard likeness of shingle sets; see ``verified_links``.
     Null keys are numbers after all others. No rows: none come out.
     """
     names = _names(how.longs)
@@ -348,7 +427,7 @@ def near_duplicates(
     if least is None:
         found = links(prints, how)
     else:
-        found = verified(df, prints, saved(links(prints, how, nearest_forest), "pairs"), key, text, words, least)
+        found = verified_links(df, prints, how, key, text, words, least)
     labels = components(found)
     shown = hexadecimal(*[col(n) for n in names])
     classes = prints.groupBy(shown.alias("fingerprint")).agg(F.min(col(key)).alias("_least"))
