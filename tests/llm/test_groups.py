@@ -155,6 +155,16 @@ def test_versions_are_joined_by_their_base(docs):
     assert all(found[i] == 0 for i in reached)
 
 
+def test_repeated_shingles_neither_join_nor_part_texts(docs):
+    draw = random.Random(13)
+    some = [[f"w{draw.randrange(5000)}" for _ in range(100)] for _ in range(7)]
+    passage = [f"p{k}" for k in range(20)]
+    rows = [(i, " ".join(["0"] * 300 + t), "a") for i, t in enumerate(some[:5])]
+    rows += [(10, " ".join(some[5] + some[6] + passage), "a"), (11, " ".join(some[5] + some[6] + passage * 30), "a")]
+    got = simhash.near_duplicates(docs(rows), simhash.near_128(26), words=5, least=0.8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 10: 10, 11: 10}
+
+
 def near_texts():
     draw = random.Random(5)
     words = [f"w{i}" for i in range(900)]

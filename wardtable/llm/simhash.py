@@ -7,7 +7,7 @@ block of the other bits taken as it is, which makes keys rarer. With 64 bits and
 differing bits no link is lost: of two disjoint segments one has two errors at most, and of the five
 blocks beside it one has none. Fingerprints that share a key are compared bit by bit.
 
-Exact copies share a fingerprint and count once. Within a key the links leave as a star around the
+Exact copies share a fingerprint (where Jaccard verifies links: a shingle set) and count once. Within a key the links leave as a star around the
 smallest fingerprint of each connected part, so a group of n copies makes n - 1 rows per key and
 never all pairs. A key with very many fingerprints is dealt out as pairs of blocks of them, so no task holds
 a whole one and none of its links is lost.
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardtable.llm import golay
-from wardtable.llm.common import col, map_text, parts, saved
+from wardtable.llm.common import col, free_name, map_text, parts, saved
 from wardtable.llm.components import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -91,9 +91,19 @@ def shingle_hashes(text: str, words: int, longs: int, seed: int) -> np.ndarray:
     return np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in pairs]), dtype=">u8").reshape(-1, longs)
 
 
+def distinct_shingles(text: str, words: int, longs: int, seed: int) -> np.ndarray:
+    """The hashes without repeats, sorted by their first long."""
+    hashes = shingle_hashes(text, words, longs, seed)
+    return hashes[np.unique(hashes[:, 0], return_index=True)[1]]
+
+
 def fingerprint(text: str, words: int, longs: int = 1, seed: int = 42) -> list[int]:
     """Signed longs; all zero without a word."""
-    hashes = shingle_hashes(text, words, longs, seed)
+    return bits_of(shingle_hashes(text, words, longs, seed), longs)
+
+
+def bits_of(hashes: np.ndarray, longs: int) -> list[int]:
+    """Signed longs with the bits that over half of the hashes have."""
     ones = np.zeros(longs * BITS, dtype="i8")
     for start in range(0, len(hashes), 8192):
         block = np.ascontiguousarray(hashes[start : start + 8192]).view("u1")
@@ -112,6 +122,22 @@ def fingerprints(
     return map_text(df, text, ", ".join(f"{f} bigint" for f in _names(longs)), work, [key])
 
 
+def set_prints(df: DataFrame, key: str, text: str, words: int, longs: int, seed: int, keep: list[str]) -> DataFrame:
+    """``keep`` columns, the fingerprint of the text's distinct shingles (``f0``, ...) and the set's digest (``s0``, ``s1``)."""
+
+    def row(t: str) -> tuple:
+        hashes = distinct_shingles(t, words, longs, seed)
+        digest = np.frombuffer(xxhash.xxh3_128_digest(np.ascontiguousarray(hashes[:, 0]).tobytes()), dtype=">i8")
+        return *bits_of(hashes, longs), *digest.tolist()
+
+    schema = ", ".join(f"{f} bigint" for f in [*_names(longs), "s0", "s1"])
+    return map_text(df, text, schema, lambda: lambda texts: [row(t) for t in texts], keep)
+
+
+#: Columns of a shingle set's digest.
+SET = ["s0", "s1"]
+
+
 def _names(longs: int) -> list[str]:
     return [f"f{i}" for i in range(longs)]
 
@@ -344,28 +370,28 @@ def _grouped_links(distinct: DataFrame, how: Scheme, reduce: Callable, with_keys
 
 
 def verified_links(
-    df: DataFrame, prints: DataFrame, how: Scheme, key: str, text: str, words: int, least: float
+    df: DataFrame, prints: DataFrame, how: Scheme, key: str, text: str, words: int, seed: int, least: float
 ) -> DataFrame:
-    """Links (``a``, ``b``) with a Jaccard likeness of ``least`` or more that connect the fingerprints as all such pairs do.
+    """Links (``a``, ``b``) with a Jaccard likeness of ``least`` or more that connect the shingle sets as all such pairs do.
 
-    All pairs means those within the radius that share a key. First the nearest pairs that connect each key's fingerprints
-    are verified. Where some fail, each fingerprint goes on with its nearest pairs to others that links have not
+    All pairs means those within the radius that share a key; different sets with one fingerprint are such a pair. Ends are
+    digests of sets. First the nearest pairs that connect each key's sets are verified. Where some fail, each set goes on with its nearest pairs to others that links have not
     joined to it yet, four times as many in each round, until a round takes all that are left. So a
     pair is only left out if links join its ends, and the number of rounds follows the logarithm of the largest group.
     """
-    names = [c for c in prints.columns if c.startswith(("f", "s")) and c[1:].isdigit()]
+    names = [*_names(how.longs), *SET]
     pairs = saved(_grouped_links(prints.select(*names).distinct(), how, nearest_forest, True), "pairs")
-    shown = _ends(pairs, names, "key")
-    sets = _shingle_sets(df, prints, shown, names, key, text, words)
+    shown = _ends(pairs, SET, "key")
+    sets = _shingle_sets(df, prints, shown, key, text, words, how.longs, seed)
     tried = saved(_tried(shown.select("a", "b").distinct(), sets, least), "tried")
     labels = components(tried.filter("alike"))
-    # The nearest pairs reach every fingerprint of a key that has a pair at all.
+    # The nearest pairs reach every set of a key that has a pair at all.
     sides = [pairs.select("key", *[col(f"{side}{n}").alias(n) for n in names]) for side in "ab"]
     failed = shown.join(tried.filter("not alike"), ["a", "b"], "left_semi").groupBy("key").agg(F.count(F.lit(1)))
     members = sides[0].unionByName(sides[1]).distinct().join(failed.select("key"), "key", "left_semi")
     most, done = TRIED, 2
     while True:
-        node = hexadecimal(*[col(n) for n in names])
+        node = hexadecimal(*[col(n) for n in SET])
         named = members.withColumn("_node", node).join(labels.withColumnRenamed("node", "_node"), "_node", "left")
         named = saved(named.select("key", *names, F.xxhash64(F.coalesce("label", "_node")).alias("label")), "members")
         # Groups of up to ``done`` have tried all their pairs.
@@ -374,7 +400,7 @@ def verified_links(
         if named.isEmpty():
             return tried.filter("alike").select("a", "b")
         found = _links_in_groups(_sorted_by_key(named), how, None, partial(nearest_apart, most=most))
-        fresh = _ends(found, names).distinct()
+        fresh = _ends(found, SET)
         fresh = fresh.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         now = saved(_tried(fresh.join(known, ["a", "b"], "left_anti"), sets, least), "tried")
@@ -385,16 +411,19 @@ def verified_links(
 
 
 def _shingle_sets(
-    df: DataFrame, prints: DataFrame, found: DataFrame, names: list[str], key: str, text: str, words: int
+    df: DataFrame, prints: DataFrame, found: DataFrame, key: str, text: str, words: int, longs: int, seed: int
 ) -> DataFrame:
-    """``node`` and ``shingles`` of the ends of links; each stands for the text of its smallest key."""
+    """``node`` and ``shingles`` of the ends of links; each is read from the text of its smallest key and text digest."""
     ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
-    shown = hexadecimal(*[col(n) for n in names])
-    named = prints.groupBy(shown.alias("node")).agg(F.min(col(key)).alias("_key")).join(ends, "node")
-    texts = df.select(col(key).alias("_key"), col(text).alias("_said")).join(named, "_key")
+    shown = hexadecimal(*[col(n) for n in SET])
+    named = prints.groupBy(shown.alias("node")).agg(F.min(F.struct(col(key).alias("_key"), "_digest")).alias("_row"))
+    named = named.join(ends, "node").select("node", "_row.*")
+    texts = df.select(col(key).alias("_own"), text_digest(text).alias("_text"), col(text).alias("_said"))
+    same = F.col("_own").eqNullSafe(F.col("_key")) & (F.col("_text") == F.col("_digest"))
+    texts = texts.join(named, same).select("node", "_said")
 
     def work() -> Callable[[list[str]], list[tuple]]:
-        return lambda texts: [(np.unique(shingle_hashes(t, words, 1, 0)[:, 0].astype("u8").view("i8")),) for t in texts]
+        return lambda texts: [(distinct_shingles(t, words, longs, seed)[:, 0].astype("u8").view("i8"),) for t in texts]
 
     return saved(map_text(texts, "_said", "shingles array<bigint>", work, ["node"]).dropDuplicates(["node"]), "shingles")
 
@@ -408,6 +437,11 @@ def _tried(found: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return found.join(a, "a").join(b, "b").select("a", "b", alike.alias("alike"))
 
 
+def text_digest(text: str) -> Column:
+    """Tells texts with one key apart; a null text is an empty one."""
+    return F.md5(F.coalesce(col(text), F.lit("")))
+
+
 def near_duplicates(
     df: DataFrame,
     how: Scheme,
@@ -419,28 +453,49 @@ def near_duplicates(
 ) -> DataFrame:
     """``key``, ``fingerprint`` (hexadecimal) and ``component_id`` (smallest key that links reach), a row for each row.
 
-    With ``least`` links must also have that Jaccard likeness of shingle sets; see ``verified_links``.
+    With ``least`` fingerprints are those of distinct shingles, texts are one class if their shingle sets are equal, and
+    links must also have that Jaccard likeness of the sets; see ``verified_links``.
     Null keys are numbers after all others. No rows: none come out.
     """
     names = _names(how.longs)
-    prints = saved(fingerprints(df, key, text, words, how.longs, seed), "fingerprints")
-    if least is None:
-        found = links(prints, how)
-    else:
-        found = verified_links(df, prints, how, key, text, words, least)
-    labels = components(found)
     shown = hexadecimal(*[col(n) for n in names])
-    classes = prints.groupBy(shown.alias("fingerprint")).agg(F.min(col(key)).alias("_least"))
-    classes = classes.join(labels.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
-        "fingerprint", "_least", F.coalesce("label", "fingerprint").alias("_label")
-    )
-    least = classes.groupBy("_label").agg(F.min("_least").alias("component_id"))
-    reached = classes.join(least, "_label").select("fingerprint", "component_id")
-    return prints.select(col(key), shown.alias("fingerprint")).join(reached, "fingerprint", "left").select(
-        col(key), "fingerprint", "component_id"
+    if least is None:
+        prints = saved(fingerprints(df, key, text, words, how.longs, seed), "fingerprints")
+        reached = _classes(prints, shown, links(prints, how), col(key))
+        return prints.select(col(key), shown.alias("fingerprint"), shown.alias("_node")).join(reached, "_node", "left").select(
+            col(key), "fingerprint", F.col("_least").alias("component_id")
+        )
+    prints, reached = _set_classes(df, how, key, text, words, seed, least)
+    node = hexadecimal(*[col(n) for n in SET])
+    return prints.select(col(key), shown.alias("fingerprint"), node.alias("_node")).join(reached, "_node", "left").select(
+        col(key), "fingerprint", F.col(f"_least.{ROW_KEY}").alias("component_id")
     )
 
 
+#: Name of the key in the struct of a row's key and text digest.
+ROW_KEY = "_key"
+
+
+def _set_classes(
+    df: DataFrame, how: Scheme, key: str, text: str, words: int, seed: int, least: float
+) -> tuple[DataFrame, DataFrame]:
+    """A row of fingerprints for each row, and for each set (``_node``) the smallest key and text digest that links reach."""
+    named = df.select(col(key), col(text), text_digest(text).alias("_digest"))
+    prints = saved(set_prints(named, key, text, words, how.longs, seed, [key, "_digest"]), "fingerprints")
+    found = verified_links(df, prints, how, key, text, words, seed, least)
+    row = F.struct(col(key).isNull().alias("_null"), col(key).alias(ROW_KEY), "_digest")
+    return prints, _classes(prints, hexadecimal(*[col(n) for n in SET]), found, row)
+
+
+def _classes(prints: DataFrame, node: Column, found: DataFrame, row: Column) -> DataFrame:
+    """``_node`` and ``_least``, the smallest ``row`` that links reach, for each node."""
+    labels = components(found).withColumnRenamed("node", "_node")
+    classes = prints.groupBy(node.alias("_node")).agg(F.min(row).alias("_own"))
+    classes = classes.join(labels, "_node", "left").select("_node", "_own", F.coalesce("label", "_node").alias("_label"))
+    least = classes.groupBy("_label").agg(F.min("_own").alias("_least"))
+    return classes.join(least, "_label").select("_node", "_least")
+
+
 def drop_near_duplicates(
     df: DataFrame,
     how: Scheme,
@@ -448,15 +503,17 @@ def drop_near_duplicates(
     text: str = "text",
     words: int = 5,
     seed: int = 42,
-    least: float | None = 0.8,
+    least: float = 0.8,
 ) -> DataFrame:
     """One row of each group of near-duplicates, the one with the smallest key; all its columns as they are.
 
-    Rows that repeat a key are one document, of which one row stays. Rows without a key can't be
-    named and all stay.
+    Rows that repeat a key and a text are one document, of which one row stays; rows that repeat a key with other texts
+    are documents of their own. Rows without a key can't be named and all stay.
     """
-    found = near_duplicates(df.filter(col(key).isNotNull()), how, key, text, words, seed, least)
-    kept = found.filter(col(key) == F.col("component_id")).select(col(key)).distinct()
-    # The semi join leaves rows dealt and sorted by key, which is what dropping repeats needs.
-    named = df.join(kept, key, "left_semi").dropDuplicates([key])
-    return named.unionByName(df.filter(col(key).isNull()))
+    named = df.filter(col(key).isNotNull())
+    _, reached = _set_classes(named, how, key, text, words, seed, least)
+    own = free_name(df, "_digest")
+    kept = reached.select(F.col(f"_least.{ROW_KEY}").alias(key), F.col("_least._digest").alias(own)).distinct()
+    # The semi join leaves rows dealt and sorted by key and digest, which is what dropping repeats needs.
+    left = named.withColumn(own, text_digest(text)).join(kept, [key, own], "left_semi").dropDuplicates([key, own])
+    return left.select(*[col(c) for c in df.columns]).unionByName(df.filter(col(key).isNull()))
