@@ -24,7 +24,7 @@ from wardtable.llm.common import col, saved
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Share of a host's score that its links pass on.
 DAMPING = 0.85
-#: Rounds stop when all changes together are below this share of the seeds.
+#: Rounds stop when each host's last change is at most this share of its own score.
 SETTLED = 1e-3
 LINK = "(?is)<a\\s[^>]*?\\bhref\\s*=\\s*[\"']?\\s*(?:https?:)?//([^/?#\"'\\s>]+)"
 
@@ -60,7 +60,8 @@ def spread(links: DataFrame, seeds: DataFrame) -> DataFrame:
 
     Each round is written to the shared folder. Weights of a host's links add up to one, for trust over those
     that leave it, for distrust over those that lead to it, so a round passes on less than it had and the
-    changes shrink by the damping: the number of rounds does not depend on the size of the graph.
+    changes shrink by the damping. They go on until no round reaches a further host and every score, of either kind, is
+    settled by its own measure: the number of rounds depends on the longest chain of links, not on the seeds elsewhere.
     """
     out = links.groupBy("source").agg(F.sum("n").alias("_all"))
     into = links.groupBy("target").agg(F.sum("n").alias("_all"))
@@ -77,7 +78,6 @@ def spread(links: DataFrame, seeds: DataFrame) -> DataFrame:
         .withColumn("score", F.col("score") * (1 - DAMPING)),
         "seeds",
     )
-    total = start.agg(F.sum("score")).first()[0] or 0.0
     # What arrives in a round is what the last round's change passes on; scores are the sum of all changes.
     change, scores = start, start
     while True:
@@ -88,10 +88,11 @@ def spread(links: DataFrame, seeds: DataFrame) -> DataFrame:
             .select(F.col("_b").alias("a"), "kind", "score"),
             "ranks",
         )
-        moved = change.agg(F.sum("score")).first()[0] or 0.0
-        if moved <= SETTLED * total:
+        both = scores.select("a", "kind", "score", F.lit(0.0).alias("moved")).unionByName(change.withColumn("moved", F.col("score")))
+        scores = saved(both.groupBy("a", "kind").agg(F.sum("score").alias("score"), F.sum("moved").alias("moved")), "scores")
+        # A host that is reached for the first time has moved by all of its score.
+        if scores.filter(F.col("moved") > SETTLED * F.col("score")).isEmpty():
             break
-        scores = saved(scores.unionByName(change).groupBy("a", "kind").agg(F.sum("score").alias("score")), "scores")
 
     def of(kind: str) -> Column:
         return F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(F.lit(0.0))).alias(kind)
