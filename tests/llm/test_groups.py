@@ -292,6 +292,33 @@ def test_mix_meets_targets(docs):
     assert mixing.mix_report(docs([])).count() == 0 and mixing.mix(docs([])).count() == 0
 
 
+def test_rows_that_share_a_key_are_mixed_each_for_itself(docs):
+    draw = random.Random(14)
+    rows = [(None if i % 3 else i, f"t{i} " + "w " * draw.randrange(1, 60), "abc"[i % 7 % 3]) for i in range(600)]
+    rows += [(7, f"u{i} " + "w " * 20, "abc"[i % 3]) for i in range(60)] + [(8, "same " * 9, "c")] * 20
+    df = docs(rows)
+    want = {r["target"]: r for r in mixing.mix_report(df).collect()}
+    mixed = mixing.mix(df).collect()
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abc"}
+    targets = dict(zip("abc", mixing.targets([sizes[s] for s in "abc"], mixing.WEIGHTS, sum(sizes.values())), strict=True))
+    assert sorted(want) == pytest.approx(sorted(targets.values()))
+    for s in "abc":
+        assert abs(sum(len(r["text"].split()) for r in mixed if r["source"] == s) - targets[s]) <= 60
+    times = {}
+    for r in mixed:
+        times[r["text"]] = times.get(r["text"], 0) + 1
+    assert all(n <= 3 for t, n in times.items() if not t.startswith("same"))
+    assert sorted(r["text"] for r in mixed) == sorted(r["text"] for r in mixing.mix(df.repartition(3)).collect())
+
+
+def test_repeated_keys_with_other_texts_stay(docs):
+    draw = random.Random(15)
+    texts = [" ".join(f"w{draw.randrange(5000)}" for _ in range(80)) for _ in range(6)]
+    rows = [(1, t, "a") for t in texts] + [(1, texts[0], "b"), (2, texts[1], "a")]
+    kept = simhash.drop_near_duplicates(docs(rows), simhash.near_128(26)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted((1, t) for t in texts)
+
+
 def test_mix_of_overlapping_sources(spark):
     rows = [(i, "w " * 10, ["a"] if i % 2 else ["a", "b"]) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source array<string>")

@@ -13,7 +13,7 @@ the place where a pattern's seeded order ends is found by two grouped counts ove
 hash each, and only the documents of one small range are sorted.
 
 Null texts have size 0, a null source is a source of its own and the last one. No words: targets are
-0. Documents with equal keys are told apart by size. Extra columns are kept or ignored.
+0. Each row is a document of its own, also where rows share a key or have none. Extra columns are kept or ignored.
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ def seeded_number(key: Column, seed: int) -> Column:
 
 
 def plan_mix(sized: DataFrame, weights: Sequence[int] | None, seed: int) -> tuple[DataFrame, list[tuple]]:
-    """``sized`` (_id, _members, _size) with ``_times`` for each row; and (source, size, target) for each source.
+    """``sized`` (_id, _members, _size, _digest, _row) with ``_times`` for each row; and (source, size, target) for each source.
 
     A row counts once for the size of every source that holds it. ``weights`` by code point order of
     the sources, repeated as needed.
@@ -152,7 +152,8 @@ def _times(sized: DataFrame, given: DataFrame, seed: int) -> DataFrame:
 
     A document that does not fit ends the first filling; the second goes on behind it with those that fit.
     """
-    number = seeded_number(F.col("_id"), seed)
+    # Rows without a key are drawn by their text; else all of them would have one place in the order.
+    number = seeded_number(F.coalesce(F.col("_id").cast("string"), F.concat(F.lit("null|"), F.col("_digest").cast("string"))), seed)
     high = F.shiftright("_n", 60 - _RANGE_BITS)
     low = F.shiftright("_n", 60 - 2 * _RANGE_BITS).bitwiseAND((1 << _RANGE_BITS) - 1)
     drawn = sized.join(F.broadcast(given), "_members").withColumn("_n", number)
@@ -167,10 +168,10 @@ def _times(sized: DataFrame, given: DataFrame, seed: int) -> DataFrame:
         .join(F.broadcast(gaps), "_members")
         .filter(far < F.col("_gap"))
         .groupBy("_members")
-        .agg(F.min(F.struct(far.alias("_far"), "_n", "_size", F.col("_id").alias("_nearest"))).alias("_s"))
-        .select("_members", "_s._nearest", F.col("_s._size").alias("_its_size"))
+        .agg(F.min(F.struct(far.alias("_far"), "_n", "_size", "_id", "_digest", F.col("_row").alias("_nearest"))).alias("_s"))
+        .select("_members", "_s._nearest")
     )
-    chosen = (F.col("_more") == 0) & F.col("_id").eqNullSafe(F.col("_nearest")) & (F.col("_size") == F.col("_its_size"))
+    chosen = (F.col("_more") == 0) & (F.col("_row") == F.col("_nearest"))
     return picked.join(F.broadcast(nearest), "_members", "left").select(
         *sized.columns, (F.col("_whole") + F.col("_more") + F.coalesce(chosen, F.lit(False)).cast("int")).alias("_times")
     )
@@ -197,7 +198,7 @@ def _filled(picked: DataFrame, given: DataFrame) -> DataFrame:
     part = second.select("_members", F.col("_low").alias("_low_end"), F.col("_before").alias("_before_low"))
     marked = asked.withColumn("_fits", fits).join(F.broadcast(ends.join(part, "_members")), "_members", "left")
     here = F.col("_fits") & (F.col("_high") == F.col("_high_end")) & (F.col("_low") == F.col("_low_end"))
-    order = Window.partitionBy("_members").orderBy("_n", "_size", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("_members").orderBy("_n", "_size", "_id", "_digest", "_row").rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum("_size").over(order) + F.col("_before_high") + F.col("_before_low")
     last = marked.filter(here).withColumn("_more", (total <= F.col("_gap")).cast("int"))
     sooner = (F.col("_high") < F.col("_high_end")) | (
@@ -220,8 +221,11 @@ def _crossing(rows: DataFrame, part: str, rest: Column) -> DataFrame:
     )
 
 
-def _sized(df: DataFrame, key: str, text: str, members: Column) -> DataFrame:
-    return saved(df.select(col(key).alias("_id"), members.alias("_members"), word_count(col(text)).alias("_size")), "sizes")
+def _sized(df: DataFrame, key: str, text: str, members: Column, row: Column) -> DataFrame:
+    """A narrow row for each row, written so that the number ``row`` gives it stays."""
+    digest = F.xxhash64(F.coalesce(col(text), F.lit("")))
+    columns = [col(key).alias("_id"), members.alias("_members"), word_count(col(text)).alias("_size"), digest.alias("_digest")]
+    return saved(df.select(*columns, row.alias("_row")), "sizes")
 
 
 def mix_report(
@@ -229,7 +233,8 @@ def mix_report(
     weights: Sequence[int] | None = None,
 ) -> DataFrame:
     """``key``, ``size``, ``source_size``, ``target`` of its source and ``taken`` words, for every row."""
-    planned, sources = plan_mix(_sized(df, key, text, F.array(col(source).cast("string"))), weights, seed)
+    sized = _sized(df, key, text, F.array(col(source).cast("string")), F.monotonically_increasing_id())
+    planned, sources = plan_mix(sized, weights, seed)
     spark = df.sparkSession
     facts = spark.createDataFrame(
         [([s], size, float(t)) for s, size, t in sources], "_members array<string>, source_size bigint, target double"
@@ -250,13 +255,14 @@ def mix(
     """The rows as often as the mix takes them (0 to 3 times), their columns as they are.
 
     ``source`` is a string column, or an array of strings for documents that several sources hold.
-    Keys name documents: rows that share one are taken as often as the first of them; null keys count as one.
+    Rows that share a key, or have none, are decided each for itself: the rows are written with a number that the plan carries.
     """
+    own, count, copy = (free_name(df, n) for n in ("_row", "_times", "_copy"))
+    rows = saved(df.withColumn(own, F.monotonically_increasing_id()), "rows")
     kind = dict(df.dtypes)[source]
     members = F.sort_array(F.array_distinct(col(source))) if kind.startswith("array") else F.array(col(source).cast("string"))
-    planned, _ = plan_mix(_sized(df, key, text, members), weights, seed)
-    own, count, copy = (free_name(df, n) for n in ("_id", "_times", "_copy"))
-    times = planned.groupBy(F.col("_id").alias(own)).agg(F.min("_times").alias(count)).filter(F.col(count) > 0)
-    joined = df.join(times, col(key).eqNullSafe(F.col(own)))
+    planned, _ = plan_mix(_sized(rows, key, text, members, col(own)), weights, seed)
+    times = planned.filter("_times > 0").select(F.col("_row").alias(own), F.col("_times").alias(count))
+    joined = rows.join(times, own)
     copies = F.explode(F.sequence(F.lit(1), F.col(count))).alias(copy)
     return joined.select(*[col(c) for c in df.columns], copies).drop(copy)
