@@ -43,6 +43,22 @@ def test_scanner_finds_what_expressions_find():
     assert secrets.scanner(secrets.BASE + secrets.FURTHER).scan(texts) == [plain_spans(t) for t in texts]
 
 
+def test_private_keys_are_found_whole(docs):
+    draw = random.Random(2)
+    lines = ["".join(draw.choice("ABCxyz019+/") for _ in range(64)) for _ in range(12)] + ["Ab3="]
+    head, tail = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    info = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+    keys = [
+        "\n".join([head, *lines, tail]), "\r\n".join([head, *lines, tail]), "\\n".join([head, *lines, tail]),
+        head + "\n" + info + "\n".join([*lines, tail]),
+    ]
+    text = "Words before, é\n" + "\nand between\n".join(keys) + "\nwords behind"
+    rows = {r["doc_id"]: r["text"] for r in secrets.redact(docs([(1, text, "a")])).collect()}
+    assert rows[1] == "Words before, é\n" + "\nand between\n".join(["[pem]"] * 4) + "\nwords behind"
+    texts = [text, *("".join(draw.choice([*PARTS, head, tail, "\n" + lines[0], "\n", info]) for _ in range(20)) for _ in range(2000))]
+    assert secrets.scanner(secrets.BASE + secrets.FURTHER).scan(texts) == [plain_spans(t) for t in texts]
+
+
 def test_automaton_is_minimal():
     one = secrets.compile_trees([secrets.parse("(ab|cb)+")], anywhere=False)
     assert len(one.accepts) == 4  # start, after a or c, after b, dead

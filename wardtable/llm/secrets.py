@@ -4,7 +4,7 @@ Rule patterns become one nondeterministic automaton, subset construction makes i
 refinement of equal states makes it small; what is left are transition arrays over classes of
 bytes. Patterns are compiled reversed: one pass from the last byte to the first tells, at every
 byte, which rules have a match that starts there. The pass runs over many stretches at once, cut
-where every state falls back to the start (no secret crosses a line feed or a text's end). From
+at bytes where every state falls back to the start (no secret holds them, or crosses a text's end; private keys hold line feeds). From
 each start a forward automaton of that rule alone finds the longest match, the next match starts
 at or after its end, and matches that fail the rule's test are dropped.
 
@@ -65,7 +65,14 @@ FURTHER = (
     Rule("pay", "[rs]k_live_[A-Za-z0-9]+", 24),
     Rule("maps", "AIza[A-Za-z0-9_-]+", 39),
     Rule("web", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", 40),
-    Rule("pem", "-----BEGIN\\x20[A-Z\\x20]*PRIVATE\\x20KEY-----"),
+    # The header with all up to the END line, escaped line feeds included; without an END line the header alone.
+    Rule(
+        "pem",
+        "-----BEGIN\\x20[A-Z\\x20]*PRIVATE\\x20KEY-----"
+        "([\\x09\\x0a\\x0d\\x20]*(Proc-Type:[A-Za-z0-9,\\x20-]*[\\x0d\\x0a]+)?(DEK-Info:[A-Za-z0-9,\\x20-]*[\\x0d\\x0a]+)?"
+        "[A-Za-z0-9+/=\\x5c\\x09\\x0a\\x0d\\x20]*-----END\\x20[A-Z\\x20]*PRIVATE\\x20KEY-----"
+        ")?",
+    ),
 )
 
 
