@@ -12,9 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from wardtable.llm import bpe, mixing, secrets, simhash, toxicity
 from wardtable.llm.common import saved, table
 
-#: Differing bits of 128 up to which pairs are looked at: shingles of five words alike by 0.8 differ in 19 on average.
-NEAR_BITS = 26
-
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. It learns from labels of these documents."""
@@ -23,8 +20,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (shingles alike by 0.8) stays, the one with the smallest doc_id."""
-    return simhash.drop_near_duplicates(docs, simhash.near_128(NEAR_BITS), words=5, least=0.8)
+    """One document of each group that fingerprints within four bits link stays, the one with the smallest doc_id."""
+    return simhash.drop_near_duplicates(docs, simhash.EXACT_64, words=4)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

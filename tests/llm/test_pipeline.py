@@ -1,7 +1,10 @@
 """The pipeline on planted documents, and each stage's columns."""
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
 
 import public_tokenizers
 import pytest
@@ -64,3 +67,19 @@ def test_run_and_empty_table(spark, folder, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"file://{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_session_without_a_shared_folder(tmp_path):
+    """A local session that names no folder gets one of its own; a folder is found again by the same application."""
+    code = """
+from wardtable.session import local_session
+from wardtable.llm.common import saved, shared_root
+spark = local_session(2)
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+assert shared_root(spark) == shared_root(spark)
+assert saved(spark.range(5), "rows").count() == 5
+print("done")
+"""
+    env = {**os.environ, "SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": os.pathsep.join(sys.path)}
+    ran = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=180)
+    assert "done" in ran.stdout, ran.stderr[-2000:]

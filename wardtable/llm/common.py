@@ -31,16 +31,22 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Folders made for local applications that name none.
+_OWN_ROOTS: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a fresh local one only in local mode."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; one fresh local folder for each application in local mode."""
     conf = spark.sparkContext.getConf()
     named = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
-    spark.conf.set("spark.checkpoint.dir", root := "file://" + tempfile.mkdtemp(prefix="wardtable-"))
-    return root
+    own = spark.sparkContext.applicationId
+    if own not in _OWN_ROOTS:
+        _OWN_ROOTS[own] = "file://" + tempfile.mkdtemp(prefix="wardtable-")
+    return _OWN_ROOTS[own]
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
@@ -91,7 +97,8 @@ def map_text(
                 kept = [part.column(i).cast(arrow.field(i).type) for i in range(n)]
                 yield pa.RecordBatch.from_arrays(kept + made, schema=arrow)
 
-    return df.select(*[col(c) for c in keep], col(text).alias("_text")).mapInArrow(run, out)
+    kept = df.select(*[col(c) for c in keep])
+    return df.select(*[col(c) for c in keep], col(text).alias(free_name(kept, "_text"))).mapInArrow(run, out)
 
 
 def _add(fields, schema: str):

@@ -1,26 +1,26 @@
 """SimHash near-duplicates, found by fuzzy hashing with the Golay code.
 
-A fingerprint of 64 or 128 bits has a bit set where over half of a text's shingle hashes have it.
+A fingerprint of 64 bits has a bit set where over half of a text's shingle hashes have it.
 Segments of 23 bits are decoded to the code words around them (see ``golay``): two fingerprints
 with at most two differing bits in a segment share a key there. Each such key is joined with one
-block of the other bits taken as it is, which makes keys rarer. With 64 bits and four
-differing bits no link is lost: of two disjoint segments one has two errors at most, and of the five
-blocks beside it one has none. Fingerprints that share a key are compared bit by bit.
+block of the other bits taken as it is, which makes keys rarer. With four differing bits no link
+is lost: of two disjoint segments one has two errors at most, and of the five blocks beside it
+one has none. Fingerprints that share a key are compared bit by bit.
 
-Exact copies share a fingerprint (where Jaccard verifies links: a shingle set) and count once. Within a key the links leave as a star around the
+Exact copies share a fingerprint and count once. Within a key the links leave as a star around the
 smallest fingerprint of each connected part, so a group of n copies makes n - 1 rows per key and
 never all pairs. A key with very many fingerprints is dealt out as pairs of blocks of them, so no task holds
 a whole one and none of its links is lost.
 
 Null and empty texts have fingerprint zero and link like any other. Repeated rows fall into one
-class. Extra columns are ignored or, in ``drop_near_duplicates``, kept as they are.
+class. Extra columns are ignored or, in ``drop_near_duplicates``, kept as they are, whatever their
+names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,6 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Fingerprints of one key that are compared in one go; keys with more are dealt out.
 TOGETHER = 1024
 BITS = 64
-#: Pairs that each fingerprint of a key tries in the first round after the nearest ones; four times as many in each further one.
-TRIED = 4
 
 
 @dataclass(frozen=True)
@@ -67,12 +65,6 @@ def scheme(longs: int, radius: int, segments: int, blocks: int) -> Scheme:
 EXACT_64 = scheme(1, 4, 2, 5)
 
 
-def near_128(radius: int, blocks: int = 6) -> Scheme:
-    """For likeness of shingles: five segments of 128 bits, each with some of the 13 blocks of eight of the other bits."""
-    wide = scheme(2, radius, 5, 13)
-    return Scheme(2, radius, tuple((start, (*found[2 * i :], *found)[:blocks]) for i, (start, found) in enumerate(wide.segments)))
-
-
 # --- fingerprints -----------------------------------------------------------
 
 
@@ -91,12 +83,6 @@ def shingle_hashes(text: str, words: int, longs: int, seed: int) -> np.ndarray:
     return np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in pairs]), dtype=">u8").reshape(-1, longs)
 
 
-def distinct_shingles(text: str, words: int, longs: int, seed: int) -> np.ndarray:
-    """The hashes without repeats, sorted by their first long."""
-    hashes = shingle_hashes(text, words, longs, seed)
-    return hashes[np.unique(hashes[:, 0], return_index=True)[1]]
-
-
 def fingerprint(text: str, words: int, longs: int = 1, seed: int = 42) -> list[int]:
     """Signed longs; all zero without a word."""
     return bits_of(shingle_hashes(text, words, longs, seed), longs)
@@ -111,31 +97,13 @@ def bits_of(hashes: np.ndarray, longs: int) -> list[int]:
     return np.packbits(2 * ones > len(hashes)).view(">i8").tolist()
 
 
-def fingerprints(
-    df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, longs: int = 1, seed: int = 42
-) -> DataFrame:
-    """``key`` and the fingerprint's longs ``f0`` (and ``f1``)."""
+def fingerprints(df: DataFrame, keep: list[str], text: str = "text", words: int = 4, longs: int = 1, seed: int = 42) -> DataFrame:
+    """``keep`` columns and the fingerprint's longs ``f0`` (and ``f1``)."""
 
     def work() -> Callable[[list[str]], list[tuple]]:
         return lambda texts: [tuple(fingerprint(t, words, longs, seed)) for t in texts]
 
-    return map_text(df, text, ", ".join(f"{f} bigint" for f in _names(longs)), work, [key])
-
-
-def set_prints(df: DataFrame, key: str, text: str, words: int, longs: int, seed: int, keep: list[str]) -> DataFrame:
-    """``keep`` columns, the fingerprint of the text's distinct shingles (``f0``, ...) and the set's digest (``s0``, ``s1``)."""
-
-    def row(t: str) -> tuple:
-        hashes = distinct_shingles(t, words, longs, seed)
-        digest = np.frombuffer(xxhash.xxh3_128_digest(np.ascontiguousarray(hashes[:, 0]).tobytes()), dtype=">i8")
-        return *bits_of(hashes, longs), *digest.tolist()
-
-    schema = ", ".join(f"{f} bigint" for f in [*_names(longs), "s0", "s1"])
-    return map_text(df, text, schema, lambda: lambda texts: [row(t) for t in texts], keep)
-
-
-#: Columns of a shingle set's digest.
-SET = ["s0", "s1"]
+    return map_text(df, text, ", ".join(f"{f} bigint" for f in _names(longs)), work, keep)
 
 
 def _names(longs: int) -> list[str]:
@@ -215,57 +183,12 @@ def stars(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray
     return label[rows], rows
 
 
-def nearest_forest(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that connect each part of each group by its smallest distances: a minimum spanning forest.
+def _links_in_groups(keyed: DataFrame, how: Scheme, together: int | None) -> DataFrame:
+    """Stars of the groups of equal ``key`` (rows come sorted by it); groups beyond ``together`` pass with their key.
 
-    In each round every part takes its nearest pair to another part (ties by number, so no circle arises).
+    Rows that pass have no second end; links have no key.
     """
-    i, j = pairs_within(keys, prints, radius)
-    weight = (_distances(prints, i, j) << 40) | np.arange(len(i))
-    label, taken = np.arange(len(keys)), []
-    while True:
-        apart = label[i] != label[j]
-        i, j, weight = i[apart], j[apart], weight[apart]
-        if not len(i):
-            break
-        best = np.full(len(keys), np.iinfo("i8").max)
-        np.minimum.at(best, label[i], weight)
-        np.minimum.at(best, label[j], weight)
-        pick = (weight == best[label[i]]) | (weight == best[label[j]])
-        taken.append((i[pick], j[pick]))
-        label = _merge(len(keys), label[i[pick]], label[j[pick]])[label]
-    if not taken:
-        return i, j
-    a, b = (np.concatenate(side) for side in zip(*taken, strict=True))
-    return a, b
-
-
-def nearest_apart(
-    keys: np.ndarray, prints: np.ndarray, radius: int, labels: np.ndarray, most: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs of each group whose ends differ in label, the ``most`` nearest of each row (ties by number)."""
-    i, j = pairs_within(keys, prints, radius)
-    apart = labels[i] != labels[j]
-    i, j = i[apart], j[apart]
-    far, pair = np.tile(_distances(prints, i, j), 2), np.tile(np.arange(len(i)), 2)
-    own = np.concatenate([i, j])
-    order = np.lexsort((pair, far, own))
-    own = own[order]
-    place = np.arange(len(own)) - np.searchsorted(own, own)
-    taken = np.unique(pair[order[place < most]])
-    return i[taken], j[taken]
-
-
-def _links_in_groups(
-    keyed: DataFrame, how: Scheme, together: int | None, reduce: Callable, with_keys: bool = False
-) -> DataFrame:
-    """Links within groups of equal ``key`` (rows come sorted by it); groups beyond ``together`` pass with their key.
-
-    Rows that pass have no second end; links have their key only ``with_keys``. ``reduce`` gets the first columns
-    after the key as fingerprints, and a column ``label`` behind them, if there is one, as labels.
-    """
-    names = [c for c in keyed.columns if c not in ("key", "label")]
-    labelled = "label" in keyed.columns
+    names = _names(how.longs)
     schema = ", ".join(["key bigint", *[f"a{n} bigint" for n in names], *[f"b{n} bigint" for n in names]])
 
     def batch(key, a, b) -> pa.RecordBatch:
@@ -277,19 +200,18 @@ def _links_in_groups(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_keys = np.zeros(0, "i8")
-        held = np.zeros((0, len(names) + labelled), "u8")
+        held = np.zeros((0, len(names)), "u8")
         late = None  # the key whose rows pass on
 
         def passed(keys: np.ndarray, prints: np.ndarray):
             if len(keys):
-                bits = np.ascontiguousarray(prints[:, : how.longs])
-                centre, row = reduce(keys, bits, how.radius, *([prints[:, -1]] if labelled else []))
+                centre, row = stars(keys, prints, how.radius)
                 if len(row):
-                    yield batch(keys[row] if with_keys else None, prints[centre], prints[row])
+                    yield batch(None, prints[centre], prints[row])
 
         for part in batches:
             keys = part.column(0).to_numpy()
-            prints = np.column_stack([part.column(1 + i).to_numpy().view("u8") for i in range(len(names) + labelled)])
+            prints = np.column_stack([part.column(1 + i).to_numpy().view("u8") for i in range(len(names))])
             if late is not None:
                 mine = keys == late
                 if mine.any():
@@ -324,36 +246,22 @@ def _sorted_by_key(keyed: DataFrame) -> DataFrame:
     return keyed.repartition(n, "key").sortWithinPartitions("key")
 
 
-def links(prints: DataFrame, how: Scheme, reduce: Callable = stars) -> DataFrame:
-    """Distinct links (``a``, ``b`` as hexadecimal) that connect the distinct fingerprints of ``prints`` as all links do.
-
-    ``reduce`` turns the pairs of a group into few: ``stars``, or ``nearest_forest`` where each link is to be a true pair.
-    """
+def links(prints: DataFrame, how: Scheme) -> DataFrame:
+    """Distinct links (``a``, ``b`` as hexadecimal) that connect the distinct fingerprints of ``prints`` as all links do."""
     names = _names(how.longs)
-    return _ends(_grouped_links(prints.select(*names).distinct(), how, reduce), names).distinct()
-
-
-def _ends(found: DataFrame, names: list[str], *keep: str) -> DataFrame:
-    ends = [hexadecimal(*[col(f"{side}{n}") for n in names]).alias(side) for side in "ab"]
-    return found.select(*keep, *ends)
-
-
-def _grouped_links(distinct: DataFrame, how: Scheme, reduce: Callable, with_keys: bool = False) -> DataFrame:
-    """Links of all groups: both ends' columns of ``distinct``, the first of which are fingerprints, and the key if asked for."""
-    names = distinct.columns
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 part = whole.slice(start, 1000)
                 found = np.column_stack([c.to_numpy().view("u8") for c in part.columns])
-                rows, keys = fuzzy_keys(found[:, : how.longs], how)
+                rows, keys = fuzzy_keys(found, how)
                 columns = [pa.array(keys), *[pa.array(np.ascontiguousarray(found[rows, i]).view("i8")) for i in range(len(names))]]
                 yield pa.RecordBatch.from_arrays(columns, ["key", *names])
 
     schema = ", ".join(["key bigint", *[f"{n} bigint" for n in names]])
-    keys = _sorted_by_key(distinct.mapInArrow(keyed, schema))
-    first = saved(_links_in_groups(keys, how, TOGETHER, reduce, with_keys), "links")
+    keys = _sorted_by_key(prints.select(*names).distinct().mapInArrow(keyed, schema))
+    first = saved(_links_in_groups(keys, how, TOGETHER), "links")
     passed = col(f"b{names[0]}").isNull()
     # Large groups: pairs of blocks, as many as their size asks for.
     late = first.filter(passed).select("key", *[col(f"a{n}").alias(n) for n in names])
@@ -365,128 +273,26 @@ def _grouped_links(distinct: DataFrame, how: Scheme, reduce: Callable, with_keys
         .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)))
         .select(F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("key"), *names)
     )
-    second = _links_in_groups(_sorted_by_key(pairs), how, None, reduce, with_keys)
-    return first.filter(~passed).unionByName(second)
-
-
-def verified_links(
-    df: DataFrame, prints: DataFrame, how: Scheme, key: str, text: str, words: int, seed: int, least: float
-) -> DataFrame:
-    """Links (``a``, ``b``) with a Jaccard likeness of ``least`` or more that connect the shingle sets as all such pairs do.
-
-    All pairs means those within the radius that share a key; different sets with one fingerprint are such a pair. Ends are
-    digests of sets. First the nearest pairs that connect each key's sets are verified. Where some fail, each set goes on with its nearest pairs to others that links have not
-    joined to it yet, four times as many in each round, until a round takes all that are left. So a
-    pair is only left out if links join its ends, and the number of rounds follows the logarithm of the largest group.
-    """
-    names = [*_names(how.longs), *SET]
-    pairs = saved(_grouped_links(prints.select(*names).distinct(), how, nearest_forest, True), "pairs")
-    shown = _ends(pairs, SET, "key")
-    sets = _shingle_sets(df, prints, shown, key, text, words, how.longs, seed)
-    tried = saved(_tried(shown.select("a", "b").distinct(), sets, least), "tried")
-    labels = components(tried.filter("alike"))
-    # The nearest pairs reach every set of a key that has a pair at all.
-    sides = [pairs.select("key", *[col(f"{side}{n}").alias(n) for n in names]) for side in "ab"]
-    failed = shown.join(tried.filter("not alike"), ["a", "b"], "left_semi").groupBy("key").agg(F.count(F.lit(1)))
-    members = sides[0].unionByName(sides[1]).distinct().join(failed.select("key"), "key", "left_semi")
-    most, done = TRIED, 2
-    while True:
-        node = hexadecimal(*[col(n) for n in SET])
-        named = members.withColumn("_node", node).join(labels.withColumnRenamed("node", "_node"), "_node", "left")
-        named = saved(named.select("key", *names, F.xxhash64(F.coalesce("label", "_node")).alias("label")), "members")
-        # Groups of up to ``done`` have tried all their pairs.
-        asked = named.groupBy("key").agg(F.count(F.lit(1)).alias("_size"), F.min("label").alias("_l"), F.max("label").alias("_m"))
-        named = named.join(asked.filter((F.col("_size") > done) & (F.col("_l") != F.col("_m"))), "key", "left_semi")
-        if named.isEmpty():
-            return tried.filter("alike").select("a", "b")
-        found = _links_in_groups(_sorted_by_key(named), how, None, partial(nearest_apart, most=most))
-        fresh = _ends(found, SET)
-        fresh = fresh.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        now = saved(_tried(fresh.join(known, ["a", "b"], "left_anti"), sets, least), "tried")
-        tried = tried.unionByName(now)
-        if not now.filter("alike").isEmpty():
-            labels = components(tried.filter("alike"))
-        members, most, done = named.drop("label"), 4 * most, most + 1
-
-
-def _shingle_sets(
-    df: DataFrame, prints: DataFrame, found: DataFrame, key: str, text: str, words: int, longs: int, seed: int
-) -> DataFrame:
-    """``node`` and ``shingles`` of the ends of links; each is read from the text of its smallest key and text digest."""
-    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
-    shown = hexadecimal(*[col(n) for n in SET])
-    named = prints.groupBy(shown.alias("node")).agg(F.min(F.struct(col(key).alias("_key"), "_digest")).alias("_row"))
-    named = named.join(ends, "node").select("node", "_row.*")
-    texts = df.select(col(key).alias("_own"), text_digest(text).alias("_text"), col(text).alias("_said"))
-    same = F.col("_own").eqNullSafe(F.col("_key")) & (F.col("_text") == F.col("_digest"))
-    texts = texts.join(named, same).select("node", "_said")
-
-    def work() -> Callable[[list[str]], list[tuple]]:
-        return lambda texts: [(distinct_shingles(t, words, longs, seed)[:, 0].astype("u8").view("i8"),) for t in texts]
-
-    return saved(map_text(texts, "_said", "shingles array<bigint>", work, ["node"]).dropDuplicates(["node"]), "shingles")
-
-
-def _tried(found: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs with ``alike``: whether their shingle sets have a Jaccard likeness of ``least`` or more."""
-    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a"))
-    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b"))
-    common = F.size(F.array_intersect("_a", "_b"))
-    alike = common >= least * (F.size("_a") + F.size("_b") - common)
-    return found.join(a, "a").join(b, "b").select("a", "b", alike.alias("alike"))
-
-
-def text_digest(text: str) -> Column:
-    """Tells texts with one key apart; a null text is an empty one."""
-    return F.md5(F.coalesce(col(text), F.lit("")))
+    second = _links_in_groups(_sorted_by_key(pairs), how, None)
+    ends = [hexadecimal(*[col(f"{side}{n}") for n in names]).alias(side) for side in "ab"]
+    return first.filter(~passed).unionByName(second).select(*ends).distinct()
 
 
 def near_duplicates(
-    df: DataFrame,
-    how: Scheme,
-    key: str = "doc_id",
-    text: str = "text",
-    words: int = 4,
-    seed: int = 42,
-    least: float | None = None,
+    df: DataFrame, how: Scheme = EXACT_64, key: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42
 ) -> DataFrame:
     """``key``, ``fingerprint`` (hexadecimal) and ``component_id`` (smallest key that links reach), a row for each row.
 
-    With ``least`` fingerprints are those of distinct shingles, texts are one class if their shingle sets are equal, and
-    links must also have that Jaccard likeness of the sets; see ``verified_links``.
     Null keys are numbers after all others. No rows: none come out.
     """
-    names = _names(how.longs)
-    shown = hexadecimal(*[col(n) for n in names])
-    if least is None:
-        prints = saved(fingerprints(df, key, text, words, how.longs, seed), "fingerprints")
-        reached = _classes(prints, shown, links(prints, how), col(key))
-        return prints.select(col(key), shown.alias("fingerprint"), shown.alias("_node")).join(reached, "_node", "left").select(
-            col(key), "fingerprint", F.col("_least").alias("component_id")
-        )
-    prints, reached = _set_classes(df, how, key, text, words, seed, least)
-    node = hexadecimal(*[col(n) for n in SET])
-    return prints.select(col(key), shown.alias("fingerprint"), node.alias("_node")).join(reached, "_node", "left").select(
-        col(key), "fingerprint", F.col(f"_least.{ROW_KEY}").alias("component_id")
+    shown = hexadecimal(*[col(n) for n in _names(how.longs)])
+    prints = saved(fingerprints(df, [key], text, words, how.longs, seed), "fingerprints")
+    reached = _classes(prints, shown, links(prints, how), col(key))
+    return prints.select(col(key), shown.alias("fingerprint"), shown.alias("_node")).join(reached, "_node", "left").select(
+        col(key), "fingerprint", F.col("_least").alias("component_id")
     )
 
 
-#: Name of the key in the struct of a row's key and text digest.
-ROW_KEY = "_key"
-
-
-def _set_classes(
-    df: DataFrame, how: Scheme, key: str, text: str, words: int, seed: int, least: float
-) -> tuple[DataFrame, DataFrame]:
-    """A row of fingerprints for each row, and for each set (``_node``) the smallest key and text digest that links reach."""
-    named = df.select(col(key), col(text), text_digest(text).alias("_digest"))
-    prints = saved(set_prints(named, key, text, words, how.longs, seed, [key, "_digest"]), "fingerprints")
-    found = verified_links(df, prints, how, key, text, words, seed, least)
-    row = F.struct(col(key).isNull().alias("_null"), col(key).alias(ROW_KEY), "_digest")
-    return prints, _classes(prints, hexadecimal(*[col(n) for n in SET]), found, row)
-
-
 def _classes(prints: DataFrame, node: Column, found: DataFrame, row: Column) -> DataFrame:
     """``_node`` and ``_least``, the smallest ``row`` that links reach, for each node."""
     labels = components(found).withColumnRenamed("node", "_node")
@@ -497,23 +303,19 @@ def _classes(prints: DataFrame, node: Column, found: DataFrame, row: Column) ->
 
 
 def drop_near_duplicates(
-    df: DataFrame,
-    how: Scheme,
-    key: str = "doc_id",
-    text: str = "text",
-    words: int = 5,
-    seed: int = 42,
-    least: float = 0.8,
+    df: DataFrame, how: Scheme = EXACT_64, key: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42
 ) -> DataFrame:
-    """One row of each group of near-duplicates, the one with the smallest key; all its columns as they are.
+    """One row of each group that links reach, the one with the smallest key (null after all others); all its columns as they are.
 
-    Rows that repeat a key and a text are one document, of which one row stays; rows that repeat a key with other texts
-    are documents of their own. Rows without a key can't be named and all stay.
+    Rows with one key are told apart by all their columns, so the same row stays in every run. Rows
+    that are equal in every column are one document.
     """
-    named = df.filter(col(key).isNotNull())
-    _, reached = _set_classes(named, how, key, text, words, seed, least)
-    own = free_name(df, "_digest")
-    kept = reached.select(F.col(f"_least.{ROW_KEY}").alias(key), F.col("_least._digest").alias(own)).distinct()
-    # The semi join leaves rows dealt and sorted by key and digest, which is what dropping repeats needs.
-    left = named.withColumn(own, text_digest(text)).join(kept, [key, own], "left_semi").dropDuplicates([key, own])
-    return left.select(*[col(c) for c in df.columns]).unionByName(df.filter(col(key).isNull()))
+    own = free_name(df, "_row")
+    named = df.withColumn(own, F.md5(F.to_json(F.struct(*[col(c) for c in df.columns]))))
+    prints = saved(fingerprints(named, [key, own], text, words, how.longs, seed), "fingerprints")
+    row = F.struct(col(key).isNull().alias("_null"), col(key).alias("_key"), col(own).alias("_row"))
+    reached = _classes(prints, hexadecimal(*[col(n) for n in _names(how.longs)]), links(prints, how), row)
+    kept = reached.select(F.col("_least._row").alias(own)).distinct()
+    # The semi join leaves rows dealt by their digest, which is what dropping repeats needs.
+    left = named.join(kept, own, "left_semi").dropDuplicates([own])
+    return left.select(*[col(c) for c in df.columns])
