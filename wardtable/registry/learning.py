@@ -181,9 +181,10 @@ def _(t):
     folder = new_folder(t.spark, "trial-log")
     log = MP.save_tables({"trials": _trial_log(t, n=3)}, folder)["trials"]
     refit = MP.refit_from_log(documents_set(t), log)
-    counts = refit["confusion"].select((F.col("tn") + F.col("fp")).alias("n0"), (F.col("fn") + F.col("tp")).alias("n1"))
-    chosen = refit["chosen"].agg(F.count(F.lit(1)).cast("int").alias("trials")).withColumn("_one", F.lit(1))
-    return chosen.join(counts.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    none = F.lit(0)
+    counts = refit["confusion"].select(none.alias("trials"), (F.col("tn") + F.col("fp")).alias("n0"), (F.col("fn") + F.col("tp")).alias("n1"))
+    chosen = refit["chosen"].select(F.lit(1).alias("trials"), none.alias("n0"), none.alias("n1"))
+    return counts.unionByName(chosen).agg(F.sum("trials").cast("int").alias("trials"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 @query("trial_history")
