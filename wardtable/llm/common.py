@@ -101,6 +101,30 @@ def map_text(
     return df.select(*[col(c) for c in keep], col(text).alias(free_name(kept, "_text"))).mapInArrow(run, out)
 
 
+def map_rows(
+    df: DataFrame, inputs: list[Column], schema: str, work: Callable[[], Callable[..., list[tuple]]], keep: list[str]
+) -> DataFrame:
+    """As ``map_text`` with several inputs: ``keep`` columns and what ``work()(*lists)`` returns; nulls come as they are."""
+    small_batches(df.sparkSession)
+    kept = df.select(*[col(c) for c in keep])
+    out = _add(kept.schema, schema)
+    arrow = _arrow_schema(out)
+    n = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = work()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                rows = f(*[part.column(i).to_pylist() for i in range(n, part.num_columns)])
+                made = [pa.array(list(values), type=arrow.field(n + i).type) for i, values in enumerate(zip(*rows, strict=True))]
+                held = [part.column(i).cast(arrow.field(i).type) for i in range(n)]
+                yield pa.RecordBatch.from_arrays(held + made, schema=arrow)
+
+    named = [c.alias(free_name(kept, f"_in{i}")) for i, c in enumerate(inputs)]
+    return df.select(*[col(c) for c in keep], *named).mapInArrow(run, out)
+
+
 def _add(fields, schema: str):
     from pyspark.sql.types import StructType
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wardtable.llm import bpe, chat, html, minhash, mixing, quality, secrets, simhash, toxicity, urls
+from wardtable.llm import audit, bpe, chat, html, minhash, mixing, packing, quality, runs, secrets, simhash, toxicity, urls
 from wardtable.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,69 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html.extraction_report(table(spark, sf_dir, "pages"))
+
+
+#: Id of the end mark that closes every packed document.
+END_OF_TEXT = 2
+
+
+@query
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens: every piece and its place."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.packing_report(table(spark, sf_dir, "documents"), path, END_OF_TEXT, 1024)
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes, for every source, order of filters and step."""
+    return audit.audit_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE["op12_filter_audit"] = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), said AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first_id FROM docs
+), marked AS (
+  SELECT doc_id, part, len(words) < 50 AS a, 100 * len(list_distinct(words)) < 65 * len(words) AS b,
+         100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) AS c,
+         regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > first_id, false) AS e
+  FROM said
+), told AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id
+), cells AS (
+  SELECT part, concat(CASE WHEN a THEN 'A' ELSE '' END, CASE WHEN b THEN 'B' ELSE '' END, CASE WHEN c THEN 'C' ELSE '' END,
+                      CASE WHEN d THEN 'D' ELSE '' END, CASE WHEN e THEN 'E' ELSE '' END) AS failed,
+         count(*) AS docs, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM marked LEFT JOIN told USING (doc_id) GROUP BY 1, 2
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l
+), orders AS (
+  SELECT v.l || w.l || x.l || y.l || z.l AS filter_order
+  FROM letters v JOIN letters w ON w.l <> v.l JOIN letters x ON x.l NOT IN (v.l, w.l)
+  JOIN letters y ON y.l NOT IN (v.l, w.l, x.l) JOIN letters z ON z.l NOT IN (v.l, w.l, x.l, y.l)
+), steps AS (
+  SELECT filter_order, CAST(step AS INT) AS step, filter_order[step] AS letter, filter_order[1:step - 1] AS earlier
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)
+), fates AS (
+  SELECT *, contains(failed, letter) AS fails, failed <> translate(failed, earlier, '') AS gone FROM cells, steps
+), counted AS (
+  SELECT part, filter_order, step, letter,
+         sum(docs) FILTER (NOT fails AND NOT gone) AS kept, sum(docs) FILTER (fails AND NOT gone) AS removed,
+         sum(docs) FILTER (fails AND gone) AS redundant, sum(docs) FILTER (failed = letter) AS unique_fails,
+         sum(good) FILTER (fails AND NOT gone) AS good_lost, sum(toxic) FILTER (fails AND NOT gone) AS toxic_lost
+  FROM fates GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+       CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(removed) OVER (PARTITION BY part, letter), 0) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, and its digest without them."""
+    return runs.run_report(table(spark, sf_dir, "documents"))
