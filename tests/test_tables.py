@@ -215,6 +215,47 @@ def test_correlations_use_rows_with_both_values(spark):
     got = {(r["column_a"], r["column_b"]): r["r"] for r in S.correlations(df, list("abcde")).collect()}
     want = data.corr()
     assert len(got) == 10
+    for (a, b), r in got.items():
+        assert (r is None) if pd.isna(want.loc[a, b]) else r == pytest.approx(want.loc[a, b])
+    got = {(r["column_a"], r["column_b"]): r["r"] for r in S.correlations(df, list("abcde"), "spearman").collect()}
+    want = data.rank().corr()
     for (a, b), r in got.items():
         assert (r is None) if pd.isna(want.loc[a, b]) else r == pytest.approx(want.loc[a, b])
     assert S.correlations(df, ["a"]).count() == 0 and S.correlations(df.limit(0), ["a", "b"]).first()["r"] is None
+
+
+def test_moments_of_many_columns_and_large_means(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from wardtable.operators import gram
+
+    monkeypatch.setattr(gram, "BLOCK", 7)
+    monkeypatch.setattr(gram, "FIRST_ROUND", 3)
+    draw = np.random.default_rng(2)
+    data = pd.DataFrame(draw.normal(size=(900, 20))).add_prefix("c")
+    data["c1"] = data["c0"] * 0.5 + data["c1"]
+    data["c3"] = 1e9 + data["c0"] + data["c3"]  # the mean is a billion times the spread
+    data["c4"] = 123456.789
+    data.loc[draw.random(900) < 0.3, "c5"] = np.nan
+    df = spark.createDataFrame(data).repartition(11)
+    got = {(r["column_a"], r["column_b"]): r["r"] for r in S.correlations(df, list(data.columns)).collect()}
+    want = (data - data.mean()).corr()
+    assert len(got) == 190
+    for (a, b), r in got.items():
+        assert r is None if "c4" in (a, b) else r == pytest.approx(want.loc[a, b], abs=1e-7)
+    rows = {(r["i"], r["j"]): r["n"] for r in gram.pair_moments(df, [F.col(c) for c in data.columns]).collect()}
+    assert rows[0, 1] == 900 and rows[0, 5] == data["c5"].notna().sum()
+
+
+def test_average_ranks(spark):
+    import numpy as np
+    import pandas as pd
+
+    from wardtable.operators.ordered import average_ranks
+
+    draw = np.random.default_rng(4)
+    data = pd.DataFrame({"a": draw.integers(0, 5, 300).astype(float), "b": draw.normal(size=300), "c": np.where(np.arange(300) < 200, 0.0, np.nan)})
+    got = [tuple(r["ranks"]) for r in average_ranks(spark.createDataFrame(data), ["a", "b", "c"], buckets=7).collect()]
+    want = [tuple(None if pd.isna(x) else float(x) for x in r) for r in data.rank().itertuples(index=False)]
+    assert sorted(got, key=str) == sorted(want, key=str)

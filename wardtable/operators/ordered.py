@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wardtable.functions.expressions import col
+from wardtable.functions.expressions import col, known
 
 #: Narrow rows that one task sorts with ease; the number of buckets follows from it.
 BUCKET_ROWS = 5_000_000
@@ -107,6 +107,38 @@ def running(
     return joined.select(*[col(c) for c in df.columns], *out)
 
 
+def average_ranks(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """One row for each row of ``df``: ``ranks``, an array with each column's average rank among its values, from 1 on.
+
+    Equal values share the mean of their places; missing ones have none. Values are counted first, so
+    ties cost nothing, then summed along each column in buckets of near-equal size cut at its own
+    approximate quantiles (at most ``buckets`` numbers a column reach the driver). All columns go together: two shuffles of the cells.
+    """
+    buckets = buckets or default_buckets(df)
+    values = [known(col(c).cast("double")) for c in columns]
+    shares = [i / buckets for i in range(1, buckets)]
+    cuts = df.agg(*[F.percentile_approx(v, shares, 10_000).alias(f"c{k}") for k, v in enumerate(values)]).first()
+    rows = [(k, sorted(set(c or []))) for k, c in enumerate(cuts)]
+    cuts = df.sparkSession.createDataFrame(rows, "_column int, _cuts array<double>")
+    cells = df.select(F.monotonically_increasing_id().alias("_row"), F.array(*values).alias("_values"))
+    cells = cells.select("_row", F.posexplode("_values").alias("_column", "_value"))
+    counts = cells.filter("_value is not null").groupBy("_column", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    place = F.size(F.filter("_cuts", lambda c: c < F.col("_value")))
+    counts = counts.join(F.broadcast(cuts), "_column").select("_column", "_value", "_n", place.alias("_bucket"))
+    totals = counts.groupBy("_column", "_bucket").agg(F.sum("_n").alias("_own"))
+    # At most ``buckets`` rows per column reach this window.
+    before = Window.partitionBy("_column").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_column", "_bucket", F.coalesce(F.sum("_own").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_column", "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
+    local = counts.withColumn("_here", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    ranks = local.join(starts, ["_column", "_bucket"]).select(
+        "_column", "_value", (F.col("_start") + F.col("_here") + (F.col("_n") + 1) / 2).alias("_rank")
+    )
+    ranked = cells.join(ranks, ["_column", "_value"], "left")
+    wide = [F.max(F.when(F.col("_column") == k, F.col("_rank"))) for k in range(len(columns))]
+    return ranked.groupBy("_row").agg(F.array(*wide).alias("ranks")).select("ranks")
+
+
 def hash_rank(
     df: DataFrame,
     key: str,

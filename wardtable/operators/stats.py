@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from wardtable.functions.tables import literal_table
 from wardtable.functions.expressions import col, days_between, known
 from wardtable.operators.columns import columns_of, is_missing
+from wardtable.operators.gram import pair_moments
+from wardtable.operators.ordered import average_ranks
 from wardtable.operators.quantiles import exact_quantiles
 
 # --- per key ----------------------------------------------------------------
@@ -272,39 +274,29 @@ def profile_quantiles(df: DataFrame, shares: Sequence[float] = (0.05, 0.25, 0.5,
 
 
 def correlations(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:
-    """Correlation of every column pair (i < j) as ``(column_a, column_b, r)``.
+    """Correlation of every column pair (i < j) as ``(column_a, column_b, r)``, over the rows that have both values.
 
-    Pearson uses the rows that have both values: each row gives its pairs to one mergeable aggregate, so
-    the table is read once whatever the number of columns, and nothing passes through the driver.
-    Spearman ranks each column with a distributed sort, over rows without a missing value.
+    One scan gives the moments of all pairs (see ``gram``). Spearman is the same over the columns' average
+    ranks, each among all values of its column (see ``ordered.average_ranks``). A column
+    that is constant over a pair's rows has no correlation. Nothing passes through the driver.
     """
+    if method not in ("pearson", "spearman"):
+        raise ValueError(f"no correlation method {method}: pearson, spearman")
     columns = list(columns)
     last = len(columns) - 1
     names = F.array(*[F.lit(c) for c in columns]) if columns else F.array().cast("array<string>")
-    spark = df.sparkSession
-    every = spark.range(0, max(last, 0), 1, 1).select(
+    every = df.sparkSession.range(0, max(last, 0), 1, 1).select(
         F.col("id").cast("int").alias("i"), F.explode(F.sequence(F.col("id").cast("int") + 1, F.lit(last))).alias("j")
     )
-    if method == "pearson":
-        values = df.select(F.array(*[known(col(c).cast("double")) for c in columns]).alias("v"))
-        firsts = values.select("v", F.explode(F.sequence(F.lit(0), F.lit(max(last - 1, 0)))).alias("i"))
-        firsts = firsts.filter(F.get("v", F.col("i")).isNotNull())
-        pairs = firsts.select("v", "i", F.explode(F.sequence(F.col("i") + 1, F.lit(max(last, 1)))).alias("j"))
-        x, y = F.get("v", F.col("i")), F.get("v", F.col("j"))
-        # A column that is constant over a pair's rows has no correlation.
-        spread = F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
-        found = pairs.filter(y.isNotNull()).groupBy("i", "j").agg((F.covar_pop(x, y) / spread).alias("r"))
+    if last < 1:
+        found = every.withColumn("r", F.lit(None).cast("double"))
     else:
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation
-
-        numbers = df.select(*[known(col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)]).dropna()
-        vectors = VectorAssembler(
-            inputCols=[f"v{i}" for i in range(len(columns))], outputCol="v"
-        ).transform(numbers)
-        matrix = Correlation.corr(vectors.select("v"), "v", method).first()[0].toArray()
-        rows = [(i, j, float(matrix[i, j])) for i, j in combinations(range(len(columns)), 2)]
-        found = literal_table(spark, rows, "i int, j int, r double")
+        if method == "pearson":
+            moments = pair_moments(df, [col(c) for c in columns])
+        else:
+            moments = pair_moments(average_ranks(df, columns), [F.get("ranks", F.lit(k)) for k in range(last + 1)])
+        spread = F.nullif(F.sqrt("squares_i") * F.sqrt("squares_j"), F.lit(0.0))
+        found = moments.select("i", "j", (F.col("products") / spread).alias("r"))
     return every.join(found, ["i", "j"], "left").select(
         F.get(names, F.col("i")).alias("column_a"), F.get(names, F.col("j")).alias("column_b"), known(F.col("r")).alias("r")
     )

@@ -522,6 +522,27 @@ def _(t):
     return S.correlations(_related(t), _NUMBERS).withColumn("r", F.round("r", 6))
 
 
+def _average_rank(c: str) -> str:
+    return f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0 as {c}"
+
+
+_RANK_COLUMNS = ["l_quantity", "l_discount", "l_extendedprice", "l_linenumber"]
+_RANKS = "with x as (select " + ", ".join(_average_rank(c) for c in _RANK_COLUMNS) + " from lineitem) "
+
+
+@query(
+    "correlation_spearman",
+    _RANKS
+    + " union all ".join(
+        f"select '{a}' as column_a, '{b}' as column_b, round(corr({a}, {b}), 6) as r from x"
+        for i, a in enumerate(_RANK_COLUMNS)
+        for b in _RANK_COLUMNS[i + 1 :]
+    ),
+)
+def _(t):
+    return S.correlations(t("lineitem"), _RANK_COLUMNS, "spearman").withColumn("r", F.round("r", 6))
+
+
 @query(
     "drop_correlated",
     f"""{_CORR}, a as (select column_a as kept, column_b as dropped, r,
