@@ -43,7 +43,7 @@ def test_impute_matches_brute_force(spark, shape):
     if shape == "hot point":
         x[:120] = [1.0, 2.0, 3.0]  # more than a third of the rows share one place
     x[rng.uniform(size=x.shape) < (0.45 if shape == "many gaps" else 0.1)] = np.nan
-    means = N.neighbor_means(frame(spark, x), "id", ["c0", "c1", "c2"], 5, block_rows=16)
+    means = N.neighbor_means(frame(spark, x), "id", ["c0", "c1", "c2"], 5, block_rows=64)
     got = x.copy()
     for r in means.collect():
         for j in range(3):
@@ -67,7 +67,7 @@ def test_classify_matches_brute_force(spark, metric):
     y = (x.sum(axis=1) > 0).astype(int)
     df = spark.createDataFrame([(i, [float(v) for v in r], int(c)) for i, (r, c) in enumerate(zip(x, y))], "id int, v array<double>, y int")
     train, test = df.filter("id >= 60"), df.filter("id < 60")
-    got = {r["id"]: r["prediction"] for r in N.knn_classify(train, test, "id", "v", "y", 4, 5, "uniform", metric, block_rows=20).collect()}
+    got = {r["id"]: r["prediction"] for r in N.knn_classify(train, test, "id", "v", "y", 4, 5, "uniform", metric, block_rows=60).collect()}
     for i in range(60):
         d = np.abs(x[60:] - x[i])
         d = d.sum(axis=1) if metric == "manhattan" else np.sqrt((d * d).sum(axis=1))
@@ -76,6 +76,47 @@ def test_classify_matches_brute_force(spark, metric):
         assert got[i] == (1 if votes >= 3 else 0)
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_tree_and_boxes(metric):
+    """Leaves hold every row once, are of near-equal size, and no row of a box is nearer than the box."""
+    rng = np.random.RandomState(3)
+    y = rng.normal(size=(3000, 3)) * [1, 5, 30]
+    y[rng.uniform(size=y.shape) < 0.05] = np.nan
+    tree = N.split_tree(y, 5)
+    leaf = N.leaf_of(tree, y)
+    sizes = np.bincount(leaf, minlength=32)
+    assert sizes.sum() == 3000 and sizes.max() < 300
+    boxes, members = [], []
+    for cell in np.unique(leaf):
+        part = y[leaf == cell]
+        boxes.append(np.concatenate([[cell], np.nanmin(part, axis=0), np.nanmax(part, axis=0), np.isnan(part).any(axis=0)]))
+        members.append(part)
+    x = y[:60]
+    lower = N.box_distances(boxes, x, metric)
+    for k, part in enumerate(members):
+        dist = np.nanmin(np.where(np.isnan(d := N._distances(x, part, metric)), np.inf, d), axis=1)
+        assert (lower[:, k] <= (dist if metric == "manhattan" else dist**2) * (1 + 1e-9)).all()
+    same = N.split_tree(np.ones((50, 3)), 3)
+    assert same[0] == -1 and (N.leaf_of(same, np.ones((50, 3))) == 0).all()
+    half = np.array([[1.0]] * 30 + [[0.0]] * 3)  # the median is the greatest value
+    assert len(set(N.leaf_of(N.split_tree(half, 1), half).tolist())) == 2
+
+
+def test_cells_are_small_and_few_pairs_are_met(spark):
+    """Four times as many rows make far fewer than sixteen times as many pairs."""
+    pairs = []
+    for n in (2_000, 8_000):
+        point = F.array(F.rand(1), F.rand(2)).alias("_y")
+        donors = N._saved(spark.range(n).select(F.col("id").alias("_d"), point, F.lit(1.0).alias("_v")))
+        rows, trees = N._grow(donors, 2, 100)
+        sizes = rows.groupBy("_cell").count()
+        assert sizes.agg(F.max("count")).first()[0] <= 100 and sizes.count() >= n / 100
+        bound = donors.select(F.col("_d").alias("_q"), F.col("_y").alias("_x"), F.lit((5 / n) ** 0.5).alias("_bound"), F.lit(-1).cast("bigint").alias("_own"))
+        asked = N.candidate_pairs(bound, N._boxes(rows, 2, len(trees)), 2, "euclidean")
+        pairs.append(asked.join(sizes, "_cell").agg(F.sum("count")).first()[0])
+    assert pairs[1] < 8 * pairs[0]
+
+
 def test_all_rows_imputed_by_kind(spark):
     df = spark.range(60).select(
         F.col("id").cast("string").alias("row_key"),

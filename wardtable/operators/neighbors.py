@@ -1,18 +1,20 @@
-"""Exact nearest neighbours without comparing every pair of rows.
-
-Donors are grouped around a bounded set of pivot rows. Each group ("cell") is known by
-its bounding box. For a query row the boxes give a safe upper bound of its k-th
-distance, and only cells whose lower bound does not exceed it can hold a neighbour
-(the pruning idea of published map-reduce kNN joins). Both sides of a cell are cut
-into bounded blocks, so no task ever holds a whole cell, however many rows fall
-into it; each block hands on at most k rows per query row. Nothing is sampled,
-capped or approximated: the bounds only skip work that cannot matter.
+"""Exact nearest neighbours over a distributed tree of donor cells.
+
+Donors are split into cells by medians: each pass samples a bounded number of rows of every cell that is
+still too large, builds a tree of at most ``FAN`` leaves from them and deals the cell's rows out to its leaves,
+until no cell holds more than ``block_rows`` rows. So the number of cells grows with the donors, and trees and
+boxes are tables that are never whole on the driver or in a task. Cells whose rows are all alike stay whole and are cut into
+blocks by hash.
+
+A query row goes down the trees to its own cell first and takes the k-th distance there. Then it goes down the levels of
+bounding boxes and keeps the cells that come as near as that distance; no other can hold a neighbour. Each pair of blocks
+hands on at most k rows per query row. Nothing is sampled, capped or approximated in the
+result: samples decide where cells are cut, and bounds only skip work that cannot matter.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,10 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wardtable.functions.expressions import col
-from wardtable.operators.ordered import hash_number
+from wardtable.session import new_folder
 
-MAX_CELLS = 1024
 BLOCK_ROWS = 4096
+#: Leaves of one tree, and rows of a cell that it is built from (about).
+FAN, SAMPLE_ROWS = 1024, 32_768
+#: Rows that meet their cell's numbers in one task.
+STREAM_ROWS = 100_000
+#: Passes after which cell numbers would leave 64 bits; 1024 ** 6 cells.
+PASSES = 6
 _WORK = 2_000_000  # numbers in one temporary distance array
 
 
@@ -34,6 +41,12 @@ def _matrix(series: pd.Series, width: int) -> np.ndarray:
     return np.array([np.asarray(v, dtype="float64") for v in series], dtype="float64")
 
 
+def _saved(df: DataFrame) -> DataFrame:
+    path = new_folder(df.sparkSession, "neighbors")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     """Pairwise distances; coordinates missing on either side are left out.
 
@@ -59,161 +72,179 @@ def _chunks(n: int, per_row: int) -> Iterator[slice]:
         yield slice(start, start + step)
 
 
-class _Cells:
-    """Bounding boxes of the donor cells; small enough to ship with the tasks."""
-
-    def __init__(self, pivots: np.ndarray, metric: str):
-        self.pivots = pivots
-        self.metric = metric
-        cells, width = pivots.shape
-        self.low = np.full((cells, width), np.inf)
-        self.high = np.full((cells, width), -np.inf)
-        self.holes = np.zeros((cells, width), dtype=bool)
-        self.rows = np.zeros(cells, dtype="int64")
-        self.complete = np.zeros(cells, dtype="int64")
-
-    def nearest(self, y: np.ndarray) -> np.ndarray:
-        """Cell of each donor. Any choice is right; a near pivot makes tight boxes."""
-        out = np.zeros(len(y), dtype="int32")
-        for part in _chunks(len(y), self.pivots.size):
-            d = _distances(y[part], self.pivots, self.metric)
-            out[part] = np.where(np.isnan(d), np.inf, d).argmin(axis=1)
-        return out
+# --- the tree ---------------------------------------------------------------
 
-    def candidates(self, x: np.ndarray, k: int) -> list[np.ndarray]:
-        """For each query row the cells that may hold one of its k nearest donors."""
-        out: list[np.ndarray] = []
-        filled = self.rows > 0
-        for part in _chunks(len(x), self.low.size):
-            q = x[part][:, None, :]
-            known = ~np.isnan(q)
-            with np.errstate(invalid="ignore"):
-                near = np.maximum(np.maximum(self.low - q, q - self.high), 0.0)
-                far = np.maximum(np.abs(self.high - q), np.abs(q - self.low))
-            near = np.where(known & ~self.holes, near, 0.0)
-            far = np.where(known, far, 0.0)
-            power = 1 if self.metric == "manhattan" else 2
-            n_known = known.sum(axis=2)
-            stretch = x.shape[1] / np.maximum(n_known, 1)
-            with np.errstate(invalid="ignore", over="ignore"):
-                lower = (near**power).sum(axis=2) * stretch
-                upper = (far**power).sum(axis=2) * stretch
-            upper = np.where(self.complete > 0, upper, np.inf)
-            order = np.argsort(upper, axis=1)
-            seen = np.cumsum(self.complete[order], axis=1)
-            place = (seen < k).sum(axis=1)
-            inside = place < upper.shape[1]
-            at = np.minimum(place, upper.shape[1] - 1)
-            bound = np.take_along_axis(upper, order, axis=1)[np.arange(len(at)), at]
-            bound = np.where(inside, bound, np.inf)
-            keep = (lower <= bound[:, None] * (1 + 1e-9)) & filled & (n_known > 0)
-            out += [np.flatnonzero(row) for row in keep]
-        return out
 
+def split_tree(y: np.ndarray, depth: int) -> np.ndarray:
+    """Axis (or -1) and cut of each of the 2 ** depth - 1 inner nodes, in heap order, one after the other.
 
-def _learn_cells(donors: DataFrame, width: int, metric: str, block_rows: int) -> _Cells:
-    n = donors.count()
-    cells = max(1, min(MAX_CELLS, math.ceil(n / (block_rows / 2))))
-    picked = donors.orderBy(hash_number(F.col("_d")), "_d").limit(cells).select("_y").collect()
-    pivots = _matrix(pd.Series([r["_y"] for r in picked]), width)
-    if not len(pivots):
-        pivots = np.zeros((1, width))
-    found = _Cells(pivots, metric)
+    A node is cut at the median of its widest axis; larger values go right, missing ones left.
+    """
+    nodes = (1 << depth) - 1
+    axis, cut = np.full(nodes, -1.0), np.zeros(nodes)
+    members = {0: np.arange(len(y))}
+    for node in range(nodes):
+        rows = members.pop(node, None)
+        if rows is None or len(rows) < 2:
+            continue
+        part = y[rows]
+        filled = ~np.isnan(part)
+        low, high = np.where(filled, part, np.inf).min(axis=0), np.where(filled, part, -np.inf).max(axis=0)
+        wide = np.where(high > low, high - low, 0.0)
+        best = int(np.argmax(wide))
+        if not wide[best] > 0:
+            continue
+        values = np.sort(part[filled[:, best], best])
+        at = values[(len(values) - 1) // 2]
+        if at == values[-1]:
+            at = values[np.searchsorted(values, at) - 1]
+        axis[node], cut[node] = best, at
+        right = part[:, best] > at  # false for missing values
+        members[2 * node + 1], members[2 * node + 2] = rows[~right], rows[right]
+    return np.concatenate([axis, cut])
+
+
+def leaf_of(tree: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Leaf of each row; below a node without a cut all go left."""
+    nodes = len(tree) // 2
+    axis, cut = tree[:nodes].astype("int64"), tree[nodes:]
+    at = np.zeros(len(y), dtype="int64")
+    while nodes:
+        a = axis[at]
+        right = (a >= 0) & (y[np.arange(len(y)), np.maximum(a, 0)] > cut[at])
+        at = 2 * at + 1 + right
+        nodes >>= 1
+    return at - len(axis)
+
+
+def _with_cells(
+    cells: DataFrame, rows: DataFrame, key: str, work: Callable[[list[np.ndarray], pd.DataFrame], pd.DataFrame], schema: str
+) -> DataFrame:
+    """``work(numbers, rows)`` for the rows of each ``_cell`` and the ``_data`` arrays that ``cells`` has for it.
 
-    def boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            y = _matrix(pdf["_y"], width)
-            cell = found.nearest(y)
-            complete = ~np.isnan(y).any(axis=1)
-            for c in np.unique(cell):
-                mine = y[cell == c]
-                has = ~np.isnan(mine)
-                yield pd.DataFrame(
-                    {
-                        "cell": int(c),
-                        "pos": np.arange(width),
-                        "low": np.where(has, mine, np.inf).min(axis=0),
-                        "high": np.where(has, mine, -np.inf).max(axis=0),
-                        "holes": (~has).sum(axis=0),
-                        "n": len(mine),
-                        "complete": int(complete[cell == c].sum()),
-                    }
-                )
-
-    schema = "cell int, pos int, low double, high double, holes bigint, n bigint, complete bigint"
-    rows = (
-        donors.select("_y")
-        .mapInPandas(boxes, schema)
-        .groupBy("cell", "pos")
-        .agg(
-            F.min("low").alias("low"), F.max("high").alias("high"), F.sum("holes").alias("holes"),
-            F.sum("n").alias("n"), F.sum("complete").alias("complete"),
-        )
-        .collect()  # at most MAX_CELLS rows per coordinate
+    Both are dealt by cell, large ones in several parts, and stream by in order, the numbers first: a task holds one
+    cell's numbers and one batch. Rows of cells without numbers are left out.
+    """
+    sizes = rows.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / STREAM_ROWS).cast("int").alias("_parts"))
+    names = [c for c in rows.columns if c != "_cell"]
+    heads = cells.join(sizes, "_cell").select(
+        "_cell", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.lit(0).alias("_kind"), "_data",
+        *[F.lit(None).cast(dict(rows.dtypes)[c]).alias(c) for c in names],
+    )
+    dealt = rows.join(sizes, "_cell").select(
+        "_cell", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int").alias("_part"), F.lit(1).alias("_kind"),
+        F.lit(None).cast("array<double>").alias("_data"), *names,
     )
-    for r in rows:
-        c, p = r["cell"], r["pos"]
-        found.low[c, p], found.high[c, p] = r["low"], r["high"]
-        found.holes[c, p] = r["holes"] > 0
-        found.rows[c], found.complete[c] = r["n"], r["complete"]
-    return found
+    order = ["_cell", "_part"]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine, numbers = None, []
+        for pdf in batches:
+            for place, part in pdf.groupby(order, sort=False):
+                if place != mine:
+                    mine, numbers = place, []
+                numbers += [np.asarray(v, dtype="float64") for v in part["_data"][part["_kind"] == 0]]
+                told = part[part["_kind"] == 1]
+                if len(told) and numbers:
+                    made = work(numbers, told.drop(columns=["_part", "_kind", "_data"]))
+                    # Text that shares Arrow buffers with its batch can't go back as it is.
+                    yield made.astype({c: object for c, t in made.dtypes.items() if isinstance(t, pd.StringDtype)})
+
+    return heads.unionByName(dealt).repartition(*order).sortWithinPartitions(*order, "_kind").mapInPandas(run, schema)
+
+
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"{c} {t}" for c, t in df.dtypes)
+
+
+def _down(rows: DataFrame, trees: DataFrame, key: str, vector: str, width: int) -> DataFrame:
+    """The rows with the number of their cell one level lower: cells without a tree have one child, number 0."""
+
+    def work(numbers: list[np.ndarray], part: pd.DataFrame) -> pd.DataFrame:
+        return part.assign(_cell=part["_cell"] * FAN + leaf_of(numbers[0], _matrix(part[vector], width)))[names]
+
+    names = rows.columns
+    split = _with_cells(trees, rows, key, work, _schema(rows))
+    others = rows.join(trees.select("_cell"), "_cell", "left_anti")
+    return split.unionByName(others.select(*[(F.col(c) * FAN).alias(c) if c == "_cell" else c for c in names]))
+
+
+def _grow(donors: DataFrame, width: int, block_rows: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Donors with their ``_cell``, and the table of trees (``_cell``, ``_data``) of each pass."""
+    rows = donors.withColumn("_cell", F.lit(0).cast("bigint"))
+    trees: list[DataFrame] = []
+    whole = None  # cells that have no cut
+    while len(trees) < PASSES:
+        sizes = rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block_rows)
+        if whole is not None:
+            sizes = sizes.join(whole, "_cell", "left_anti")
+        sizes = _saved(sizes)
+        if sizes.isEmpty():
+            break
+        share = F.pmod(F.xxhash64("_d", F.lit(len(trees))), F.lit(1 << 30)) < F.lit(float(1 << 30)) * SAMPLE_ROWS / F.col("_n")
+        picked = rows.join(sizes, "_cell").filter(share).select("_cell", "_n", "_y")
+
+        def build(pdf: pd.DataFrame) -> pd.DataFrame:
+            wanted = 2 * pdf["_n"].iloc[0] / block_rows
+            depth = int(np.clip(np.ceil(np.log2(wanted)), 1, np.log2(FAN)))
+            return pd.DataFrame({"_cell": pdf["_cell"].iloc[:1], "_data": [split_tree(_matrix(pdf["_y"], width), depth)]})
+
+        found = _saved(picked.groupBy("_cell").applyInPandas(build, "_cell bigint, _data array<double>"))
+        uncut = found.filter(F.get("_data", F.lit(0)) < 0).select((F.col("_cell") * FAN).alias("_cell"))
+        whole = uncut if whole is None else uncut.unionByName(whole.select((F.col("_cell") * FAN).alias("_cell")))
+        trees.append(found)
+        rows = _saved(_down(rows, found, "_d", "_y", width))
+    return rows, trees
+
+
+def _boxes(rows: DataFrame, width: int, levels: int) -> list[DataFrame]:
+    """For each level, top first: ``_cell`` of the parent and ``_data``, a child's number in it and its box (low, high, holes)."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for cell, part in pdf.groupby("_cell"):
+                y = _matrix(part["_y"], width)
+                has = ~np.isnan(y)
+                low, high = np.where(has, y, np.inf).min(axis=0), np.where(has, y, -np.inf).max(axis=0)
+                yield pd.DataFrame({"_cell": cell, "_axis": np.arange(width), "_low": low, "_high": high, "_holes": (~has).any(axis=0).astype(float)})
+
+    box = [F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.max("_holes").alias("_holes")]
+    long = rows.select("_cell", "_y").mapInPandas(partial, "_cell bigint, _axis int, _low double, _high double, _holes double")
+    long = _saved(long.groupBy("_cell", "_axis").agg(*box))
+    out = []
+    for _ in range(levels):
+        sides = [F.sort_array(F.collect_list(F.struct("_axis", F.col(c).alias("_side")))) for c in ("_low", "_high", "_holes")]
+        sides = [F.transform(s, lambda p: p["_side"]) for s in sides]
+        child = F.array((F.col("_cell") % FAN).cast("double"))
+        data = long.groupBy("_cell").agg(F.concat(*sides).alias("_box"))
+        out.insert(0, data.select(F.expr(f"_cell div {FAN}").alias("_cell"), F.concat(child, "_box").alias("_data")))
+        long = long.groupBy(F.expr(f"_cell div {FAN}").alias("_cell"), "_axis").agg(*box)
+    return out
 
-def nearest(
-    queries: DataFrame,
-    donors: DataFrame,
-    width: int,
-    k: int,
-    metric: str = "euclidean",
-    for_gaps: bool = False,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """The k nearest donors of each query row, ties by donor key.
 
-    ``queries`` has ``_q, _x`` and ``donors`` ``_d, _y, _v``: keys, coordinates as arrays of
-    doubles (missing ones allowed) and a number to carry along. Result:
-    ``_q, _gap, _d, _v, _distance``. With ``for_gaps`` each missing coordinate of a query row
-    gets its own k donors, among those that have it, and ``_v`` is the donor's value of it;
-    distances are computed once for all gaps. Otherwise ``_gap`` is -1.
-    """
-    cells = _learn_cells(donors, width, metric, block_rows)
-    donor_blocks = np.maximum(1, np.ceil(cells.rows / block_rows)).astype("int32")
+def box_distances(numbers: list[np.ndarray], x: np.ndarray, metric: str) -> np.ndarray:
+    """No row of a box is nearer than this to a query row: shape (rows of x, boxes). Squares if the metric is euclidean."""
+    width = x.shape[1]
+    low, high, holes = (np.stack(numbers)[:, 1 + k * width : 1 + (k + 1) * width] for k in range(3))
+    out = np.empty((len(x), len(numbers)))
+    for part in _chunks(len(x), low.size):
+        q = x[part][:, None, :]
+        has = ~np.isnan(q)
+        with np.errstate(invalid="ignore"):
+            near = np.maximum(np.maximum(low - q, q - high), 0.0)
+        near = np.where(has & (holes == 0), near, 0.0)
+        stretch = width / np.maximum(has.sum(axis=2), 1)
+        out[part] = (near ** (1 if metric == "manhattan" else 2)).sum(axis=2) * stretch
+    return out
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(_cell=cells.nearest(_matrix(pdf["_y"], width)))
 
-    def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = cells.candidates(_matrix(pdf["_x"], width), k)
-            yield pdf.assign(_cell=[f.astype("int32") for f in found])
-
-    types = dict(queries.dtypes)
-    donor_types = dict(donors.dtypes)
-    asked = queries.select("_q", "_x").mapInPandas(
-        propose, f"_q {types['_q']}, _x array<double>, _cell array<int>"
-    ).withColumn("_cell", F.explode("_cell"))
-    per_cell = {r["_cell"]: r["count"] for r in asked.groupBy("_cell").count().collect()}  # <= MAX_CELLS
-    chunks = np.ones(len(donor_blocks), dtype="int32")
-    for c, n in per_cell.items():
-        chunks[c] = max(1, math.ceil(n / block_rows))
-
-    def by_cell(counts: np.ndarray):
-        return F.element_at(F.array(*[F.lit(int(n)) for n in counts]), F.col("_cell") + 1)
-
-    left = (
-        asked.withColumn("_chunk", F.pmod(F.xxhash64("_q"), by_cell(chunks)).cast("int"))
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), by_cell(donor_blocks) - 1)))
-    )
-    right = (
-        donors.select("_d", "_y", "_v")
-        .mapInPandas(
-            assign, f"_d {donor_types['_d']}, _y array<double>, _v {donor_types['_v']}, _cell int"
-        )
-        .filter(F.col("_cell").isin([int(c) for c in per_cell]))
-        .withColumn("_block", F.pmod(F.xxhash64("_d"), by_cell(donor_blocks)).cast("int"))
-        .withColumn("_chunk", F.explode(F.sequence(F.lit(0), by_cell(chunks) - 1)))
-    )
+# --- the search -------------------------------------------------------------
+
+
+def _compared(
+    asked: DataFrame, rows: DataFrame, width: int, k: int, metric: str, for_gaps: bool, block_rows: int
+) -> DataFrame:
+    """At most k rows for each query row, gap and block: ``_q, _gap, _d, _v, _distance``."""
 
     def best(dist: np.ndarray, names, ids, values, gap: int) -> pd.DataFrame:
         top = min(k, dist.shape[1])
@@ -238,22 +269,89 @@ def nearest(
                     parts.append(best(dist, names[part], ids, values, -1))
                     continue
                 for gap in range(width):
-                    rows = np.isnan(x[part, gap])
+                    missing = np.isnan(x[part, gap])
                     have = ~np.isnan(y[:, gap])
-                    if rows.any() and have.any():
-                        parts.append(
-                            best(dist[rows][:, have], names[part][rows], ids[have], y[have, gap], gap)
-                        )
+                    if missing.any() and have.any():
+                        parts.append(best(dist[missing][:, have], names[part][missing], ids[have], y[have, gap], gap))
         full = [p for p in parts if len(p)]
         empty = pd.DataFrame({"_q": [], "_gap": [], "_d": [], "_v": [], "_distance": []})
         return pd.concat(full) if full else empty
 
+    blocks = rows.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks"))
+    chunks = asked.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_chunks"))
+    cut = _saved(blocks.join(chunks, "_cell"))
+    left = asked.join(cut, "_cell").select(
+        "_cell", "_q", "_x", F.pmod(F.xxhash64("_q"), F.col("_chunks")).alias("_chunk"),
+        F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"),
+    )
+    right = rows.join(cut, "_cell").select(
+        "_cell", "_d", "_y", "_v", F.pmod(F.xxhash64("_d"), F.col("_blocks")).cast("int").alias("_block"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_chunks") - 1)).alias("_chunk"),
+    )
     groups = ["_cell", "_block", "_chunk"]
-    schema = f"_q {types['_q']}, _gap int, _d {donor_types['_d']}, _v double, _distance double"
-    close = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(compare, schema)
-    # At most k rows per query row, gap and block arrive here.
+    schema = f"_q {dict(asked.dtypes)['_q']}, _gap int, _d {dict(rows.dtypes)['_d']}, _v double, _distance double"
+    return left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(compare, schema)
+
+
+def candidate_pairs(queries: DataFrame, boxes: list[DataFrame], width: int, metric: str) -> DataFrame:
+    """``_cell, _q, _x, _own``: cells that come as near to a query row as its ``_bound``, its own one left out."""
+
+    def work(numbers: list[np.ndarray], part: pd.DataFrame) -> pd.DataFrame:
+        x, bound = _matrix(part["_x"], width), part["_bound"].to_numpy()
+        lower = box_distances(numbers, x, metric)
+        limit = bound if metric == "manhattan" else bound * bound
+        row, child = np.nonzero((lower <= limit[:, None] * (1 + 1e-9)) & ~np.isnan(x).all(axis=1)[:, None])
+        leaf = np.array([n[0] for n in numbers]).astype("int64")[child]
+        out = part.iloc[row].copy()
+        out["_cell"] = out["_cell"].to_numpy() * FAN + leaf
+        return out
+
+    asked = queries.withColumn("_cell", F.lit(0).cast("bigint"))
+    for level in boxes:
+        asked = _with_cells(level, asked, "_q", work, _schema(asked))
+    return asked.filter(F.col("_cell") != F.col("_own")).select("_cell", "_q", "_x")
+
+
+def nearest(
+    queries: DataFrame,
+    donors: DataFrame,
+    width: int,
+    k: int,
+    metric: str = "euclidean",
+    for_gaps: bool = False,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """The k nearest donors of each query row, ties by donor key.
+
+    ``queries`` has ``_q, _x`` and ``donors`` ``_d, _y, _v``: keys, coordinates as arrays of
+    doubles (missing ones allowed) and a number to carry along. Result:
+    ``_q, _gap, _d, _v, _distance``. With ``for_gaps`` each missing coordinate of a query row
+    gets its own k donors, among those that have it, and ``_v`` is the donor's value of it;
+    distances are computed once for all gaps. Otherwise ``_gap`` is -1.
+    """
+    rows, trees = _grow(donors.select("_d", "_y", F.col("_v").cast("double").alias("_v")), width, block_rows)
+    own = queries.select("_q", "_x", F.lit(0).cast("bigint").alias("_cell"))
+    for found in trees:
+        own = _down(own, found, "_q", "_x", width)
+    own = _saved(own)
+    # At most k rows per query row, gap and block arrive in this window.
     order = Window.partitionBy("_q", "_gap").orderBy("_distance", "_d")
-    return close.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")
+
+    def first_k(found: DataFrame) -> DataFrame:
+        return found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k)
+
+    close = first_k(_compared(own, rows, width, k, metric, for_gaps, block_rows))
+    if not trees:
+        return close.drop("_n")
+    close = _saved(close)
+    # The distance that no neighbour exceeds: the k-th in the own cell, of every gap; none if a gap has fewer.
+    full = close.filter(F.col("_n") == k).groupBy("_q").agg(F.max("_distance").alias("_far"), F.count(F.lit(1)).alias("_gaps"))
+    wanted = F.size(F.filter("_x", lambda v: v.isNull() | F.isnan(v))) if for_gaps else F.lit(1)
+    bound = F.when(F.col("_gaps") == wanted, F.col("_far")).otherwise(F.lit(float("inf")))
+    bounded = own.join(full, "_q", "left").select("_q", "_x", bound.alias("_bound"), F.col("_cell").alias("_own"))
+    asked = _saved(candidate_pairs(bounded, _boxes(rows, width, len(trees)), width, metric))
+    more = _compared(asked, rows, width, k, metric, for_gaps, block_rows)
+    return first_k(close.drop("_n").unionByName(more)).drop("_n")
 
 
 def _weights():
