@@ -88,8 +88,7 @@ def _totals(df: DataFrame, label: str, by: Sequence[str]) -> DataFrame:
 def _with_totals(points: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFrame:
     if by:
         return points.join(totals, list(by))
-    row = totals.first()  # one row
-    return points.withColumn("_p", F.lit(row["_p"])).withColumn("_n", F.lit(row["_n"]))
+    return points.withColumn("_p", totals.select("_p").scalar()).withColumn("_n", totals.select("_n").scalar())
 
 
 def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -197,7 +196,7 @@ def class_report(
     auc = ranking_scores(df, label, score, by).select(*by, "roc_auc")
     if by:
         return report.join(auc, list(by), "left")
-    return report.withColumn("roc_auc", F.lit(auc.first()["roc_auc"]).cast("double"))  # one row
+    return report.withColumn("roc_auc", auc.scalar().cast("double"))
 
 
 def compare_models(

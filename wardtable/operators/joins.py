@@ -183,34 +183,25 @@ def codes_to_names(
     known = (
         codes.filter(F.col("form") == form)
         .select("variable", normalise_code(F.col("value"), missing=None).alias("_code"), "name")
-        .filter(F.col("_code").isNotNull())
+        .filter(F.col("_code").isNotNull() & F.col("variable").isNotNull())
     )
-    if known.isEmpty():
-        return df, literal_table(spark, [], "form string, variable string, problem string, n bigint")
     # One row per coded variable of a form: bounded by the number of its columns.
     variables = sorted(r["variable"] for r in known.select("variable").distinct().collect())
-    out, absent, checks = df, [], []
-    for v in variables:
+    absent = [(form, v, "no such column", None) for v in variables if alias.get(v, v) not in df.columns]
+    checks = [v for v in variables if alias.get(v, v) in df.columns]
+    # The whole dictionary of the form is one value, read once for all variables: names by variable and code.
+    names = known.groupBy("variable", "_code").agg(F.max("name").alias("_name"))
+    entry = F.struct("_code", "_name")
+    by_code = names.groupBy("variable").agg(F.map_from_entries(F.collect_list(entry)).alias("_names"))
+    dictionary = by_code.agg(F.map_from_entries(F.collect_list(F.struct("variable", "_names")))).scalar() if checks else None
+    recoded, lost = {}, []
+    for v in checks:
         column = alias.get(v, v)
-        if column not in df.columns:
-            absent.append((form, v, "no such column", None))
-            continue
-        names = (
-            known.filter(F.col("variable") == v)
-            .groupBy("_code")
-            .agg(F.max("name").alias("_name"))
-        )
-        code = normalise_code(col(column), missing=None)
-        out = out.withColumn("_key", F.coalesce(code, col(column).cast("string")))
-        out = out.join(
-            names, F.col("_key") == F.col("_code"), "left"
-        )
-        out = out.select(
-            *[F.col("_name").alias(c) if c == column else col(c) for c in df.columns],
-            *[col(c) for c in out.columns if c.startswith("_lost_")],
-            (col(column).isNotNull() & F.col("_code").isNull()).alias(f"_lost_{v}"),
-        )
-        checks.append(v)
+        mine = F.element_at(dictionary, F.lit(v))
+        key = F.coalesce(normalise_code(col(column), missing=None), col(column).cast("string"))
+        recoded[column] = F.element_at(mine, key)
+        lost.append((col(column).isNotNull() & ~F.map_contains_key(mine, key)).alias(f"_lost_{v}"))
+    out = df.select(*[recoded[c].alias(c) if c in recoded else col(c) for c in df.columns], *lost)
     errors = literal_table(spark, absent, "form string, variable string, problem string, n bigint")
     if checks:
         lost = out.agg(*[F.count_if(col(f"_lost_{v}")).alias(f"_n{i}") for i, v in enumerate(checks)])

@@ -303,10 +303,12 @@ _EMBED = f"""v as (select vec_id, cast(embedding as double[]) as e, label, {hash
 @query(
     "knn_classify",
     f"""with {_EMBED}, w as (select q, label, sum(1 / dist) as votes from k group by 1, 2)
-        select q as vec_id, cast(label as double) as prediction from
-        (select *, row_number() over (partition by q order by votes desc, label) as i from w) where i = 1""",
+        select q as vec_id, cast(label as double) as prediction, score from
+        (select *, row_number() over (partition by q order by votes desc, label) as i,
+           round(sum(case when label = 1 then votes else 0 end) over (partition by q) / sum(votes) over (partition by q), 6) as score
+         from w) where i = 1""",
 )
 def _(t):
     train, test = P.split(t("embeddings"), "vec_id")
     found = N.knn_classify(train, test, "vec_id", "embedding", "label", 64, 5, "distance")
-    return found.select("vec_id", "prediction")
+    return found.withColumn("score", F.round("score", 6))

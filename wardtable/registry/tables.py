@@ -748,7 +748,9 @@ _PROFILE = " union all ".join(
       {"round(avg(%s), 6)" % c if num else "cast(null as double)"} as mean,
       {"round(stddev_samp(%s), 6)" % c if num else "cast(null as double)"} as std,
       count(distinct {c}) as n_distinct,
-      (select max(k) from (select count(*) as k from c where {c} is not null group by {c})) as top_freq from c"""
+      (select max(k) from (select count(*) as k from c where {c} is not null group by {c})) as top_freq,
+      (select cast(v as varchar) from (select {c} as v, count(*) as k from c where {c} is not null group by {c})
+       order by k desc, cast(v as varchar) limit 1) as top from c"""
     for c, ty, num in [
         ("c_custkey", "bigint", True), ("c_nationkey", "int", True), ("c_acctbal", "double", True),
         ("c_mktsegment", "string", False),
@@ -770,7 +772,6 @@ def _(t):
         S.profile(rows)
         .withColumn("mean", F.round("mean", 6))
         .withColumn("std", F.round("std", 6))
-        .drop("top")
     )
 
 
