@@ -274,8 +274,8 @@ def _compared(
                     if missing.any() and have.any():
                         parts.append(best(dist[missing][:, have], names[part][missing], ids[have], y[have, gap], gap))
         full = [p for p in parts if len(p)]
-        empty = pd.DataFrame({"_q": [], "_gap": [], "_d": [], "_v": [], "_distance": []})
-        return pd.concat(full) if full else empty
+        none = {"_q": q["_q"].to_numpy()[:0], "_gap": [], "_d": d["_d"].to_numpy()[:0], "_v": [], "_distance": []}
+        return pd.concat(full) if full else pd.DataFrame(none)
 
     blocks = rows.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks"))
     chunks = asked.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_chunks"))
