@@ -187,6 +187,8 @@ def codes_to_names(
     )
     # One row per coded variable of a form: bounded by the number of its columns.
     variables = sorted(r["variable"] for r in known.select("variable").distinct().collect())
+    if not variables:
+        return df, literal_table(spark, [], "form string, variable string, problem string, n bigint")
     absent = [(form, v, "no such column", None) for v in variables if alias.get(v, v) not in df.columns]
     checks = [v for v in variables if alias.get(v, v) in df.columns]
     # The whole dictionary of the form is one value, read once for all variables: names by variable and code.
