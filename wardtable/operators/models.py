@@ -19,7 +19,6 @@ from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     NaiveBayes,
@@ -33,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardtable.functions.expressions import col
+from wardtable.operators.boosting import Settings, fit_trees
 from wardtable.operators.neighbors import knn_classify
 
 SEED = 99
@@ -85,6 +85,24 @@ class FourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable)
         return dataset.withColumn(get("outputCol"), mapped)
 
 
+class EvenPrior(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Takes the classes' prior out of the scores of a fitted model that adds log-likelihoods to it."""
+
+    logPrior = Param(Params._dummy(), "logPrior", "logarithms of the learnt prior", TypeConverters.toListFloat)
+
+    @keyword_only
+    def __init__(self, *, logPrior=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        low, high = self.getOrDefault("logPrior")
+        raw = vector_to_array(col("rawPrediction"))
+        margin = (raw[1] - F.lit(high)) - (raw[0] - F.lit(low))
+        p = 1 / (1 + F.exp(-margin))
+        return dataset.withColumn("probability", F.array(1 - p, p)).withColumn("prediction", (p > 0.5).cast("double"))
+
+
 def class_weights(df: DataFrame, label: str, mode: str | float | None, out: str = "weight") -> DataFrame:
     """``balanced``: n / (2 * rows of the class); a number: that factor on positives."""
     if mode is None:
@@ -119,7 +137,7 @@ IGNORED = {
     "decision_tree": {"min_samples_split"},
     "bernoulli_bayes": set(),
     "gradient_boosting": {
-        "min_samples_split", "reg_alpha", "reg_lambda", "objective", "eval_metric", "verbosity", "nthread",
+        "min_samples_split", "objective", "eval_metric", "verbosity", "nthread",
     },
     "sgd_classifier": {"early_stopping"},
     "knn_classifier": {"algorithm", "leaf_size"},
@@ -135,7 +153,7 @@ KNOWN = {
     "bernoulli_bayes": {"alpha", "fit_prior", "binarize"},
     "gradient_boosting": {
         "n_estimators", "learning_rate", "max_depth", "subsample", "colsample_bytree", "gamma", "min_child_weight",
-        "scale_pos_weight", "seed", "random_state", "max_bins",
+        "reg_alpha", "reg_lambda", "scale_pos_weight", "seed", "random_state", "max_bins",
     },
     "sgd_classifier": {"loss", "alpha", "max_iter"},
     "knn_classifier": {"n_neighbors", "weights", "metric"},
@@ -242,11 +260,13 @@ def fit(df: DataFrame, family: str, params: dict | None, label: str, key: str |
             raise ValueError("neighbours need a row key")
         return Fitted(family, p, _Neighbors(df, key, label, width, p), ignored)
 
+    if family == "gradient_boosting":
+        names = KNOWN[family] - {"random_state"}
+        given = {k: v for k, v in p.items() if k in names and v is not None}
+        settings = Settings(**{"seed": int(p.get("random_state", SEED)), **given})
+        return Fitted(family, p, PipelineModel([fit_trees(df, FEATURES, label, key, settings)]), ignored)
+
     mode = p.get("class_weight")
-    if family == "gradient_boosting" and p.get("scale_pos_weight", 1) != 1:
-        mode = p["scale_pos_weight"]
-    if family == "bernoulli_bayes" and not p.get("fit_prior", True):
-        mode = "balanced"  # equal class totals are the same as no prior
     data = class_weights(df, label, mode)
     weight = {"weightCol": "weight"} if mode is not None else {}
     cols = {"featuresCol": FEATURES, "labelCol": label, **weight}
@@ -285,15 +305,11 @@ def fit(df: DataFrame, family: str, params: dict | None, label: str, key: str |
                 **{**cols, "featuresCol": "binary"}, modelType="bernoulli", smoothing=float(p.get("alpha", 1.0))
             ),
         ]
-    elif family == "gradient_boosting":
-        stages = [
-            GBTClassifier(
-                **cols, maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)),
-                maxDepth=int(p.get("max_depth", 3)), maxBins=int(p.get("max_bins", 32)), subsamplingRate=float(p.get("subsample", 1.0)),
-                featureSubsetStrategy=str(float(p.get("colsample_bytree", 1.0))),
-                minInfoGain=float(p.get("gamma", 0.0)), minInstancesPerNode=int(p.get("min_child_weight", 1)), seed=seed,
-            )
-        ]
+        if not p.get("fit_prior", True):
+            fitted = Pipeline(stages=stages).fit(data)
+            pi = [float(v) for v in fitted.stages[-1].pi.toArray()]
+            even = EvenPrior(logPrior=[*pi, *[0.0] * (2 - len(pi))])
+            return Fitted(family, p, PipelineModel([*fitted.stages, even]), ignored)
     elif family == "sgd_classifier":
         loss, alpha = p.get("loss", "hinge"), float(p.get("alpha", 1e-4))
         if loss == "hinge":

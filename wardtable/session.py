@@ -50,3 +50,9 @@ def new_folder(spark: SparkSession, name: str) -> str:
     local = spark.sparkContext.master.startswith("local[")
     fallback = "file://" + tempfile.gettempdir() if local else None
     return f"{shared_folder(spark, fallback).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``new_folder`` named, once nothing reads it any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
