@@ -77,7 +77,8 @@ _FITS = {
     "model_bernoulli_bayes": ("bernoulli_bayes", {"alpha": 0.5, "binarize": 0.5, "fit_prior": False}),
     "model_gradient_boosting": (
         "gradient_boosting",
-        {"n_estimators": 10, "max_depth": 4, "learning_rate": 0.2, "subsample": 0.8, "scale_pos_weight": 2, "reg_alpha": 0.1},
+        {"n_estimators": 10, "max_depth": 4, "learning_rate": 0.2, "subsample": 0.8, "scale_pos_weight": 2, "reg_alpha": 0.1,
+         "reg_lambda": 2.0, "gamma": 0.05, "min_child_weight": 2},
     ),
     "model_sgd_hinge": ("sgd_classifier", {"loss": "hinge", "alpha": 0.001, "max_iter": 20}),
     "model_sgd_log_loss": ("sgd_classifier", {"loss": "log_loss", "alpha": 0.001}),
@@ -86,6 +87,73 @@ for _name, (_family, _params) in _FITS.items():
     query(_name)(lambda t, f=_family, p=_params: scores_of(t, f, p))
 
 
+def rows_of(t, family, params, data, digits=6):
+    """Fit on the unscaled training rows: key, label, prediction and rounded score of every test row."""
+    parts = MP.prepare(data(t), scale=False)
+    scored = M.score_rows(M.fit(parts.train, family, params, MP.LABEL, MP.KEY), parts.test, MP.LABEL, [MP.KEY])
+    return scored.withColumn("score", F.round("score", digits))
+
+
+#: Line items as ``lines_set`` has them, with the part each one falls in.
+_LINES_SQL = f"""lines as (
+    select row_key, any_value(l_quantity) as q, any_value(l_discount) as d, any_value(l_tax) as x, any_value(label) as label,
+      {hash_sql('row_key')} < {TEST_LIMIT} as test
+    from (select concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as row_key, l_quantity, l_discount, l_tax,
+            cast(l_quantity * (1 + l_tax) + l_discount * 100 > 32 as integer) as label from lineitem)
+    group by 1)"""
+
+
+def small_lines_set(t):
+    """``lines_set`` without the price: features with few values, so that every value is a cut."""
+    return lines_set(t).drop("l_extendedprice")
+
+
+@query(
+    "boosted_stump",
+    f"""with {_LINES_SQL},
+    cells as (select 0 as f, q as v, label from lines where not test union all
+      select 1, d, label from lines where not test union all select 2, x, label from lines where not test),
+    sums as (select f, v, sum(case when label = 1 then -1.0 else 0.5 end) as g, sum(case when label = 1 then 0.5 else 0.25 end) as h
+      from cells group by 1, 2),
+    upto as (select f, v, sum(g) over w as gl, sum(h) over w as hl, sum(g) over (partition by f) as g, sum(h) over (partition by f) as h
+      from sums window w as (partition by f order by v)),
+    drawn as (select *, greatest(abs(gl) - 0.5, 0) as tl, greatest(abs(g - gl) - 0.5, 0) as tr, greatest(abs(g) - 0.5, 0) as tw from upto),
+    gains as (select *, tl * tl / (hl + 2) + tr * tr / (h - hl + 2) - tw * tw / (h + 2) as gain from drawn where hl >= 3 and h - hl >= 3),
+    best as (select * from gains order by gain desc, f, v limit 1),
+    margins as (select row_key, label, case when (case f when 0 then q when 1 then d else x end) <= v
+        then -0.3 * sign(gl) * tl / (hl + 2) else -0.3 * sign(g - gl) * tr / (h - hl + 2) end as m
+      from lines, best where test)
+    select row_key, label as {MP.LABEL}, cast(m > 0 as integer) as prediction, round(1 / (1 + exp(-m)), 6) as score from margins""",
+)
+def _(t):
+    """One boosted split with every penalty, whose leaves plain SQL can count."""
+    params = {"n_estimators": 1, "max_depth": 1, "learning_rate": 0.3, "reg_alpha": 0.5, "reg_lambda": 2.0, "min_child_weight": 3,
+              "scale_pos_weight": 2, "gamma": 0.1}
+    return rows_of(t, "gradient_boosting", params, small_lines_set)
+
+
+def _bayes_sql(prior: str) -> str:
+    """Bernoulli scores from counted values above 0.05, smoothed by 0.5; ``prior`` is the log-odds that is added."""
+    bits = [f"cast({c} > 0.05 as integer)" for c in "qdx"]
+    ones = ", ".join(f"(sum({b}) filter (where label = {y}) + 0.5) / (count(*) filter (where label = {y}) + 1.0) as p{k}{y}"
+                     for k, b in enumerate(bits) for y in (0, 1))
+    terms = " + ".join(f"case when {b} = 1 then ln(p{k}1) - ln(p{k}0) else ln(1 - p{k}1) - ln(1 - p{k}0) end" for k, b in enumerate(bits))
+    return f"""with {_LINES_SQL},
+    learnt as (select {ones}, count(*) filter (where label = 1) + 0.5 as n1, count(*) filter (where label = 0) + 0.5 as n0 from lines where not test),
+    odds as (select row_key, label, {prior} + {terms} as m from lines, learnt where test)
+    select row_key, label as {MP.LABEL}, cast(m > 0 as integer) as prediction, round(1 / (1 + exp(-m)), 6) as score from odds"""
+
+
+@query("bayes_scores", _bayes_sql("ln(n1) - ln(n0)"))
+def _(t):
+    return rows_of(t, "bernoulli_bayes", {"alpha": 0.5, "binarize": 0.05}, small_lines_set)
+
+
+@query("bayes_scores_even", _bayes_sql("0"))
+def _(t):
+    return rows_of(t, "bernoulli_bayes", {"alpha": 0.5, "binarize": 0.05, "fit_prior": False}, small_lines_set)
+
+
 @query("model_knn")
 def _(t):
     return scores_of(t, "knn_classifier", {"n_neighbors": 7, "weights": "distance", "metric": "manhattan"}, documents_set)
@@ -263,7 +331,7 @@ def _(t):
 
 @query("boosted_refit")
 def _(t):
-    return MP.refit_and_report(documents_set(t), params={**MP.TUNED_BOOSTING, "n_estimators": 10, "max_depth": 5})["report"]
+    return MP.refit_and_report(documents_set(t))["report"]
 
 
 @query("run_testing")
