@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wardtable.llm import components, golay, mixing, simhash, toxicity
 
@@ -136,11 +137,38 @@ def test_one_of_each_group_stays(docs):
 # --- mixing -----------------------------------------------------------------
 
 
+def plain_targets(sizes, weights, total, most=3):
+    """``total`` shared by weight; none gets over ``most`` times its size, the excess goes on by weight."""
+    out, open_, rest = [0.0] * len(sizes), set(range(len(sizes))), total
+    while open_:
+        weight = sum(weights[i % len(weights)] for i in open_)
+        over = {i for i in open_ if rest * weights[i % len(weights)] > most * sizes[i] * weight}
+        for i in over or open_:
+            out[i] = float(most * sizes[i]) if over else rest * weights[i % len(weights)] / weight
+        rest -= sum(most * sizes[i] for i in over)
+        open_ = open_ - over if over else set()
+    return out
+
+
+def spark_targets(spark, sizes, weights):
+    names = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(len(sizes))]
+    patterns = spark.createDataFrame([([n], s) for n, s in zip(names, sizes)], "_members array<string>, _words bigint").repartition(3)
+    got = {r["_name"]: r for r in mixing.source_targets(patterns, weights).collect()}
+    assert sorted(got) == names and [got[n]["_s"] for n in names] == list(range(len(names)))
+    return [got[n]["_target"] for n in names]
+
+
+def test_targets_of_many_sizes(spark):
+    draw = random.Random(12)
+    for sizes in ([draw.choice([0, 1, 10, 10**4, 10**12]) + draw.randrange(9) for _ in range(60)], [5], [0, 0], [10, 1000, 1000]):
+        assert spark_targets(spark, sizes, [5, 2, 1]) == pytest.approx(plain_targets(sizes, [5, 2, 1], sum(sizes)))
+
+
 def test_targets_stop_at_three_times_the_size():
-    assert mixing.targets([100, 100, 100], [5, 2, 1], 300) == [300 * 5 / 8, 300 * 2 / 8, 300 * 1 / 8]
-    got = mixing.targets([10, 1000, 1000], [5, 2, 1], 2010)
+    assert plain_targets([100, 100, 100], [5, 2, 1], 300) == [300 * 5 / 8, 300 * 2 / 8, 300 * 1 / 8]
+    got = plain_targets([10, 1000, 1000], [5, 2, 1], 2010)
     assert got[0] == 30.0 and got[1] == pytest.approx(1320) and sum(got) == pytest.approx(2010)
-    assert mixing.targets([], [], 0) == [] and mixing.targets([0, 0], [5, 2], 0) == [0.0, 0.0]
+    assert plain_targets([], [], 0) == [] and plain_targets([0, 0], [5, 2], 0) == [0.0, 0.0]
 
 
 def cheapest(patterns, quotas, costs):
@@ -183,6 +211,49 @@ def test_route_is_cheapest():
         assert (sum(quotas) - sum(map(sum, flow)), price) == cheapest(patterns, quotas, (0, 1, 3))
 
 
+def test_route_of_many_overlapping_patterns():
+    """All quotas are met, as far as words reach, where 5,000 patterns share 300 sources."""
+    draw = random.Random(6)
+    patterns = [(sorted(draw.sample(range(300), draw.randint(1, 4))), draw.randrange(1, 1000)) for _ in range(5000)]
+    quotas = [draw.randrange(0, 12_000) for _ in range(300)]
+    flow = mixing.route(patterns, quotas)
+    assert sum(map(sum, flow)) == sum(quotas)
+    for (_, words), (a, b, c) in zip(patterns, flow, strict=True):
+        assert (not b or a == words) and (not c or b == words) and 0 <= min(a, b, c) <= max(a, b, c) <= words
+
+
+def test_many_sources_of_one_document(spark, docs):
+    """Twenty thousand sources: more than any table of the driver should hold, and none is refused."""
+    df = spark.range(20_000).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7 + 1).cast("int")).alias("text"), F.hex("id").alias("source")
+    )
+    got = mixing.mix_report(df).agg(F.count(F.lit(1)), F.sum("target"), F.sum("size"), F.max(F.col("taken") - 3 * F.col("size"))).first()
+    assert got[0] == 20_000 and got[1] == pytest.approx(got[2]) and got[3] <= 0
+
+
+def test_components_flow_apart(spark):
+    """Two ties of sources, a source alone, and rows without any: as one flow over everything would have it."""
+    draw = random.Random(9)
+    kinds = [["a"], ["a", "b"], ["b", "c"], ["d", "e"], ["e"], ["f"], None, []]
+    rows = [(i, "w " * draw.randrange(1, 40), kinds[i * 7 % 8]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source array<string>")
+    words = {}
+    for _, text, kind in rows:
+        words[tuple(kind or [None])] = words.get(tuple(kind or [None]), 0) + len(text.split())
+    names = ["a", "b", "c", "d", "e", "f", None]
+    sizes = [sum(n for kind, n in words.items() if s in kind) for s in names]
+    quotas = [round(v) for v in plain_targets(sizes, [5, 2, 1], sum(words.values()))]
+    whole = mixing.route([([names.index(s) for s in kind], n) for kind, n in words.items()], quotas)
+    patterns = spark.createDataFrame([(list(k), n) for k, n in words.items()], "_members array<string>, _words bigint")
+    shares = {tuple(r[0]): (r[1], r[2]) for r in mixing.pattern_shares(patterns, mixing.source_targets(patterns)).collect()}
+    assert len(shares) == len(words)
+    assert sum(w * words[k] + rest for k, (w, rest) in shares.items()) == sum(map(sum, whole))
+    for alone in (("f",), (None,)):
+        assert sum(whole[list(words).index(alone)]) == shares[alone][0] * words[alone] + shares[alone][1]
+    taken = mixing.mix(df).groupBy("doc_id").count().collect()
+    assert max(r["count"] for r in taken) <= 3
+
+
 def test_mix_meets_targets(docs):
     draw = random.Random(4)
     rows = [(i, "w " * draw.randrange(1, 60), draw.choice(["a", "b", "c", None])) for i in range(600)]
@@ -213,7 +284,7 @@ def test_rows_that_share_a_key_are_mixed_each_for_itself(docs):
     want = {r["target"]: r for r in mixing.mix_report(df).collect()}
     mixed = mixing.mix(df).collect()
     sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abc"}
-    targets = dict(zip("abc", mixing.targets([sizes[s] for s in "abc"], mixing.WEIGHTS, sum(sizes.values())), strict=True))
+    targets = dict(zip("abc", plain_targets([sizes[s] for s in "abc"], mixing.WEIGHTS, sum(sizes.values())), strict=True))
     assert sorted(want) == pytest.approx(sorted(targets.values()))
     for s in "abc":
         assert abs(sum(len(r["text"].split()) for r in mixed if r["source"] == s) - targets[s]) <= 60
