@@ -9,6 +9,7 @@ silently.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -24,7 +25,7 @@ from pyspark.ml.classification import (
     NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import PCA, Binarizer, PolynomialExpansion, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, Binarizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -85,6 +86,67 @@ class FourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable)
         return dataset.withColumn(get("outputCol"), mapped)
 
 
+class PolynomialMap(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Features of at most ``components`` numbers whose products follow the kernel (gamma x.z + coef0)^degree.
+
+    Where all weighted monomials fit into ``components`` they are taken and the kernel is exact. Else each factor is a
+    count sketch and their convolution is the sketch of the product (tensor sketch): right on average, with an error that
+    falls with the root of ``components``. The signs and places follow from ``seed`` alone.
+    """
+
+    inputCol = Param(Params._dummy(), "inputCol", "vector column", TypeConverters.toString)
+    outputCol = Param(Params._dummy(), "outputCol", "mapped column", TypeConverters.toString)
+    gamma = Param(Params._dummy(), "gamma", "factor of the product", TypeConverters.toFloat)
+    coef0 = Param(Params._dummy(), "coef0", "constant added to the product", TypeConverters.toFloat)
+    degree = Param(Params._dummy(), "degree", "power", TypeConverters.toInt)
+    components = Param(Params._dummy(), "components", "mapped size at most", TypeConverters.toInt)
+    seed = Param(Params._dummy(), "seed", "sketch seed", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, inputCol=FEATURES, outputCol="mapped", gamma=1.0, coef0=0.0, degree=3, components=512, seed=SEED):
+        super().__init__()
+        self._setDefault(inputCol=FEATURES, outputCol="mapped", gamma=1.0, coef0=0.0, degree=3, components=512, seed=SEED)
+        self._set(**self._input_kwargs)
+        if self.getOrDefault("coef0") < 0 or self.getOrDefault("degree") < 1 or self.getOrDefault("components") < 1:
+            raise ValueError("coef0 is not negative, degree and components are at least 1")
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        get = self.getOrDefault
+        gamma, coef0, degree, size, seed = (get(n) for n in ("gamma", "coef0", "degree", "components", "seed"))
+
+        @F.pandas_udf("array<double>")
+        def mapped(x: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([], dtype="object")
+            m = np.array([np.asarray(v, dtype="f8") for v in x]) * math.sqrt(gamma)
+            if coef0:
+                m = np.hstack([m, np.full((len(m), 1), math.sqrt(coef0))])
+            wide = m.shape[1]
+            if math.comb(wide + degree - 1, degree) <= size:
+                return pd.Series(list(_monomials(m, degree)))
+            rng = np.random.RandomState(seed)
+            product = np.ones((len(m), size // 2 + 1), dtype="c16")
+            for _ in range(degree):
+                place, sign = rng.randint(size, size=wide), rng.choice([-1.0, 1.0], size=wide)
+                sketch = np.zeros((len(m), size))
+                np.add.at(sketch.T, place, (m * sign).T)
+                product *= np.fft.rfft(sketch, axis=1)
+            return pd.Series(list(np.fft.irfft(product, n=size, axis=1)))
+
+        return dataset.withColumn(get("outputCol"), array_to_vector(mapped(vector_to_array(col(get("inputCol"))))))
+
+
+def _monomials(m: np.ndarray, degree: int) -> np.ndarray:
+    """All monomials of a degree, each times the root of how often it occurs in the power of a sum."""
+    out = []
+    for chosen in itertools.combinations_with_replacement(range(m.shape[1]), degree):
+        often = math.factorial(degree)
+        for k in set(chosen):
+            often //= math.factorial(chosen.count(k))
+        out.append(math.sqrt(often) * np.prod(m[:, list(chosen)], axis=1))
+    return np.stack(out, axis=1)
+
+
 class EvenPrior(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """Takes the classes' prior out of the scores of a fitted model that adds log-likelihoods to it."""
 
@@ -133,7 +195,7 @@ def _gamma(df: DataFrame, gamma, width: int) -> float:
 IGNORED = {
     "logistic_regression": {"solver", "random_state"},
     "random_forest": {"min_samples_split", "n_jobs"},
-    "svc": {"coef0", "probability", "random_state"},
+    "svc": {"probability", "random_state"},
     "decision_tree": {"min_samples_split"},
     "bernoulli_bayes": set(),
     "gradient_boosting": {
@@ -148,7 +210,7 @@ KNOWN = {
         "criterion", "n_estimators", "max_depth", "min_samples_leaf", "bootstrap", "class_weight", "random_state",
         "max_bins",
     },
-    "svc": {"C", "kernel", "gamma", "degree", "class_weight", "max_iter", "components"},
+    "svc": {"C", "kernel", "gamma", "coef0", "degree", "class_weight", "max_iter", "components"},
     "decision_tree": {"criterion", "max_depth", "min_samples_leaf", "random_state", "max_bins"},
     "bernoulli_bayes": {"alpha", "fit_prior", "binarize"},
     "gradient_boosting": {
@@ -213,38 +275,51 @@ class _Neighbors:
         ).drop("_score")
 
 
-def _svm_stages(df, label, p, width, weight):
+#: Parts whose margins come from a machine fitted on the other parts.
+MARGIN_FOLDS = 3
+
+
+def _kernel_map(df: DataFrame, p: dict, width: int) -> list[Transformer]:
+    """Feature map of bounded width on which a linear machine acts like one with the kernel."""
     kernel = p.get("kernel", "rbf")
-    c = float(p.get("C", 1.0))
-    source, stages = FEATURES, []
+    if kernel == "linear":
+        return []
+    gamma = _gamma(df, p.get("gamma"), width)
     if kernel == "rbf":
-        stages = [
-            FourierFeatures(
-                outputCol="mapped", gamma=_gamma(df, p.get("gamma"), width), components=int(p.get("components", 128))
-            )
-        ]
-        source = "mapped"
-    elif kernel == "poly":
-        stages = [PolynomialExpansion(degree=int(p.get("degree", 3)), inputCol=FEATURES, outputCol="mapped")]
-        source = "mapped"
-    elif kernel != "linear":
-        raise ValueError(f"kernel {kernel} is not offered")
-    svm = LinearSVC(
-        featuresCol=source, labelCol=label, rawPredictionCol="margin", predictionCol="prediction",
-        regParam=1.0 / (c * max(df.count(), 1)), maxIter=int(p.get("max_iter", 100)), standardization=False,
-        **weight,
-    )
-    return [*stages, svm, *_platt(label)]
+        return [FourierFeatures(outputCol="mapped", gamma=gamma, components=int(p.get("components", 128)))]
+    if kernel == "poly":
+        degree, size = int(p.get("degree", 3)), int(p.get("components", 512))
+        return [PolynomialMap(gamma=gamma, coef0=float(p.get("coef0", 0.0)), degree=degree, components=size)]
+    raise ValueError(f"kernel {kernel} is not offered")
 
 
-def _platt(label: str):
-    """Probability from a margin: a logistic curve fitted on it."""
-    return [
-        LogisticRegression(
-            featuresCol="margin", labelCol=label, predictionCol="_platt", rawPredictionCol="_platt_raw",
-            probabilityCol="probability", standardization=False,
-        )
-    ]
+def _with_probability(data: DataFrame, maps: list, svm: LinearSVC, label: str, key: str | None) -> PipelineModel:
+    """A machine fitted on all rows, and the logistic curve from a margin to a probability.
+
+    The curve is learnt on margins of rows that their machine has not seen: each of ``MARGIN_FOLDS`` parts is scored by a machine
+    fitted on the others. Parts follow from a hash of the key, or of the features without one.
+    """
+    for m in maps:
+        data = m.transform(data)
+    own = F.xxhash64(col(key).cast("string")) if key else F.xxhash64(vector_to_array(col(FEATURES)))
+    part = F.pmod(own, F.lit(MARGIN_FOLDS))
+    source = svm.getFeaturesCol()
+    weight = [svm.getWeightCol()] if svm.isDefined("weightCol") and svm.getWeightCol() else []
+    rows = data.select(source, label, *weight, part.alias("_part")).persist()
+    margins = None
+    for k in range(MARGIN_FOLDS):
+        others, mine = rows.filter(F.col("_part") != k), rows.filter(F.col("_part") == k)
+        if others.isEmpty():
+            others = mine  # all rows are in one part
+        scored = svm.fit(others).transform(mine).select("margin", label)
+        margins = scored if margins is None else margins.unionByName(scored)
+    curve = LogisticRegression(
+        featuresCol="margin", labelCol=label, predictionCol="_platt", rawPredictionCol="_platt_raw",
+        probabilityCol="probability", standardization=False,
+    )
+    fitted = PipelineModel([*maps, svm.fit(rows), curve.fit(margins)])
+    rows.unpersist()
+    return fitted
 
 
 def fit(df: DataFrame, family: str, params: dict | None, label: str, key: str | None = None) -> Fitted:
@@ -297,7 +372,13 @@ def fit(df: DataFrame, family: str, params: dict | None, label: str, key: str |
         else:
             stages = [DecisionTreeClassifier(**tree)]
     elif family == "svc":
-        stages = _svm_stages(data, label, p, width, weight)
+        maps = _kernel_map(data, p, width)
+        svm = LinearSVC(
+            featuresCol="mapped" if maps else FEATURES, labelCol=label, rawPredictionCol="margin", predictionCol="prediction",
+            regParam=1.0 / (float(p.get("C", 1.0)) * max(df.count(), 1)), maxIter=int(p.get("max_iter", 100)), standardization=False,
+            **weight,
+        )
+        return Fitted(family, p, _with_probability(data, maps, svm, label, key), ignored)
     elif family == "bernoulli_bayes":
         stages = [
             Binarizer(threshold=float(p.get("binarize", 0.0)), inputCol=FEATURES, outputCol="binary"),
@@ -313,12 +394,8 @@ def fit(df: DataFrame, family: str, params: dict | None, label: str, key: str |
     elif family == "sgd_classifier":
         loss, alpha = p.get("loss", "hinge"), float(p.get("alpha", 1e-4))
         if loss == "hinge":
-            stages = [
-                LinearSVC(
-                    **cols, rawPredictionCol="margin", regParam=alpha, maxIter=int(p.get("max_iter", 100)), standardization=False
-                ),
-                *_platt(label),
-            ]
+            svm = LinearSVC(**cols, rawPredictionCol="margin", regParam=alpha, maxIter=int(p.get("max_iter", 100)), standardization=False)
+            return Fitted(family, p, _with_probability(data, [], svm, label, key), ignored)
         elif loss == "log_loss":
             stages = [LogisticRegression(**cols, regParam=alpha, maxIter=int(p.get("max_iter", 100)), standardization=False)]
         else:
