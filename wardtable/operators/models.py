@@ -9,14 +9,16 @@ silently.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import keyword_only
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -306,18 +308,25 @@ def _with_probability(data: DataFrame, maps: list, svm: LinearSVC, label: str, k
     source = svm.getFeaturesCol()
     weight = [svm.getWeightCol()] if svm.isDefined("weightCol") and svm.getWeightCol() else []
     rows = data.select(source, label, *weight, part.alias("_part")).persist()
-    margins = None
-    for k in range(MARGIN_FOLDS):
+
+    def one(k: int | None):
+        if k is None:
+            return svm.fit(rows)
         others, mine = rows.filter(F.col("_part") != k), rows.filter(F.col("_part") == k)
         if others.isEmpty():
             others = mine  # all rows are in one part
-        scored = svm.fit(others).transform(mine).select("margin", label)
-        margins = scored if margins is None else margins.unionByName(scored)
+        return svm.copy().fit(others).transform(mine).select("margin", label)
+
+    rows.count()
+    # The fits do not depend on each other and run side by side, as in a cross-validation.
+    with ThreadPool(MARGIN_FOLDS + 1) as pool:
+        machine, *scored = pool.map(inheritable_thread_target(data.sparkSession)(one), [None, *range(MARGIN_FOLDS)])
+    margins = functools.reduce(DataFrame.unionByName, scored)
     curve = LogisticRegression(
         featuresCol="margin", labelCol=label, predictionCol="_platt", rawPredictionCol="_platt_raw",
         probabilityCol="probability", standardization=False,
     )
-    fitted = PipelineModel([*maps, svm.fit(rows), curve.fit(margins)])
+    fitted = PipelineModel([*maps, machine, curve.fit(margins)])
     rows.unpersist()
     return fitted
 
