@@ -266,6 +266,21 @@ def _(t):
     return S.parameter_influence(_trial_log(t))
 
 
+@query(
+    "variance_shares",
+    """with log as (select l_linenumber as a, l_returnflag as b, avg(l_extendedprice) as y from lineitem group by 1, 2),
+    alone as (select 'l_linenumber' as parameter, var_pop(e) as v from (select avg(y) as e from log group by a)
+      union all select 'l_returnflag', var_pop(e) from (select avg(y) as e from log group by b))
+    select parameter, round(v / (select sum(v) from alone), 6) as influence, round(v / (select var_pop(y) from log), 6) as share from alone""",
+)
+def _(t):
+    """Every pair of line number and return flag as a trial whose result is the mean price: shares that plain SQL can count."""
+    pairs = t("lineitem").groupBy("l_linenumber", "l_returnflag").agg(F.avg("l_extendedprice").alias("f1"))
+    log = pairs.select(F.lit("COMPLETE").alias("state"), F.to_json(F.struct("l_linenumber", "l_returnflag")).alias("params"), "f1")
+    found = S.parameter_influence(log, trees=1)
+    return found.select("parameter", F.round("influence", 6).alias("influence"), F.round("share", 6).alias("share"))
+
+
 @query("feature_elimination")
 def _(t):
     parts = _folded(t, 2)
