@@ -71,6 +71,20 @@ def imputed_set(df: DataFrame, limit: float = 0.1, key: str = KEY) -> DataFrame:
     return impute_all(kept, key)
 
 
+def selected_set(
+    df: DataFrame, features: Sequence[str] = SELECTED, label: str = LABEL, key: str = KEY, impute: bool = False
+) -> DataFrame:
+    """Key, label and the features of the selection study only; rows with a missing value are dropped or filled.
+
+    A feature that the table lacks is an error.
+    """
+    absent = sorted(set(features) - set(df.columns))
+    if absent:
+        raise ValueError(f"the table lacks the selected features {absent}")
+    kept = df.select(*[col(c) for c in (key, *features, label)])
+    return impute_all(kept, key) if impute else C.drop_incomplete_rows(kept)
+
+
 CELLS_PER_TASK = 500_000
 
 

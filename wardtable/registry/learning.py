@@ -226,6 +226,7 @@ def _(t):
 _SMALL_TRIALS = {
     "random_forest": {**S.TRIAL_SPACES["random_forest"], "n_estimators": S.IntRange(5, 20), "max_depth": S.IntRange(3, 8)},
     "svc": {**S.TRIAL_SPACES["svc"], "kernel": ["linear", "rbf"]},
+    "gradient_boosting": {**S.TRIAL_SPACES["gradient_boosting"], "n_estimators": S.IntRange(5, 20), "max_depth": S.IntRange(3, 8)},
 }
 
 
@@ -338,6 +339,53 @@ def _(t):
     return run.comparison
 
 
+def long_documents_set(t):
+    """Text statistics of the labelled documents; label: more than 250 words, which every family can learn."""
+    return documents_set(t).withColumn(MP.LABEL, (F.col("words") > 250).cast("int"))
+
+
+#: Label of ``long_documents_set`` for the test rows, and both class totals.
+_LONG_SQL = f"""tested as (select doc_id, cast(length(regexp_split_to_array(text, '\\s+')) > 250 as integer) as y
+      from labels join documents using (doc_id) where {hash_sql('doc_id')} < {TEST_LIMIT}),
+    totals as (select count(*) filter (where y = 0) as n0, count(*) filter (where y = 1) as n1 from tested)"""
+
+
+def _right(metric, least):
+    return F.coalesce((F.col(metric) >= least).cast("int"), F.lit(0))
+
+
+@query(
+    "experiment_reports",
+    f"""with {_LONG_SQL} select model, n0, n1, 1 as learnt, 5 as lines, 1 as roc_whole, 1 as pr_whole
+    from totals, (values ('gradient_boosting'), ('random_forest'), ('svc')) v(model)""",
+)
+def _(t):
+    """All three families tuned; per model the class totals of the test rows, and whether its reports are whole and the label was learnt."""
+    reports = MP.experiment_reports(MP.experiment(long_documents_set(t), _SMALL_TRIALS, 2))
+    n0, n1 = F.col("tn") + F.col("fp"), F.col("fn") + F.col("tp")
+    counts = reports["confusion"].select("model", n0.alias("n0"), n1.alias("n1"), ((F.col("tn") + F.col("tp")) / (n0 + n1)).alias("hit"))
+    lines = reports["class_report"].groupBy("model").agg(F.count(F.lit(1)).cast("int").alias("lines"), F.min("roc_auc").alias("area"))
+    ends = [F.min("fpr") == 0, F.min("tpr") == 0, F.max("fpr") == 1, F.max("tpr") == 1]
+    roc = reports["roc_points"].groupBy("model").agg(*[e.alias(f"e{i}") for i, e in enumerate(ends)])
+    roc = roc.select("model", (F.col("e0") & F.col("e1") & F.col("e2") & F.col("e3")).cast("int").alias("roc_whole"))
+    pr = reports["pr_points"].groupBy("model").agg(((F.min("recall") == 0) & (F.max("recall") == 1)).cast("int").alias("pr_whole"))
+    joined = counts.join(lines, "model", "left").join(roc, "model", "left").join(pr, "model", "left")
+    learnt = _right("hit", 0.8) * _right("area", 0.9)
+    return joined.select("model", "n0", "n1", learnt.alias("learnt"), "lines", "roc_whole", "pr_whole")
+
+
+def signs_set(t):
+    """``clinical_set`` with the vital signs that the selection study kept."""
+    signs = FP.vital_signs(form(t, "tbl_signos")).select(*FP.KEYS.both, "saturacion_o2", "frec_cardiaca")
+    keyed = MP.with_row_key(signs, FP.KEYS.both).drop(*FP.KEYS.both)
+    return clinical_set(t).join(keyed, MP.KEY)
+
+
+@query("experiment_selected")
+def _(t):
+    return MP.experiment(MP.selected_set(signs_set(t)), _SMALL_TRIALS, 2).comparison
+
+
 @query("feature_selection")
 def _(t):
     families = {"logistic_regression": {"max_iter": 30}, "decision_tree": {"max_depth": 5}}
@@ -355,6 +403,18 @@ def _(t):
     return MP.run_testing(documents_set(t), grid, folds=2, repeats=2)["report"]
 
 
+@query(
+    "run_testing_importance",
+    """select * from (values ('chars', 0), ('digits', 0), ('distinct_words', 0), ('english', 0), ('lines', 0), ('marks', 0), ('words', 1))
+    v(feature, leads) where (select count(*) from labels) > 0""",
+)
+def _(t):
+    """Permutation importance of the best tree of a search: the label is a bound on the words, so they lead and all is their drop."""
+    grid = {"decision_tree": {"max_depth": [1, 2]}}
+    ranked = MP.run_testing(long_documents_set(t), grid, folds=2, repeats=2)["importance"]
+    return ranked.select("feature", (F.col("importance") > 0.2).cast("int").alias("leads"))
+
+
 # --- sources and sinks ------------------------------------------------------
 
 
