@@ -218,3 +218,16 @@ def test_own_objective_and_refit_from_a_saved_log(spark, tmp_path):
     assert out["chosen"].first()["f1"] == max(r["f1"] for r in done)
     counts = out["confusion"].first()
     assert counts["tp"] + counts["tn"] > 0 and out["report"].count() == 5
+
+
+def test_selected_set(spark):
+    columns = ["row_key", "sepsis", "other", *MP.SELECTED]
+    full, gap = [1.0] * len(MP.SELECTED), [None] + [2.0] * (len(MP.SELECTED) - 1)
+    df = spark.createDataFrame([("a", 1, 9.0, *full), ("b", 0, None, *full), ("c", 0, 9.0, *gap)], columns)
+    kept = MP.selected_set(df)
+    assert kept.columns == ["row_key", *MP.SELECTED, "sepsis"]
+    assert sorted(r[0] for r in kept.select("row_key").collect()) == ["a", "b"]
+    filled = MP.selected_set(df, impute=True)
+    assert filled.count() == 3 and MP.C.drop_incomplete_rows(filled).count() == 3
+    with pytest.raises(ValueError, match="edad"):
+        MP.selected_set(df.drop("edad"))

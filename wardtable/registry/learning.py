@@ -403,15 +403,20 @@ def _(t):
     return MP.run_testing(documents_set(t), grid, folds=2, repeats=2)["report"]
 
 
+def bulk_lines_set(t):
+    """``lines_set`` whose label is a bound on the quantity alone."""
+    return lines_set(t).withColumn(MP.LABEL, (F.col("l_quantity") > 25).cast("int"))
+
+
 @query(
     "run_testing_importance",
-    """select * from (values ('chars', 0), ('digits', 0), ('distinct_words', 0), ('english', 0), ('lines', 0), ('marks', 0), ('words', 1))
-    v(feature, leads) where (select count(*) from labels) > 0""",
+    """select feature, cast(feature = 'l_quantity' as integer) as leads
+    from (select unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) as feature) where (select count(*) from lineitem) > 0""",
 )
 def _(t):
-    """Permutation importance of the best tree of a search: the label is a bound on the words, so they lead and all is their drop."""
+    """Permutation importance of the best tree of a search: the label is a bound on the quantity, so that feature leads alone."""
     grid = {"decision_tree": {"max_depth": [1, 2]}}
-    ranked = MP.run_testing(long_documents_set(t), grid, folds=2, repeats=2)["importance"]
+    ranked = MP.run_testing(bulk_lines_set(t), grid, folds=2, repeats=2)["importance"]
     return ranked.select("feature", (F.col("importance") > 0.2).cast("int").alias("leads"))
 
 
