@@ -8,7 +8,7 @@ per task and looked up after that. Decoding maps ids back to
 pieces and characters to bytes.
 
 Null and empty texts give no ids. Very long texts are encoded whole. Repeated rows are encoded as
-often as they occur, other columns are left alone.
+often as they occur, other columns are left alone, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

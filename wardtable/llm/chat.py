@@ -12,7 +12,8 @@ back; a line feed in a role becomes ``<|nl|>``. The loss mask has the places of
 A parent that is missing from its tree makes a root. Rows whose parents go round in a circle are on
 no path. A null text or role is empty, a null tree is a tree of its own. Equal scores: the longer path, then the smaller
 leaf. Rows that repeat a node's number count once, the first by role and text. One conversation is one value of
-the result, so the task that writes it holds that conversation; nothing else is gathered.
+the result, so the task that writes it holds that conversation; nothing else is gathered. Further columns are left out, whatever
+their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ quantiles, a range's rows are sorted and streamed by one task, and each range al
 range after it, so no task holds a range and no window runs over the whole table.
 
 Null and empty texts have a fingerprint of their own, that of the empty set: like each other, unlike all others. Null
-keys come first; equal keys are ordered by text. With one row the next text is its own. Other columns are ignored.
+keys come first; equal keys are ordered by text. With one row the next text is its own. Other columns are ignored, whatever
+their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

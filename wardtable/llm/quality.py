@@ -7,7 +7,8 @@ host is joined back: documents of a host that fails more often than not go as we
 
 Null texts have no words and fail. A null host is a host of its own. Repeated rows count as often as
 they occur. Counts are kept in one narrow table in the shared folder, so that each text is read once; host
-totals are summed up before they are shuffled, so a host with a third of all rows is one row per task.
+totals are summed up before they are shuffled, so a host with a third of all rows is one row per task. Further columns
+are left out, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

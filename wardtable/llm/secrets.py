@@ -9,7 +9,7 @@ each start a forward automaton of that rule alone finds the longest match, the n
 at or after its end, and matches that fail the rule's test are dropped.
 
 Null and empty texts have no spans. Very long texts are scanned whole. Rows are independent of each
-other, so repeated rows get equal results; other columns stay as they are.
+other, so repeated rows get equal results; other columns stay as they are, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -13,6 +13,7 @@ whole, and needs no shuffle.
 Null and empty texts get the score of the constant alone. Labels that are null, and labelled keys
 without a document, are not learned from; a key with several labels counts once, toxic if one
 says so. Without labels of both kinds every score is the share of toxic rows (0 without any). Repeated rows are scored alike.
+Other columns are kept or left out, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

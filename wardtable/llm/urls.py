@@ -9,6 +9,7 @@ Null urls and urls without ``://`` have an empty host and path. Links are absolu
 don't count. A host without any seed or link has neither trust nor distrust and is allowed. Repeated
 pages count as often as they occur. Pages are read once; what goes on is one narrow row for each. In the joins of a round,
 ranks are unique per host, so only the side of the links can hold a hot host, and sums are made before the shuffle.
+Further columns are left out, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
