@@ -203,3 +203,22 @@ def test_likeness_estimates_the_share_of_common_shingles():
         found = minhash.likeness(minhash.signature(" ".join(base)), minhash.signature(" ".join(other)))
         errors.append(found - true)
     assert abs(np.mean(errors)) < 0.03 and max(map(abs, errors)) < 0.3
+
+
+def test_keys_that_many_rows_share_are_cut_by_text(docs):
+    rows = [(None, f"text {i} of no key " * 3, "a") for i in range(400)] + [(77, f"text {i} of one key", "a") for i in range(300)]
+    rows += [(i, f"text {i} of its own key " * 2, "a") for i in range(200)] + [(-(1 << 62) - i, f"low {i}", "b") for i in range(60)]
+    random.Random(8).shuffle(rows)
+
+    def place(row):
+        digest = xxhash.xxh64_intdigest(row[1].encode(), 42)  # as Spark's xxhash64, which is signed
+        return (-(1 << 63) if row[0] is None else row[0], digest - (digest >> 63 << 64))
+
+    order = sorted(rows, key=place)
+    want = sorted(
+        (str(i), minhash.edited(t, after).encode().hex()) for (i, t, _), (_, after, _) in zip(order, order[1:] + order[:1], strict=True)
+    )
+    got = minhash.with_next(docs(rows), "doc_id", "text", "changed string", lambda t, after: (minhash.edited(t, after).encode().hex(),))
+    assert sorted((str(r["doc_id"]), r["changed"]) for r in got.collect()) == want
+    ranges = minhash.in_ranges(docs(rows), "doc_id", "text").groupBy("_b").count().collect()
+    assert len(ranges) > 10 and max(r["count"] for r in ranges) < 120

@@ -6,23 +6,26 @@ shingles. The share of equal values estimates the Jaccard likeness of two texts'
 Signatures fall into bands joined in Spark; pairs that share a band are verified by the true likeness.
 
 Edited texts need the text that follows in the order of keys. Keys are cut into ranges by
-quantiles, a range's rows are sorted and streamed by one task, and each range also gets the first row of the
-range after it, so no task holds a range and no window runs over the whole table.
+quantiles, keys that fill several ranges by a hash of the text as well. A range's rows are sorted and streamed by one task, and
+each range also gets the first row of the range after it, so no task holds a range and no window runs over the whole table.
 
 Null and empty texts have a fingerprint of their own, that of the empty set: like each other, unlike all others. Null
-keys come first; equal keys are ordered by text. With one row the next text is its own. Other columns are ignored, whatever
+keys come first; equal keys are ordered by a hash of the text. With one row the next text is its own. Other columns are ignored, whatever
 their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -35,8 +38,6 @@ SIZE = 64
 #: 16 bands of four values: pairs alike by 0.8 share one with a chance of 0.9998.
 BANDS = 16
 LEAST_LIKENESS = 0.8
-#: Rows of a range at most about this many; a task streams them, so this is no matter of memory.
-RANGE_ROWS = 1_000_000
 _FOLD = (1 << 64) - 1
 SPACES = [bytes([c]) for c in b" \t\n\x0b\x0c\r"]
 
@@ -105,26 +106,59 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 # --- texts and what follows them --------------------------------------------
 
 
+def in_ranges(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``_key``, ``_text``, ``_k`` (the key, null as the smallest), ``_h`` and the range ``_b``, which never falls along (_k, _h).
+
+    Ranges are cut at quantiles of the key. A key that several quantiles meet, null included, is cut further by the
+    hash of the text, ``_h`` (0 for all other keys, so that texts are hashed only where such a key exists). Rows alike in key and
+    text are never cut.
+    """
+    ranges = 4 * parts(df.sparkSession)
+    keyed = df.select(
+        col(key).alias("_key"), F.coalesce(col(text), F.lit("")).alias("_text"),
+        F.coalesce(col(key).cast("bigint"), F.lit(-(1 << 63))).alias("_k"),
+    )
+    shares = [i / ranges for i in range(1, ranges)]
+    found = keyed.agg(F.percentile_approx("_k", shares, 100 * ranges).alias("c")).first()["c"] or [0]
+    # Large numbers may meet as doubles; order is kept, which is all that ranges need.
+    splits = [float("-inf"), *sorted({float(c) for c in found}), float("inf")]
+    cut = Bucketizer(splits=splits, inputCol="_double", outputCol="_range").transform(
+        keyed.withColumn("_double", F.col("_k").cast("double"))
+    )
+    hot: dict[int, tuple[int, int]] = {}
+    for value, times in sorted(Counter(found).items()):
+        if times > 1:
+            hot.setdefault(bisect.bisect_right(splits, float(value)) - 1, (value, times))
+    width = ranges + 2  # more than the parts of any range
+    whole = (F.col("_range") * width).cast("bigint")
+    if not hot:
+        return cut.select("_key", "_text", "_k", F.lit(0).cast("bigint").alias("_h"), whole.alias("_b"))
+    rows = [(float(at), value, times) for at, (value, times) in hot.items()]
+    # At most a row for every second cut, whatever the size of the table.
+    heavy = df.sparkSession.createDataFrame(rows, "_range double, _hot bigint, _times bigint")
+    digest = F.when(F.col("_k") == F.col("_hot"), F.xxhash64("_text")).otherwise(F.lit(0)).cast("bigint")
+    share = F.floor((F.col("_h").cast("double") / float(1 << 64) + 0.5) * F.col("_times"))
+    part = (
+        F.when(F.col("_k") == F.col("_hot"), 1 + F.least(share, F.col("_times") - 1))
+        .when(F.col("_k") > F.col("_hot"), F.col("_times") + 1)
+        .otherwise(F.lit(0))
+    )
+    return cut.join(F.broadcast(heavy), "_range", "left").withColumn("_h", digest).select(
+        "_key", "_text", "_k", "_h", (whole + part).alias("_b")
+    )
+
+
 def with_next(df: DataFrame, key: str, text: str, schema: str, work) -> DataFrame:
     """``key`` and what ``work(text, next_text)`` returns for every row; the last row is followed by the first."""
     spark = df.sparkSession
     small_batches(spark)
-    ids = df.select(F.coalesce(col(key).cast("bigint"), F.lit(-(1 << 63))).alias("_k"))
-    rows = ids.count()
-    ranges = max(1, 4 * parts(spark), -(-rows // RANGE_ROWS))
-    shares = [i / ranges for i in range(1, ranges)]
-    found = ids.agg(F.percentile_approx("_k", shares, 100 * ranges).alias("c")).first()["c"] if rows and shares else []
-    cuts = np.unique(np.array(found or [], dtype="i8"))
-    bucket = _range_of(F.col("_k"), cuts)
-    firsts = sorted((r["_b"], r["_first"]) for r in ids.groupBy(bucket.alias("_b")).agg(F.min("_k").alias("_first")).collect())
-    # One row for each range: the first key, and the range before it that needs a copy.
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    copies = spark.createDataFrame(list(before.items()), "_k bigint, _to bigint")
-    keyed = df.select(
-        col(key).alias("_key"), F.coalesce(col(text), F.lit("")).alias("_text"),
-        F.coalesce(col(key).cast("bigint"), F.lit(-(1 << 63))).alias("_k"),
-    ).withColumn("_b", bucket)
-    keyed = keyed.join(F.broadcast(copies), "_k", "left")
+    keyed = in_ranges(df, key, text)
+    found = keyed.groupBy("_b").agg(F.min(F.struct("_k", "_h")).alias("_first")).collect()
+    firsts = sorted((r["_b"], tuple(r["_first"])) for r in found)
+    # One row for each range: its first row, and the range before it that needs a copy.
+    copies = [(*first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
+    copies = spark.createDataFrame(copies, "_k bigint, _h bigint, _to bigint")
+    keyed = keyed.join(F.broadcast(copies), ["_k", "_h"], "left")
     places = F.array_compact(
         F.array(
             F.struct(F.col("_b").alias("b"), F.lit(False).alias("copy")),
@@ -159,25 +193,6 @@ def with_next(df: DataFrame, key: str, text: str, schema: str, work) -> DataFram
     return dealt.mapInArrow(run, out)
 
 
-def _range_of(key, cuts: np.ndarray):
-    """Number of the range of a key: how many cuts are at or below it."""
-    from pyspark.sql.functions import lit
-
-    if not len(cuts):
-        return lit(0).cast("bigint")
-    # width_bucket and the like need equal widths; the place in a sorted array comes from a binary search.
-    return F.expr(_search("_k", cuts.tolist(), 0)).cast("bigint")
-
-
-def _search(name: str, cuts: list[int], low: int) -> str:
-    """A balanced tree of comparisons: as deep as the logarithm of the number of cuts."""
-    if not cuts:
-        return str(low)
-    middle = len(cuts) // 2
-    left, right = _search(name, cuts[:middle], low), _search(name, cuts[middle + 1 :], low + middle + 1)
-    return f"if({name} < {cuts[middle]}, {left}, {right})"
-
-
 def edited(text: str, after: str) -> str:
     """The last quarter of the code points replaced by as many of the next text, or all it has."""
     n = len(text) // 4
