@@ -1,6 +1,7 @@
 """Nearest neighbours against brute force, with blocks and cells made tiny."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,20 @@ def test_all_rows_imputed_by_kind(spark):
     )
     out = I.impute_all(df, "row_key")
     assert out.filter("bit is null or size is null or word is null").count() == 0
+
+
+def test_pairs_leave_a_task_in_slices(spark, monkeypatch):
+    """However many boxes a query row meets, no more than ``PAIRS`` rows are made at a time."""
+    monkeypatch.setattr(N, "PAIRS", 6)
+    made = []
+
+    def with_cells(cells, rows, key, work, schema):
+        numbers = [np.array([float(i), 0.0, 9.0, 1.0]) for i in range(3)]
+        part = pd.DataFrame({"_q": range(10), "_x": [[1.0]] * 10, "_bound": [np.inf] * 10, "_own": [7] * 10, "_cell": [0] * 10})
+        made.extend(work(numbers, part))
+        return rows
+
+    monkeypatch.setattr(N, "_with_cells", with_cells)
+    N.candidate_pairs(spark.sql("select 1L as _q, array(1d) as _x, 1d as _bound, 7L as _own"), [None], 1, "euclidean")
+    assert [len(m) for m in made] == [6] * 5
+    assert sorted(pd.concat(made)["_cell"].tolist()) == [0] * 10 + [1] * 10 + [2] * 10

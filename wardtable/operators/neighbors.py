@@ -33,6 +33,8 @@ STREAM_ROWS = 100_000
 #: Passes after which cell numbers would leave 64 bits; 1024 ** 6 cells.
 PASSES = 6
 _WORK = 2_000_000  # numbers in one temporary distance array
+#: Rows that a step down the boxes hands on at a time; where boxes prune little, a query row has one for every box.
+PAIRS = 200_000
 
 
 def _matrix(series: pd.Series, width: int) -> np.ndarray:
@@ -118,7 +120,7 @@ def leaf_of(tree: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _with_cells(
-    cells: DataFrame, rows: DataFrame, key: str, work: Callable[[list[np.ndarray], pd.DataFrame], pd.DataFrame], schema: str
+    cells: DataFrame, rows: DataFrame, key: str, work: Callable[[list[np.ndarray], pd.DataFrame], Iterator[pd.DataFrame]], schema: str
 ) -> DataFrame:
     """``work(numbers, rows)`` for the rows of each ``_cell`` and the ``_data`` arrays that ``cells`` has for it.
 
@@ -146,9 +148,9 @@ def _with_cells(
                 numbers += [np.asarray(v, dtype="float64") for v in part["_data"][part["_kind"] == 0]]
                 told = part[part["_kind"] == 1]
                 if len(told) and numbers:
-                    made = work(numbers, told.drop(columns=["_part", "_kind", "_data"]))
-                    # Text that shares Arrow buffers with its batch can't go back as it is.
-                    yield made.astype({c: object for c, t in made.dtypes.items() if isinstance(t, pd.StringDtype)})
+                    for made in work(numbers, told.drop(columns=["_part", "_kind", "_data"])):
+                        # Text that shares Arrow buffers with its batch can't go back as it is.
+                        yield made.astype({c: object for c, t in made.dtypes.items() if isinstance(t, pd.StringDtype)})
 
     return heads.unionByName(dealt).repartition(*order).sortWithinPartitions(*order, "_kind").mapInPandas(run, schema)
 
@@ -160,8 +162,8 @@ def _schema(df: DataFrame) -> str:
 def _down(rows: DataFrame, trees: DataFrame, key: str, vector: str, width: int) -> DataFrame:
     """The rows with the number of their cell one level lower: cells without a tree have one child, number 0."""
 
-    def work(numbers: list[np.ndarray], part: pd.DataFrame) -> pd.DataFrame:
-        return part.assign(_cell=part["_cell"] * FAN + leaf_of(numbers[0], _matrix(part[vector], width)))[names]
+    def work(numbers: list[np.ndarray], part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        yield part.assign(_cell=part["_cell"] * FAN + leaf_of(numbers[0], _matrix(part[vector], width)))[names]
 
     names = rows.columns
     split = _with_cells(trees, rows, key, work, _schema(rows))
@@ -296,15 +298,18 @@ def _compared(
 def candidate_pairs(queries: DataFrame, boxes: list[DataFrame], width: int, metric: str) -> DataFrame:
     """``_cell, _q, _x, _own``: cells that come as near to a query row as its ``_bound``, its own one left out."""
 
-    def work(numbers: list[np.ndarray], part: pd.DataFrame) -> pd.DataFrame:
-        x, bound = _matrix(part["_x"], width), part["_bound"].to_numpy()
-        lower = box_distances(numbers, x, metric)
-        limit = bound if metric == "manhattan" else bound * bound
-        row, child = np.nonzero((lower <= limit[:, None] * (1 + 1e-9)) & ~np.isnan(x).all(axis=1)[:, None])
-        leaf = np.array([n[0] for n in numbers]).astype("int64")[child]
-        out = part.iloc[row].copy()
-        out["_cell"] = out["_cell"].to_numpy() * FAN + leaf
-        return out
+    def work(numbers: list[np.ndarray], whole: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        step = max(1, PAIRS // len(numbers))
+        child_number = np.array([n[0] for n in numbers]).astype("int64")
+        for start in range(0, len(whole), step):
+            part = whole.iloc[start : start + step]
+            x, bound = _matrix(part["_x"], width), part["_bound"].to_numpy()
+            lower = box_distances(numbers, x, metric)
+            limit = bound if metric == "manhattan" else bound * bound
+            row, child = np.nonzero((lower <= limit[:, None] * (1 + 1e-9)) & ~np.isnan(x).all(axis=1)[:, None])
+            out = part.iloc[row].copy()
+            out["_cell"] = out["_cell"].to_numpy() * FAN + child_number[child]
+            yield out
 
     asked = queries.withColumn("_cell", F.lit(0).cast("bigint"))
     for level in boxes:
