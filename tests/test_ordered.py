@@ -115,3 +115,17 @@ def test_pareto_matches_pairwise(spark, seed):
 def test_consensus(spark):
     df = spark.createDataFrame([("m", "a"), ("m", "b"), ("n", "b"), ("n", "c"), ("o", "b"), ("o", "b")], "m string, f string")
     assert [r["f"] for r in L.consensus(df, "f", "m").collect()] == ["b"]
+
+
+def test_frequent_values_have_the_same_ranks(spark, monkeypatch):
+    from wardtable.operators import ordered
+
+    df = spark.range(200).select(
+        F.when(F.col("id") % 7 != 0, (F.col("id") % 3).cast("double")).alias("few"), (F.col("id") * 37 % 101).cast("double").alias("many"),
+        F.lit(None).cast("double").alias("none"),
+    )
+    want = sorted(str(r) for r in ordered.average_ranks(df, ["few", "many", "none"]).collect())
+    monkeypatch.setattr(ordered, "OFTEN", 20)
+    got = ordered.average_ranks(df, ["few", "many", "none"])
+    assert sorted(str(r) for r in got.collect()) == want
+    assert "None" in want[0] and "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()

@@ -20,6 +20,8 @@ from wardtable.functions.expressions import col, known
 #: Narrow rows that one task sorts with ease; the number of buckets follows from it.
 BUCKET_ROWS = 5_000_000
 HASH_BITS = 60
+#: A value that occurs more often is looked up in a broadcast table, so that its rows don't meet in one task.
+OFTEN = 100_000
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -132,9 +134,16 @@ def average_ranks(df: DataFrame, columns: Sequence[str], buckets: int | None = N
     inside = Window.partitionBy("_column", "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
     local = counts.withColumn("_here", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
     ranks = local.join(starts, ["_column", "_bucket"]).select(
-        "_column", "_value", (F.col("_start") + F.col("_here") + (F.col("_n") + 1) / 2).alias("_rank")
+        "_column", "_value", "_n", (F.col("_start") + F.col("_here") + (F.col("_n") + 1) / 2).alias("_rank")
     )
-    ranked = cells.join(ranks, ["_column", "_value"], "left")
+    # At most one row for ``OFTEN`` cells. Cells that have their rank, or no value, are dealt out by row in the second join.
+    often = ranks.filter(F.col("_n") > OFTEN).select("_column", "_value", F.col("_rank").alias("_known"))
+    rare = ranks.filter(F.col("_n") <= OFTEN).select("_column", "_value", "_rank", F.lit(0).cast("bigint").alias("_deal"))
+    found = F.col("_known").isNotNull() | F.col("_value").isNull()
+    cells = cells.join(F.broadcast(often), ["_column", "_value"], "left").select(
+        "_row", "_column", "_known", F.coalesce("_value", F.lit(0.0)).alias("_value"), F.when(found, F.col("_row") + 1).otherwise(F.lit(0)).alias("_deal")
+    )
+    ranked = cells.join(rare, ["_column", "_value", "_deal"], "left").withColumn("_rank", F.coalesce("_known", "_rank"))
     wide = [F.max(F.when(F.col("_column") == k, F.col("_rank"))) for k in range(len(columns))]
     return ranked.groupBy("_row").agg(F.array(*wide).alias("ranks")).select("ranks")
 
