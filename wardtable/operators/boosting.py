@@ -194,10 +194,16 @@ def derivatives(y: np.ndarray, margin: np.ndarray, s: Settings) -> tuple[np.ndar
     return np.rint(w * (p - y) * s.unit), np.rint(w * np.maximum(p * (1 - p), 1e-16) * s.unit)
 
 
+def _bytes_of(column: pa.BinaryArray) -> np.ndarray:
+    """The bytes of all values one after the other, where they lie in the batch."""
+    ends = np.frombuffer(column.buffers()[1], dtype="i4")[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype="u1")[ends[0] : ends[-1]]
+
+
 def _columns(batch: pa.RecordBatch, width: int, later: list[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row hash, label, margin with the trees since the last write, and bins."""
     named = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-    bins = np.frombuffer(b"".join(named["_bins"].to_pylist()), dtype="u1").reshape(-1, width)
+    bins = _bytes_of(named["_bins"]).reshape(-1, width)
     margin = named["_m"].to_numpy(zero_copy_only=False).copy()
     for tree in later:
         margin += tree.add(bins)
