@@ -118,3 +118,21 @@ def test_without_prior(spark):
     got = {r["x"][0]: r["p"][1] for r in model.transform(df).select(F.col("features").alias("x"), F.col("probability").alias("p")).collect()}
     high, low = 7 / 10, 2 / 6  # share of ones by class: (6 + 1) / (8 + 2), (1 + 1) / (4 + 2)
     assert got[1.0] == pytest.approx(high / (high + low)) and got[0.0] == pytest.approx((1 - high) / ((1 - high) + (1 - low)))
+
+
+def test_a_table_in_one_partition_is_dealt_out_and_a_level_takes_one_shuffle(spark, table, monkeypatch):
+    df, _, _ = table
+    settings = B.Settings(n_estimators=3, max_depth=5, learning_rate=0.3, subsample=0.7)
+    want = B.fit_trees(df, "features", "y", "k", settings).getOrDefault("trees")
+    seen, plans, write, splits = [], [], B._one_tree, B.node_splits
+    monkeypatch.setattr(B, "TASK_ROWS", 20)
+    monkeypatch.setattr(B, "_one_tree", lambda state, *a: (seen.append(state.rdd.getNumPartitions()), write(state, *a))[1])
+
+    def planned(sums, s):
+        out = splits(sums, s)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(B, "node_splits", planned)
+    assert B.fit_trees(df.coalesce(1), "features", "y", "k", settings, in_task=10).getOrDefault("trees") == want
+    assert min(seen) > 1 and plans and all(p.count("Exchange") == 1 for p in plans)
