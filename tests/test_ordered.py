@@ -129,3 +129,20 @@ def test_frequent_values_have_the_same_ranks(spark, monkeypatch):
     got = ordered.average_ranks(df, ["few", "many", "none"])
     assert sorted(str(r) for r in got.collect()) == want
     assert "None" in want[0] and "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quantiles_of_repeated_values_take_two_passes(spark, monkeypatch):
+    rng = np.random.RandomState(4)
+    x, y = rng.randint(0, 60, 5000).astype(float), rng.normal(size=5000)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)] + [(None, float("nan"))], "x double, y double").repartition(4)
+    monkeypatch.setattr(Q, "_halve", None)  # halving a bracket of ties took a pass for each target
+    shares = [0, 0.25, 0.5, 0.75, 1]
+    got = Q.exact_quantiles(df, ["x", "y"], shares, read_limit=200)
+    assert got == {"x": list(np.quantile(x, shares)), "y": pytest.approx(list(np.quantile(y, shares)), rel=1e-12)}
+
+
+def test_measured_table_is_made_once(spark):
+    df = spark.createDataFrame([(i, float(i % 9)) for i in range(60)] + [(60, 500.0), (61, None)], "k int, x double")
+    out = S.outliers_and_quartiles(df, ["x"])
+    assert out.inputFiles() and all("/measured-" in f for f in out.inputFiles())
+    assert out.dtypes == [("k", "int"), ("x", "double"), ("x_recoded", "int")] and out.filter("x_recoded is null").count() == 2

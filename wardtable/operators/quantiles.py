@@ -8,6 +8,8 @@ over the column; nothing is sampled, so the result is exact. Columns of every si
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -45,6 +47,9 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Quantiles per column, missing values left out; an empty column gives nulls.
 
+    A first pass takes a sketch of every column, a second one counts the distinct values inside the brackets around the
+    wanted ranks and the rows below each. Where these values are too many to read, brackets are narrowed pass by pass.
+
     The wanted columns are kept (memory, then disk) while the few passes run, so the
     input is computed once; a lost copy is computed again from its source.
     """
@@ -63,7 +68,12 @@ def exact_quantiles(
 def _quantiles(
     values: DataFrame, columns: list[str], shares: Sequence[float], read_limit: int
 ) -> dict[str, list[float | None]]:
+    inner = sorted({s for s in shares if 0 < s < 1})
+    margin = 2.5 / SKETCH
+    ends = [min(1.0, max(0.0, s + m)) for s in inner for m in (-margin, margin)]
+    sketches = [F.percentile_approx(f"v{i}", ends, SKETCH).alias(f"q{i}") for i in range(len(columns))] if inner else []
     first = values.agg(
+        *sketches,
         *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))],
         *[F.min(f"v{i}").alias(f"lo{i}") for i in range(len(columns))],
         *[F.max(f"v{i}").alias(f"hi{i}") for i in range(len(columns))],
@@ -81,6 +91,8 @@ def _quantiles(
                 if s in (0, 1):
                     target.value = target.high if s else target.low
                 targets.append(target)
+    if inner and targets:
+        _read_counts(values, targets, {f"v{i}": first[f"q{i}"] for i, n in enumerate(counts) if n}, read_limit)
     _narrow(values, targets, max(1, read_limit // max(1, len(targets))))
     done = iter(targets)
     for i, n in enumerate(counts):
@@ -89,6 +101,47 @@ def _quantiles(
     return out
 
 
+def _read_counts(values: DataFrame, targets: list[_Target], ends: dict[str, list[float]], read_limit: int) -> None:
+    """Settles targets from how often each value inside the sketch's brackets occurs; a missed bracket settles nothing.
+
+    All rows between two brackets count as one value, so few groups leave a task where values repeat. Nothing is settled
+    when more than ``read_limit`` values lie inside the brackets.
+    """
+    cells, brackets = [], {}
+    for name, cuts in ends.items():
+        spans: list[list[float]] = []
+        for low, high in zip(cuts[::2], cuts[1::2]):  # in order; those that touch are one
+            if spans and low <= spans[-1][1]:
+                spans[-1][1] = max(high, spans[-1][1])
+            else:
+                spans.append([low, high])
+        brackets[name] = spans
+        c = F.col(name)
+        # Even places are the gaps around the brackets, odd ones the brackets.
+        place, inside = F.lit(2 * len(spans)), F.lit(False)
+        for k in reversed(range(len(spans))):
+            low, high = map(F.lit, spans[k])
+            place = F.when(c < low, F.lit(2 * k)).when(c <= high, F.lit(2 * k + 1)).otherwise(place)
+            inside = inside | ((c >= low) & (c <= high))
+        cells.append(F.when(c.isNotNull(), F.struct(F.lit(name).alias("c"), place.alias("place"), F.when(inside, c).alias("v"))))
+    groups = values.select(F.explode(F.array(*cells)).alias("e")).filter("e is not null").groupBy("e.c", "e.place", "e.v").count()
+    most = read_limit + sum(len(s) + 1 for s in brackets.values())
+    found = groups.limit(most + 1).collect()
+    if len(found) > most:
+        return
+    by_column: dict[str, list] = {}
+    for r in found:
+        by_column.setdefault(r["c"], []).append((r["place"], r["v"], r["count"]))
+    for name, rows in by_column.items():
+        rows.sort(key=lambda r: (r[0], r[1] is not None, r[1]))
+        upto = list(itertools.accumulate(r[2] for r in rows))
+        for t in targets:
+            if t.column == name and t.value is None:
+                pair = [rows[bisect.bisect_right(upto, at)][1] for at in (t.rank, min(t.rank + 1, upto[-1] - 1))]
+                if None not in pair:
+                    t.value = pair[0] + (pair[1] - pair[0]) * t.weight
+
+
 def _narrow(values: DataFrame, targets: list[_Target], read_limit: int) -> None:
     for t in targets:
         if t.value is None and t.low == t.high:

@@ -16,6 +16,7 @@ from wardtable.operators.columns import columns_of, is_missing
 from wardtable.operators.gram import pair_moments
 from wardtable.operators.ordered import average_ranks
 from wardtable.operators.quantiles import exact_quantiles
+from wardtable.session import new_folder
 
 # --- per key ----------------------------------------------------------------
 
@@ -179,11 +180,14 @@ def outliers_and_quartiles(
 ) -> DataFrame:
     """Null outliers beyond ``k`` interquartile ranges, then add quartile labels.
 
-    Columns that do not exist are skipped.
+    Columns that do not exist are skipped. The table is read several times and therefore written once.
     """
     present = [c for c in columns if c in df.columns]
     if not present:
         return df
+    path = new_folder(df.sparkSession, "measured")
+    df.write.parquet(path)
+    df = df.sparkSession.read.schema(df.schema).parquet(path)
     limits = outlier_limits(df, present, k)
     edges = exact_quantiles(clean_outliers(df, limits), present, [0, 0.25, 0.5, 0.75, 1])
     return clean_outliers(df, limits).select("*", *_labels(edges, "_recoded", on_ties))
