@@ -22,7 +22,10 @@ def part_of(key: Column, test: float = 0.3, validation: float = 0.0, seed: int =
     """0 for a test, 1 for a validation and 2 for a training row: the parts of ``split`` and ``three_way`` as a column."""
     h = hash_number(key, F.lit(seed))
     a, b = (F.lit(int(share * (1 << HASH_BITS))) for share in (test, test + validation))
-    return F.when(h < a, F.lit(0)).when(h < b, F.lit(1)).otherwise(F.lit(2))
+    part = F.when(h < a, F.lit(0))
+    if validation:  # a second branch hashes again
+        part = part.when(h < b, F.lit(1))
+    return part.otherwise(F.lit(2))
 
 
 def split(
