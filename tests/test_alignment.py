@@ -79,3 +79,45 @@ def test_line_items_are_told_apart_as_their_texts_are(spark):
     # Every row goes through one shuffle as it is; no task collects keys before it.
     plan = lines._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Aggregate" not in plan[plan.index("Exchange") :]
+
+
+def test_folds_take_one_shuffle_and_no_join_of_the_rows(rows):
+    from wardtable.operators.split import stratified_folds
+
+    dealt = stratified_folds(rows.select("row_key", F.coalesce("sepsis", F.lit(0.0)).alias("y"), F.rand(1).alias("x")), "row_key", "y", 3)
+    assert dealt.count() == dealt.select("row_key").distinct().count() == 3000
+    sizes = {(r["y"], r["fold"]): r["count"] for r in dealt.groupBy("y", "fold").count().collect()}
+    for y in (0.0, 1.0):
+        of = [sizes[y, k] for k in range(3)]
+        assert max(of) - min(of) <= 1
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and plan.count("REPARTITION_BY_COL") == 1
+
+
+def test_rows_with_one_key_take_every_rank_of_it(spark):
+    """As the join of rows and ranks by key did: also without a key, and in different groups."""
+    from wardtable.operators.ordered import hash_rank
+
+    table = spark.createDataFrame([("a", 0), ("a", 0), ("b", 0), ("c", 1), ("a", 1), (None, 1), (None, 1), ("d", None)], "k string, g int")
+    got = hash_rank(table, "k", 7, by=["g"], buckets=5)
+    counts = {(r["k"], r["g"]): r["count"] for r in got.groupBy("k", "g").count().collect()}
+    assert counts == {("a", 0): 6, ("a", 1): 3, ("b", 0): 1, ("c", 1): 1, (None, 1): 4, ("d", None): 1}
+    assert {r["g"] for r in got.filter("rank is null").collect()} == {None}
+    alone = hash_rank(table.filter("k in ('b', 'c', 'd')"), "k", 7, buckets=5)
+    assert sorted(r["rank"] for r in alone.collect()) == [0, 1, 2]
+
+
+def test_models_score_their_rows_once(spark, rows):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        read.add(1)
+        return v
+
+    scored = rows.filter("sepsis is not null").select(
+        F.lit("m").alias("model"), "sepsis", F.col("sepsis").alias("prediction"), counted(F.rand(3) * 0 + F.col("sepsis")).alias("score")
+    )
+    n = scored.select("sepsis").count()
+    row = E.compare_models(scored, "sepsis", "prediction", "score").first()
+    assert read.value == n and row["f1"] == row["roc_auc"] == 1.0
