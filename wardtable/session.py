@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "wardtable") -> SparkSession:
@@ -52,6 +52,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark, fallback).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written to a new folder and read back, so that its plan does not run again for every job and branch that reads it."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder that ``new_folder`` named, once nothing reads it any more."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
