@@ -27,11 +27,11 @@ from pyspark.ml.classification import (
     NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import PCA, Binarizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardtable.functions.expressions import col
@@ -40,13 +40,16 @@ from wardtable.operators.neighbors import knn_classify
 
 SEED = 99
 FEATURES = "features"
+#: The same numbers as a plain array, where a table has them: families that only compare and count read no vectors.
+PLAIN = "_plain"
 MAX_TREE_DEPTH = 30  # the deepest tree the library grows; stands in for "unlimited"
 
 
-def assemble(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Feature vector and label in one row; a missing feature value is an error."""
-    vector = array_to_vector(F.array(*[col(c).cast("double") for c in features]))
-    return df.select(*[col(k) for k in keep], vector.alias(FEATURES), col(label).cast("double").alias(label))
+def assemble(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = (), plain: bool = False) -> DataFrame:
+    """Feature vector and label in one row; a missing feature value is an error. ``plain`` adds the same numbers as an array."""
+    values = F.array(*[col(c).cast("double") for c in features])
+    both = [array_to_vector(values).alias(FEATURES), *([values.alias(PLAIN)] if plain else [])]
+    return df.select(*[col(k) for k in keep], *both, col(label).cast("double").alias(label))
 
 
 # --- feature maps and weights -----------------------------------------------
@@ -161,6 +164,56 @@ def _monomials(m: np.ndarray, degree: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
+def _numbers(df: DataFrame) -> Column:
+    """The features as an array, without the way over a vector where the table has them plain."""
+    return col(PLAIN) if PLAIN in df.columns else vector_to_array(col(FEATURES))
+
+
+class Bits(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """1 for features above a threshold, else 0 (also for NaN); a missing value is an error."""
+
+    outputCol = Param(Params._dummy(), "outputCol", "vector of bits", TypeConverters.toString)
+    threshold = Param(Params._dummy(), "threshold", "greatest number that is no bit", TypeConverters.toFloat)
+    width = Param(Params._dummy(), "width", "number of features", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, outputCol="binary", threshold=0.0, width=1):
+        super().__init__()
+        self._setDefault(outputCol="binary", threshold=0.0, width=1)
+        self._set(**self._input_kwargs)
+
+    def bits(self, dataset: DataFrame) -> list[Column]:
+        """One column for each feature."""
+        width, values = self.getOrDefault("width"), _numbers(dataset)
+        out = []
+        for i in range(width):
+            v = F.get(values, F.lit(i))
+            bit = (v > self.getOrDefault("threshold")) & ~F.isnan(v)
+            wrong = v.isNull() if i else v.isNull() | (F.size(values) != width)
+            out.append(F.when(wrong, F.raise_error(F.lit("a feature value is missing")).cast("boolean")).otherwise(bit))
+        return out
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        bits = [b.cast("double") for b in self.bits(dataset)]
+        return dataset.withColumn(self.getOrDefault("outputCol"), array_to_vector(F.array(*bits)))
+
+
+def _alike(df: DataFrame, bits: Bits, label: str) -> DataFrame:
+    """A few weighted rows with as many rows of each class, and as many ones of each of its features, as ``df`` has.
+
+    Bernoulli likelihoods are made of these counts alone. The rows of a class are nested: the k-th has ones where the k largest
+    counts are, and weighs the difference to the next count.
+    """
+    one = [F.count_if(b).alias(f"c{i}") for i, b in enumerate(bits.bits(df))]
+    rows = []
+    counted = df.groupBy(col(label).cast("double")).agg(F.count(F.lit(1)).alias("n"), *one)
+    for y, n, *counts in counted.collect():  # one row per class
+        levels = sorted({n, *counts, 0}, reverse=True)
+        rows += [(y, float(high - low), [float(c >= high) for c in counts]) for high, low in itertools.pairwise(levels)]
+    table = df.sparkSession.createDataFrame(rows, "label double, weight double, bits array<double>").coalesce(1)
+    return table.select("label", "weight", array_to_vector("bits").alias(bits.getOrDefault("outputCol")))
+
+
 class EvenPrior(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """Takes the classes' prior out of the scores of a fitted model that adds log-likelihoods to it."""
 
@@ -367,7 +420,7 @@ def _mapped_width(maps: list, width: int) -> int:
     return width
 
 
-_NEED_WIDTH = ("svc", "knn_classifier", "sgd_classifier")
+_NEED_WIDTH = ("svc", "knn_classifier", "sgd_classifier", "bernoulli_bayes")
 
 
 def fit(df: DataFrame, family: str, params: dict | None, label: str, key: str | None = None) -> Fitted:
@@ -428,17 +481,15 @@ def fit(df: DataFrame, family: str, params: dict | None, label: str, key: str |
         )
         return Fitted(family, p, _with_probability(data, maps, svm, label, key, n * _mapped_width(maps, width)), ignored)
     elif family == "bernoulli_bayes":
-        stages = [
-            Binarizer(threshold=float(p.get("binarize", 0.0)), inputCol=FEATURES, outputCol="binary"),
-            NaiveBayes(
-                **{**cols, "featuresCol": "binary"}, modelType="bernoulli", smoothing=float(p.get("alpha", 1.0))
-            ),
-        ]
+        bits = Bits(threshold=float(p.get("binarize", 0.0)), width=width)
+        bayes = NaiveBayes(
+            featuresCol="binary", labelCol="label", weightCol="weight", modelType="bernoulli", smoothing=float(p.get("alpha", 1.0))
+        )
+        learnt = [bits, bayes.fit(_alike(data, bits, label))]
         if not p.get("fit_prior", True):
-            fitted = Pipeline(stages=stages).fit(data)
-            pi = [float(v) for v in fitted.stages[-1].pi.toArray()]
-            even = EvenPrior(logPrior=[*pi, *[0.0] * (2 - len(pi))])
-            return Fitted(family, p, PipelineModel([*fitted.stages, even]), ignored)
+            pi = [float(v) for v in learnt[-1].pi.toArray()]
+            learnt.append(EvenPrior(logPrior=[*pi, *[0.0] * (2 - len(pi))]))
+        return Fitted(family, p, PipelineModel(learnt), ignored)
     elif family == "sgd_classifier":
         loss, alpha = p.get("loss", "hinge"), float(p.get("alpha", 1e-4))
         if loss == "hinge":

@@ -371,7 +371,7 @@ def _subset(df: DataFrame, keep: Sequence[int], width: int) -> DataFrame:
     if len(keep) == width:
         return df
     sliced = VectorSlicer(inputCol=FEATURES, outputCol="_slice", indices=list(keep)).transform(df)
-    return sliced.drop(FEATURES).withColumnRenamed("_slice", FEATURES)
+    return sliced.drop(FEATURES, models.PLAIN).withColumnRenamed("_slice", FEATURES)
 
 
 def _eliminate(df: DataFrame, family: str, params: dict, label: str, width: int, at_least: int, step: int):

@@ -8,23 +8,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardtable.functions.expressions import col
-from wardtable.operators.ordered import HASH_BITS, hash_number, hash_rank
+from wardtable.operators.ordered import HASH_BITS, hash_rank
 
 SEED = 99  # fixed value: the seed of every split in the study
 
 
+def _digest(key: Column, seed: int) -> Column:
+    return F.md5(F.concat_ws("|", key.cast("string"), F.lit(seed).cast("string")))
+
+
+def _below(digest: Column, share: float) -> Column:
+    """Whether ``ordered.hash_number`` is below ``share`` of its range: its hexadecimal digits compare as the number does."""
+    bound = int(share * (1 << HASH_BITS))
+    return digest < F.lit(f"{bound:0{HASH_BITS // 4}x}") if bound < 1 << HASH_BITS else F.lit(True)
+
+
 def in_test(key: Column, share: float = 0.3, seed: int = SEED) -> Column:
     """True for about ``share`` of the keys; needs no shuffle and survives re-runs."""
-    return hash_number(key, F.lit(seed)) < F.lit(int(share * (1 << HASH_BITS)))
+    return _below(_digest(key, seed), share)
 
 
 def part_of(key: Column, test: float = 0.3, validation: float = 0.0, seed: int = SEED) -> Column:
     """0 for a test, 1 for a validation and 2 for a training row: the parts of ``split`` and ``three_way`` as a column."""
-    h = hash_number(key, F.lit(seed))
-    a, b = (F.lit(int(share * (1 << HASH_BITS))) for share in (test, test + validation))
-    part = F.when(h < a, F.lit(0))
+    h = _digest(key, seed)
+    part = F.when(_below(h, test), F.lit(0))
     if validation:  # a second branch hashes again
-        part = part.when(h < b, F.lit(1))
+        part = part.when(_below(h, test + validation), F.lit(1))
     return part.otherwise(F.lit(2))
 
 
@@ -47,10 +56,9 @@ def three_way(
     df: DataFrame, key: str, validation: float = 0.2, test: float = 0.3, seed: int = SEED
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Train, validation and test parts, so that tuning never sees the test rows."""
-    h = hash_number(col(key), F.lit(seed))
-    a = F.lit(int(test * (1 << HASH_BITS)))
-    b = F.lit(int((test + validation) * (1 << HASH_BITS)))
-    return df.filter(h >= b), df.filter((h >= a) & (h < b)), df.filter(h < a)
+    h = _digest(col(key), seed)
+    a, b = _below(h, test), _below(h, test + validation)
+    return df.filter(~b), df.filter(~a & b), df.filter(a)
 
 
 def stratified_folds(

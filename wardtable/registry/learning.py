@@ -38,12 +38,17 @@ def documents_set(t):
     )
 
 
+#: Line items that one task tells apart, where there are enough of them for every core.
+LINES_PER_TASK = 500_000
+
+
 def lines_set(t):
     """Every line item once, label: returned; key: all columns that tell lines apart, as one text.
 
     Rows are told apart by the columns themselves; the text is made for the rows that stay. Only where a column is missing, or the
     price is a zero of either sign, could different columns give one text or the other way round; such rows are told apart by the text,
-    which no other row has. Rows are dealt out before they are compared, so that no task holds a table of all rows it reads.
+    which no other row has. Rows are dealt out before they are compared, so that no task holds a table of all rows it reads; how many
+    rows a task compares does not grow with the table.
     """
     ids = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     text = F.concat_ws("|", *ids, "l_extendedprice")
@@ -52,7 +57,9 @@ def lines_set(t):
     lines = t("lineitem").select(
         *[F.when(~odd, F.col(c)).alias(c) for c in ids], "l_quantity", "l_extendedprice", "l_discount", "l_tax", F.when(odd, text).alias("_text")
     )
-    return lines.repartition(*apart).dropDuplicates(apart).select(
+    tasks = t("lineitem").count() // LINES_PER_TASK
+    dealt = lines.repartition(tasks, *apart) if tasks >= lines.sparkSession.sparkContext.defaultParallelism else lines.repartition(*apart)
+    return dealt.dropDuplicates(apart).select(
         F.coalesce("_text", text).alias(MP.KEY), "l_quantity", "l_extendedprice", "l_discount", "l_tax",
         (F.col("l_quantity") * (1 + F.col("l_tax")) + F.col("l_discount") * 100 > 32).cast("int").alias(MP.LABEL),
     )
