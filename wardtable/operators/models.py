@@ -40,16 +40,13 @@ from wardtable.operators.neighbors import knn_classify
 
 SEED = 99
 FEATURES = "features"
-#: The same numbers as a plain array, where a table has them: families that only compare and count read no vectors.
-PLAIN = "_plain"
 MAX_TREE_DEPTH = 30  # the deepest tree the library grows; stands in for "unlimited"
 
 
-def assemble(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = (), plain: bool = False) -> DataFrame:
-    """Feature vector and label in one row; a missing feature value is an error. ``plain`` adds the same numbers as an array."""
-    values = F.array(*[col(c).cast("double") for c in features])
-    both = [array_to_vector(values).alias(FEATURES), *([values.alias(PLAIN)] if plain else [])]
-    return df.select(*[col(k) for k in keep], *both, col(label).cast("double").alias(label))
+def assemble(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Feature vector and label in one row; a missing feature value is an error."""
+    vector = array_to_vector(F.array(*[col(c).cast("double") for c in features]))
+    return df.select(*[col(k) for k in keep], vector.alias(FEATURES), col(label).cast("double").alias(label))
 
 
 # --- feature maps and weights -----------------------------------------------
@@ -164,11 +161,6 @@ def _monomials(m: np.ndarray, degree: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def _numbers(df: DataFrame) -> Column:
-    """The features as an array, without the way over a vector where the table has them plain."""
-    return col(PLAIN) if PLAIN in df.columns else vector_to_array(col(FEATURES))
-
-
 class Bits(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """1 for features above a threshold, else 0 (also for NaN); a missing value is an error."""
 
@@ -182,9 +174,9 @@ class Bits(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         self._setDefault(outputCol="binary", threshold=0.0, width=1)
         self._set(**self._input_kwargs)
 
-    def bits(self, dataset: DataFrame) -> list[Column]:
+    def bits(self) -> list[Column]:
         """One column for each feature."""
-        width, values = self.getOrDefault("width"), _numbers(dataset)
+        width, values = self.getOrDefault("width"), vector_to_array(col(FEATURES))
         out = []
         for i in range(width):
             v = F.get(values, F.lit(i))
@@ -194,7 +186,7 @@ class Bits(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         return out
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        bits = [b.cast("double") for b in self.bits(dataset)]
+        bits = [b.cast("double") for b in self.bits()]
         return dataset.withColumn(self.getOrDefault("outputCol"), array_to_vector(F.array(*bits)))
 
 
@@ -204,7 +196,7 @@ def _alike(df: DataFrame, bits: Bits, label: str) -> DataFrame:
     Bernoulli likelihoods are made of these counts alone. The rows of a class are nested: the k-th has ones where the k largest
     counts are, and weighs the difference to the next count.
     """
-    one = [F.count_if(b).alias(f"c{i}") for i, b in enumerate(bits.bits(df))]
+    one = [F.count_if(b).alias(f"c{i}") for i, b in enumerate(bits.bits())]
     rows = []
     counted = df.groupBy(col(label).cast("double")).agg(F.count(F.lit(1)).alias("n"), *one)
     for y, n, *counts in counted.collect():  # one row per class
