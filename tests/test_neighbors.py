@@ -144,3 +144,39 @@ def test_pairs_leave_a_task_in_slices(spark, monkeypatch):
     N.candidate_pairs(spark.sql("select 1L as _q, array(1d) as _x, 1d as _bound, 7L as _own"), [None], 1, "euclidean")
     assert [len(m) for m in made] == [6] * 5
     assert sorted(pd.concat(made)["_cell"].tolist()) == [0] * 10 + [1] * 10 + [2] * 10
+
+
+@pytest.mark.parametrize("kind", ["ties", "gaps", "far off", "infinite"])
+def test_closest_is_what_all_distances_say(monkeypatch, kind):
+    """The k nearest of a block, ties by order, are those of all distances; few pairs are measured one by one."""
+    rng = np.random.RandomState(7)
+    x, y = rng.normal(size=(40, 3)), rng.normal(size=(900, 3))
+    if kind == "ties":
+        x, y = x.round(), y.round()
+    if kind == "far off":
+        x, y = x + 1e6, y + 1e6
+    if kind == "gaps":
+        for m in (x, y):
+            m[rng.uniform(size=m.shape) < 0.3] = np.nan
+        x[0] = np.nan
+    if kind == "infinite":
+        y[3, 1] = np.inf
+    allowed = rng.uniform(size=len(y)) < 0.5
+    full = N._distances(x, y, "euclidean")
+    want = np.where(allowed & np.isfinite(full), full, np.inf)
+    measured, lengths = [], N._lengths
+    monkeypatch.setattr(N, "_lengths", lambda diff, metric: measured.append(diff[..., 0].size) or lengths(diff, metric))
+    for limit in (np.full(40, np.inf), np.sort(want, axis=1)[:, 6]):
+        ((row, at, dist),) = N.closest(x, y, 5, "euclidean", limit, [(np.arange(40), allowed)])
+        for i in range(40):
+            best = [j for j in np.argsort(want[i], kind="stable")[:5] if np.isfinite(want[i, j])]
+            assert at[row == i].tolist() == best and dist[row == i].tolist() == want[i, best].tolist()
+    if kind in ("gaps", "far off"):
+        assert sum(measured) < 2 * 40 * 60
+    assert kind != "ties" or len(N._first_alike(y, 5)) < 300
+
+
+def test_cuts_follow_the_coordinates_that_rows_have():
+    y = np.random.RandomState(2).uniform(size=(400, 2)) * [100, 1]
+    assert set(N.split_tree(y, 3)[:7]) == {0.0}
+    assert set(N.split_tree(y, 3, np.array([0.0, 1.0]))[:7]) == {1.0}

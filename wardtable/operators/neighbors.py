@@ -10,6 +10,9 @@ A query row goes down the trees to its own cell first and takes the k-th distanc
 bounding boxes and keeps the cells that come as near as that distance; no other can hold a neighbour. Each pair of blocks
 hands on at most k rows per query row. Nothing is sampled, capped or approximated in the
 result: samples decide where cells are cut, and bounds only skip work that cannot matter.
+
+Within a pair of blocks euclidean distances come from matrix products first, with a bound on their rounding; the rows that
+they leave in question are measured coordinate by coordinate, and only these distances count.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from wardtable.functions.expressions import col
 from wardtable.session import new_folder
 
 BLOCK_ROWS = 4096
+#: Rows of a block where rows have more than ``WIDE`` coordinates: boxes prune little there, and rows meet few, large blocks.
+WIDE, WIDE_BLOCK_ROWS = 16, 16_384
 #: Leaves of one tree, and rows of a cell that it is built from (about).
 FAN, SAMPLE_ROWS = 1024, 32_768
 #: Rows that meet their cell's numbers in one task.
@@ -55,19 +60,96 @@ def _distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     Euclidean distances are stretched by the share of coordinates used; rows that share
     none have no distance.
     """
-    diff = np.abs(x[:, None, :] - y[None, :, :])
+    return _lengths(x[:, None, :] - y[None, :, :], metric)
+
+
+def _lengths(diff: np.ndarray, metric: str) -> np.ndarray:
+    """Distances from the differences of coordinates, which lie along the last axis."""
+    diff = np.abs(diff)
     shared = ~np.isnan(diff)
-    used = shared.sum(axis=2)
+    used = shared.sum(axis=-1)
     diff = np.where(shared, diff, 0.0)
     with np.errstate(divide="ignore", invalid="ignore"):
         if metric == "manhattan":
-            out = diff.sum(axis=2) * (x.shape[1] / used)
+            out = diff.sum(axis=-1) * (diff.shape[-1] / used)
         else:
-            out = np.sqrt((diff * diff).sum(axis=2) * (x.shape[1] / used))
+            out = np.sqrt((diff * diff).sum(axis=-1) * (diff.shape[-1] / used))
     out[used == 0] = np.nan
     return out
 
 
+def _products(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Squared euclidean distances by matrix products, infinite without a shared coordinate, and for each row of ``x`` how far off they are at most.
+
+    None where a number is infinite, or too large to be squared and added up.
+    """
+    width = x.shape[1]
+    sides = [(~np.isnan(m), np.where(np.isnan(m), 0.0, m)) for m in (x, y)]
+    (has_x, x), (has_y, y) = sides
+    if max((np.abs(m).max() for m in (x, y) if m.size), default=0.0) > 1e150:
+        return None
+    xx, yy = x * x, y * y
+    if has_x.all() and has_y.all():
+        size, stretch = xx.sum(axis=1).max(initial=0.0) + yy.sum(axis=1).max(initial=0.0), 1.0
+        out = x @ y.T
+        out *= -2.0
+        out += xx.sum(axis=1)[:, None]
+        out += yy.sum(axis=1)
+    else:
+        has_x, has_y = has_x.astype(float), has_y.astype(float)
+        used = has_x @ has_y.T
+        out = xx @ has_y.T + has_x @ yy.T
+        size = out.max(initial=0.0)
+        out -= 2.0 * (x @ y.T)
+        stretch = width
+        with np.errstate(divide="ignore"):
+            out = np.where(used > 0, out * (width / used), np.inf)
+    # Sums of width products of numbers whose squares add up to at most size, in any order, and their stretching.
+    return out, np.full(len(x), 8.0 * (width + 4) * np.finfo(float).eps * size * stretch)
+
+
+def closest(x: np.ndarray, y: np.ndarray, k: int, metric: str, limit: np.ndarray, cases: Sequence[tuple[np.ndarray, np.ndarray]]):
+    """For each case, the numbers of its rows of ``x`` and the rows of ``y`` it may take: row, row of ``y`` and distance of the k nearest.
+
+    Equal distances go by the order of ``y``. Rows farther than the ``limit`` of a row of ``x`` may be left out.
+    """
+    found = _products(x, y) if metric == "euclidean" else None
+    exact = None if found else _distances(x, y, metric)
+    for rows, allowed in cases:
+        if exact is not None:
+            dist = np.where(allowed & ~np.isnan(exact[rows]), exact[rows], np.inf)
+            at = np.argsort(dist, axis=1, kind="stable")[:, :k]
+            close = np.take_along_axis(dist, at, axis=1)
+            ok = np.isfinite(close)
+            yield rows[np.nonzero(ok)[0]], at[ok], close[ok]
+            continue
+        near = np.where(allowed, found[0][rows], np.inf) if not allowed.all() else found[0][rows]
+        off = found[1][rows]
+        bound = np.square(limit[rows]) * (1 + 1e-9) + off
+        free = np.flatnonzero(~np.isfinite(bound))
+        if len(free) and near.shape[1] > k:
+            bound[free] = np.partition(near[free], k - 1, axis=1)[:, k - 1] * (1 + 1e-9) + 2 * off[free]
+        row, at = np.nonzero((near <= bound[:, None]) & np.isfinite(near))
+        dist = np.empty(len(row))
+        for part in _chunks(len(row), x.shape[1]):
+            dist[part] = _lengths(x[rows[row[part]]] - y[at[part]], metric)
+        order = np.lexsort((at, dist, row))
+        row, at, dist = row[order], at[order], dist[order]
+        first = np.searchsorted(row, row)
+        ok = (np.arange(len(row)) - first < k) & np.isfinite(dist)
+        yield rows[row[ok]], at[ok], dist[ok]
+
+
+def _first_alike(y: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of the rows that have fewer than k rows like them before them: no other can be among the k nearest."""
+    if not y.size:
+        return np.arange(len(y))
+    _, kind = np.unique(np.ascontiguousarray(y).view(f"V{y.shape[1] * 8}").ravel(), return_inverse=True)
+    order = np.argsort(kind, kind="stable")
+    rank = np.arange(len(y)) - np.searchsorted(kind[order], kind[order])
+    return np.sort(order[rank < k])
+
+
 def _chunks(n: int, per_row: int) -> Iterator[slice]:
     step = max(1, _WORK // max(1, per_row))
     for start in range(0, n, step):
@@ -77,10 +159,10 @@ def _chunks(n: int, per_row: int) -> Iterator[slice]:
 # --- the tree ---------------------------------------------------------------
 
 
-def split_tree(y: np.ndarray, depth: int) -> np.ndarray:
+def split_tree(y: np.ndarray, depth: int, weights: np.ndarray | float = 1.0) -> np.ndarray:
     """Axis (or -1) and cut of each of the 2 ** depth - 1 inner nodes, in heap order, one after the other.
 
-    A node is cut at the median of its widest axis; larger values go right, missing ones left.
+    A node is cut at the median of its widest axis, widths times ``weights``; larger values go right, missing ones left.
     """
     nodes = (1 << depth) - 1
     axis, cut = np.full(nodes, -1.0), np.zeros(nodes)
@@ -92,7 +174,7 @@ def split_tree(y: np.ndarray, depth: int) -> np.ndarray:
         part = y[rows]
         filled = ~np.isnan(part)
         low, high = np.where(filled, part, np.inf).min(axis=0), np.where(filled, part, -np.inf).max(axis=0)
-        wide = np.where(high > low, high - low, 0.0)
+        wide = np.where(high > low, high - low, 0.0) * weights
         best = int(np.argmax(wide))
         if not wide[best] > 0:
             continue
@@ -171,7 +253,7 @@ def _down(rows: DataFrame, trees: DataFrame, key: str, vector: str, width: int)
     return split.unionByName(others.select(*[(F.col(c) * FAN).alias(c) if c == "_cell" else c for c in names]))
 
 
-def _grow(donors: DataFrame, width: int, block_rows: int) -> tuple[DataFrame, list[DataFrame]]:
+def _grow(donors: DataFrame, width: int, block_rows: int, weights: np.ndarray | float = 1.0) -> tuple[DataFrame, list[DataFrame]]:
     """Donors with their ``_cell``, and the table of trees (``_cell``, ``_data``) of each pass."""
     rows = donors.withColumn("_cell", F.lit(0).cast("bigint"))
     trees: list[DataFrame] = []
@@ -189,7 +271,7 @@ def _grow(donors: DataFrame, width: int, block_rows: int) -> tuple[DataFrame, li
         def build(pdf: pd.DataFrame) -> pd.DataFrame:
             wanted = 2 * pdf["_n"].iloc[0] / block_rows
             depth = int(np.clip(np.ceil(np.log2(wanted)), 1, np.log2(FAN)))
-            return pd.DataFrame({"_cell": pdf["_cell"].iloc[:1], "_data": [split_tree(_matrix(pdf["_y"], width), depth)]})
+            return pd.DataFrame({"_cell": pdf["_cell"].iloc[:1], "_data": [split_tree(_matrix(pdf["_y"], width), depth, weights)]})
 
         found = _saved(picked.groupBy("_cell").applyInPandas(build, "_cell bigint, _data array<double>"))
         uncut = found.filter(F.get("_data", F.lit(0)) < 0).select((F.col("_cell") * FAN).alias("_cell"))
@@ -246,35 +328,23 @@ def box_distances(numbers: list[np.ndarray], x: np.ndarray, metric: str) -> np.n
 def _compared(
     asked: DataFrame, rows: DataFrame, width: int, k: int, metric: str, for_gaps: bool, block_rows: int
 ) -> DataFrame:
-    """At most k rows for each query row, gap and block: ``_q, _gap, _d, _v, _distance``."""
-
-    def best(dist: np.ndarray, names, ids, values, gap: int) -> pd.DataFrame:
-        top = min(k, dist.shape[1])
-        order = np.argsort(dist, axis=1, kind="stable")[:, :top]
-        close = np.take_along_axis(dist, order, axis=1)
-        ok = np.isfinite(close)
-        row = np.repeat(np.arange(len(close)), top).reshape(close.shape)[ok]
-        return pd.DataFrame(
-            {"_q": names[row], "_gap": gap, "_d": ids[order[ok]], "_v": values[order[ok]], "_distance": close[ok]}
-        )
+    """At most k rows for each query row, gap and block, none farther than needed for its ``_bound``: ``_q, _gap, _d, _v, _distance``."""
 
     def compare(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         parts = []
         if len(q) and len(d):
             d = d.sort_values("_d", kind="stable")
-            x, y = _matrix(q["_x"], width), _matrix(d["_y"], width)
-            ids, values, names = d["_d"].to_numpy(), d["_v"].to_numpy(), q["_q"].to_numpy()
-            for part in _chunks(len(x), y.size):
-                dist = _distances(x[part], y, metric)
-                dist = np.where(np.isnan(dist), np.inf, dist)
-                if not for_gaps:
-                    parts.append(best(dist, names[part], ids, values, -1))
-                    continue
-                for gap in range(width):
-                    missing = np.isnan(x[part, gap])
-                    have = ~np.isnan(y[:, gap])
-                    if missing.any() and have.any():
-                        parts.append(best(dist[missing][:, have], names[part][missing], ids[have], y[have, gap], gap))
+            x, y, limit = _matrix(q["_x"], width), _matrix(d["_y"], width), q["_bound"].to_numpy(dtype="f8")
+            few = _first_alike(y, k)
+            y, ids, values, names = y[few], d["_d"].to_numpy()[few], d["_v"].to_numpy()[few], q["_q"].to_numpy()
+            missing, have = np.isnan(x), ~np.isnan(y)
+            gaps = [g for g in range(width) if missing[:, g].any() and have[:, g].any()] if for_gaps else [-1]
+            for part in _chunks(len(x), len(y) if metric == "euclidean" else y.size):
+                lines, every = x[part], np.ones(len(y), dtype=bool)
+                cases = [(np.flatnonzero(missing[part, g]), have[:, g]) if for_gaps else (np.arange(len(lines)), every) for g in gaps]
+                for g, (row, at, dist) in zip(gaps, closest(lines, y, k, metric, limit[part], cases)):
+                    said = y[at, g] if for_gaps else values[at]
+                    parts.append(pd.DataFrame({"_q": names[part][row], "_gap": g, "_d": ids[at], "_v": said, "_distance": dist}))
         full = [p for p in parts if len(p)]
         none = {"_q": q["_q"].to_numpy()[:0], "_gap": [], "_d": d["_d"].to_numpy()[:0], "_v": [], "_distance": []}
         return pd.concat(full) if full else pd.DataFrame(none)
@@ -283,7 +353,7 @@ def _compared(
     chunks = asked.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_chunks"))
     cut = _saved(blocks.join(chunks, "_cell"))
     left = asked.join(cut, "_cell").select(
-        "_cell", "_q", "_x", F.pmod(F.xxhash64("_q"), F.col("_chunks")).alias("_chunk"),
+        "_cell", "_q", "_x", "_bound", F.pmod(F.xxhash64("_q"), F.col("_chunks")).alias("_chunk"),
         F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"),
     )
     right = rows.join(cut, "_cell").select(
@@ -296,7 +366,7 @@ def _compared(
 
 
 def candidate_pairs(queries: DataFrame, boxes: list[DataFrame], width: int, metric: str) -> DataFrame:
-    """``_cell, _q, _x, _own``: cells that come as near to a query row as its ``_bound``, its own one left out."""
+    """``_cell, _q, _x, _bound``: cells that come as near to a query row as its ``_bound``, its own one left out."""
 
     def work(numbers: list[np.ndarray], whole: pd.DataFrame) -> Iterator[pd.DataFrame]:
         step = max(1, PAIRS // len(numbers))
@@ -314,7 +384,13 @@ def candidate_pairs(queries: DataFrame, boxes: list[DataFrame], width: int, metr
     asked = queries.withColumn("_cell", F.lit(0).cast("bigint"))
     for level in boxes:
         asked = _with_cells(level, asked, "_q", work, _schema(asked))
-    return asked.filter(F.col("_cell") != F.col("_own")).select("_cell", "_q", "_x")
+    return asked.filter(F.col("_cell") != F.col("_own")).select("_cell", "_q", "_x", "_bound")
+
+
+def _known_shares(queries: DataFrame, width: int) -> np.ndarray:
+    """For each coordinate the share of the query rows that have it."""
+    known = [F.avg(F.coalesce(~F.isnan(F.get("_x", F.lit(i))), F.lit(False)).cast("double")) for i in range(width)]
+    return np.array([v or 0.0 for v in queries.agg(*known).first()])
 
 
 def nearest(
@@ -324,7 +400,7 @@ def nearest(
     k: int,
     metric: str = "euclidean",
     for_gaps: bool = False,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """The k nearest donors of each query row, ties by donor key.
 
@@ -334,11 +410,14 @@ def nearest(
     gets its own k donors, among those that have it, and ``_v`` is the donor's value of it;
     distances are computed once for all gaps. Otherwise ``_gap`` is -1.
     """
-    rows, trees = _grow(donors.select("_d", "_y", F.col("_v").cast("double").alias("_v")), width, block_rows)
+    block_rows = block_rows or (BLOCK_ROWS if width <= WIDE else WIDE_BLOCK_ROWS)
+    # Cuts along a coordinate help the query rows that have it.
+    weights = _known_shares(queries, width) if for_gaps else 1.0
+    rows, trees = _grow(donors.select("_d", "_y", F.col("_v").cast("double").alias("_v")), width, block_rows, weights)
     own = queries.select("_q", "_x", F.lit(0).cast("bigint").alias("_cell"))
     for found in trees:
         own = _down(own, found, "_q", "_x", width)
-    own = _saved(own)
+    own = _saved(own.withColumn("_bound", F.lit(float("inf"))))
     # At most k rows per query row, gap and block arrive in this window.
     order = Window.partitionBy("_q", "_gap").orderBy("_distance", "_d")
 
@@ -369,7 +448,7 @@ def _weights():
 
 
 def neighbor_means(
-    df: DataFrame, key: str, columns: Sequence[str], k: int = 5, block_rows: int = BLOCK_ROWS
+    df: DataFrame, key: str, columns: Sequence[str], k: int = 5, block_rows: int | None = None
 ) -> DataFrame:
     """One row per row with gaps: ``key`` and ``_v0, _v1, ...``, the weighted means of the
     k nearest donors for each missing column (null where nothing is missing or no donor exists)."""
@@ -402,7 +481,7 @@ def knn_classify(
     k: int = 5,
     weights: str = "uniform",
     metric: str = "euclidean",
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """``(key, prediction, score)``: vote of the k nearest training rows.
 
