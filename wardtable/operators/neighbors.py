@@ -34,7 +34,7 @@ WIDE, WIDE_BLOCK_ROWS = 16, 16_384
 #: Leaves of one tree, and rows of a cell that it is built from (about).
 FAN, SAMPLE_ROWS = 1024, 32_768
 #: Rows that meet their cell's numbers in one task.
-STREAM_ROWS = 100_000
+STREAM_ROWS = 20_000
 #: Passes after which cell numbers would leave 64 bits; 1024 ** 6 cells.
 PASSES = 6
 _WORK = 2_000_000  # numbers in one temporary distance array
@@ -102,7 +102,7 @@ def _products(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray] | N
         size = out.max(initial=0.0)
         out -= 2.0 * (x @ y.T)
         stretch = width
-        with np.errstate(divide="ignore"):
+        with np.errstate(divide="ignore", invalid="ignore"):
             out = np.where(used > 0, out * (width / used), np.inf)
     # Sums of width products of numbers whose squares add up to at most size, in any order, and their stretching.
     return out, np.full(len(x), 8.0 * (width + 4) * np.finfo(float).eps * size * stretch)
@@ -144,7 +144,7 @@ def _first_alike(y: np.ndarray, k: int) -> np.ndarray:
     """Numbers of the rows that have fewer than k rows like them before them: no other can be among the k nearest."""
     if not y.size:
         return np.arange(len(y))
-    _, kind = np.unique(np.ascontiguousarray(y).view(f"V{y.shape[1] * 8}").ravel(), return_inverse=True)
+    _, kind = np.unique(np.ascontiguousarray(y + 0.0).view(f"V{y.shape[1] * 8}").ravel(), return_inverse=True)
     order = np.argsort(kind, kind="stable")
     rank = np.arange(len(y)) - np.searchsorted(kind[order], kind[order])
     return np.sort(order[rank < k])
@@ -286,11 +286,19 @@ def _boxes(rows: DataFrame, width: int, levels: int) -> list[DataFrame]:
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for cell, part in pdf.groupby("_cell"):
-                y = _matrix(part["_y"], width)
-                has = ~np.isnan(y)
-                low, high = np.where(has, y, np.inf).min(axis=0), np.where(has, y, -np.inf).max(axis=0)
-                yield pd.DataFrame({"_cell": cell, "_axis": np.arange(width), "_low": low, "_high": high, "_holes": (~has).any(axis=0).astype(float)})
+            if not len(pdf):
+                continue
+            cell = pdf["_cell"].to_numpy()
+            order = np.argsort(cell, kind="stable")
+            y = _matrix(pdf["_y"], width)[order]
+            has = ~np.isnan(y)
+            cells, starts = np.unique(cell[order], return_index=True)
+            low = np.minimum.reduceat(np.where(has, y, np.inf), starts)
+            high = np.maximum.reduceat(np.where(has, y, -np.inf), starts)
+            holes = np.logical_or.reduceat(~has, starts).astype(float)
+            yield pd.DataFrame(
+                {"_cell": np.repeat(cells, width), "_axis": np.tile(np.arange(width), len(cells)), "_low": low.ravel(), "_high": high.ravel(), "_holes": holes.ravel()}
+            )
 
     box = [F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.max("_holes").alias("_holes")]
     long = rows.select("_cell", "_y").mapInPandas(partial, "_cell bigint, _axis int, _low double, _high double, _holes double")
@@ -311,14 +319,17 @@ def box_distances(numbers: list[np.ndarray], x: np.ndarray, metric: str) -> np.n
     width = x.shape[1]
     low, high, holes = (np.stack(numbers)[:, 1 + k * width : 1 + (k + 1) * width] for k in range(3))
     out = np.empty((len(x), len(numbers)))
-    for part in _chunks(len(x), low.size):
-        q = x[part][:, None, :]
+    for part in _chunks(len(x), len(low)):
+        q = x[part]
         has = ~np.isnan(q)
-        with np.errstate(invalid="ignore"):
-            near = np.maximum(np.maximum(low - q, q - high), 0.0)
-        near = np.where(has & (holes == 0), near, 0.0)
-        stretch = width / np.maximum(has.sum(axis=2), 1)
-        out[part] = (near ** (1 if metric == "manhattan" else 2)).sum(axis=2) * stretch
+        sums = np.zeros((len(q), len(low)))
+        for i in range(width):
+            with np.errstate(invalid="ignore"):
+                near = np.maximum(np.maximum(low[:, i] - q[:, i, None], q[:, i, None] - high[:, i]), 0.0)
+            near[~has[:, i]] = 0.0
+            near[:, holes[:, i] != 0] = 0.0
+            sums += near if metric == "manhattan" else near * near
+        out[part] = sums * (width / np.maximum(has.sum(axis=1), 1))[:, None]
     return out
 
 
@@ -389,8 +400,9 @@ def candidate_pairs(queries: DataFrame, boxes: list[DataFrame], width: int, metr
 
 def _known_shares(queries: DataFrame, width: int) -> np.ndarray:
     """For each coordinate the share of the query rows that have it."""
-    known = [F.avg(F.coalesce(~F.isnan(F.get("_x", F.lit(i))), F.lit(False)).cast("double")) for i in range(width)]
-    return np.array([v or 0.0 for v in queries.agg(*known).first()])
+    values = [F.get("_x", F.lit(i)) for i in range(width)]
+    known = queries.agg(*[F.avg((v.isNotNull() & ~F.isnan(v)).cast("double")) for v in values]).first()
+    return np.array([v or 0.0 for v in known])
 
 
 def nearest(
