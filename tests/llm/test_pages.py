@@ -75,6 +75,16 @@ def test_pages_with_an_article_are_differenced_too(pages):
     }
 
 
+def test_lines_of_its_own_outside_an_article_stay(pages):
+    """Differencing decides on the open lines of a page that marks an article, too."""
+
+    def page(i):
+        return f"<body><div>Site</div><h1>Title {i}</h1><article><p>Lead</p><p>Body {i}</p></article><div class='ad'>Buy {i}</div><div>Rights</div></body>"
+
+    got = {r["page_id"]: (r["text"], r["n_shared"], r["n_kept"]) for r in html.extraction_report(pages([(i, f"http://a.org/{i}", page(i)) for i in (1, 2)])).collect()}
+    assert got == {i: (f"Title {i}\nLead\nBody {i}", 3, 1) for i in (1, 2)}
+
+
 def link(*hosts):
     return "".join(f'<a class="x" href="https://{h}/p?q">l</a> <a href="/local">m</a>' for h in hosts)
 
