@@ -4,6 +4,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -136,3 +137,17 @@ def test_a_table_in_one_partition_is_dealt_out_and_a_level_takes_one_shuffle(spa
     monkeypatch.setattr(B, "node_splits", planned)
     assert B.fit_trees(df.coalesce(1), "features", "y", "k", settings, in_task=10).getOrDefault("trees") == want
     assert min(seen) > 1 and plans and all(p.count("Exchange") == 1 for p in plans)
+
+
+def test_a_small_table_is_learnt_in_one_task(spark, monkeypatch):
+    """All trees of it come from one job, and are those of one job a level."""
+    rng = np.random.RandomState(8)
+    x = rng.normal(size=(300, 3))
+    rows = [(i, [float(v) for v in r], float(r.sum() > 0)) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "k int, x array<double>, y double").select("k", "y", array_to_vector("x").alias("features"))
+    s = B.Settings(n_estimators=4, max_depth=4, subsample=0.7, colsample_bytree=0.7)
+    monkeypatch.setattr(B, "REFRESH_ROWS", 700)  # margins are written every second tree
+    levels = B.fit_trees(df, "features", "y", "k", s, in_task=0)
+    monkeypatch.setattr(B, "_one_tree", None)
+    whole = B.fit_trees(df, "features", "y", "k", s)
+    assert whole.getOrDefault("trees") == levels.getOrDefault("trees")

@@ -7,7 +7,10 @@ with at most ``IN_TASK`` rows goes to one task, which grows the rest of its bran
 same order among equal gains, so that the trees do not depend on which one a node took, nor on partitions: derivatives
 are rounded to whole multiples of 2^-24 of the largest one, and sums of whole numbers are exact.
 
-Every ``REFRESH`` trees the margins are written to the folder that ``spark.checkpoint.dir`` names, which cuts the lineage.
+A table with at most ``IN_TASK`` rows is one such node for every tree, so that one task grows all trees without a job for each.
+
+Every ``REFRESH`` trees, large tables more often, the margins are written to the folder that ``spark.checkpoint.dir`` names, which
+cuts the lineage and spares each pass the trees before it.
 
 Gain of a split: score(left) + score(right) - score(node), with score = t(G)^2 / (H + lambda), where t draws the sum
 of first derivatives G towards 0 by alpha. A split needs a gain above ``gamma`` and both sides ``min_child_weight``
@@ -41,8 +44,8 @@ IN_TASK = 50_000
 CELLS = 1 << 22
 #: Rows that a task works through in a pass; a table that is kept on fewer tasks than it is worth is dealt out to all cores.
 TASK_ROWS = 5_000
-#: Trees between two writes of the margins.
-REFRESH = 16
+#: Trees between two writes of the margins, at most, and trees times rows: each pass adds up the trees since the last write.
+REFRESH, REFRESH_ROWS = 16, 800_000
 #: Derivatives are whole multiples of this part of the largest one.
 _UNIT = float(1 << 24)
 _SPLIT = pa.schema([
@@ -371,6 +374,35 @@ def _one_tree(state: DataFrame, rows: int, width: int, later: list[Tree], number
     return tree
 
 
+def _in_one_task(state: DataFrame, width: int, s: Settings) -> list[Tree]:
+    """All trees of a table that is small enough for one task."""
+
+    def run(batches):
+        parts = [_columns(b, width, []) for b in batches if b.num_rows]
+        if not parts:
+            return
+        ids, y, margin, bins = (np.concatenate(c) for c in zip(*parts))
+        for number in range(s.n_estimators):
+            here = sampled(ids, number, s)
+            g, h = derivatives(y[here], margin[here], s)
+            tree = grow(bins[here], g, h, s, tree_features(width, number, s)) if here.any() else Tree(leaves={1: 0.0})
+            margin += tree.add(bins)
+            nodes = [*tree.splits, *tree.leaves]
+            split = [tree.splits.get(n, (None, None, None)) for n in nodes]
+            columns = [[number] * len(nodes), nodes, *map(list, zip(*split)), [tree.leaves.get(n) for n in nodes]]
+            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["tree", "node", "feature", "bin", "gain", "leaf"])
+
+    trees = [Tree() for _ in range(s.n_estimators)]
+    found = state.coalesce(1).mapInArrow(run, "tree int, node bigint, feature int, bin int, gain double, leaf double")
+    for r in found.toLocalIterator():  # nodes of the trees
+        if r["feature"] is None:
+            trees[r["tree"]].leaves[r["node"]] = r["leaf"]
+        else:
+            trees[r["tree"]].splits[r["node"]] = (r["feature"], r["bin"], r["gain"])
+    return trees
+
+
 # --- fit and score ------------------------------------------------------------
 
 
@@ -413,14 +445,16 @@ def fit_trees(df: DataFrame, features: str, label: str, key: str | None, s: Sett
     dealt = start.repartition(wanted) if start.rdd.getNumPartitions() < wanted else start
     dealt.write.parquet(folder)
     state = spark.read.parquet(folder)
-    trees: list[Tree] = []
+    whole = rows <= in_task
+    trees = _in_one_task(state, width, s) if whole else []
     later: list[Tree] = []
-    for number in range(s.n_estimators):
+    refresh = min(REFRESH, max(1, REFRESH_ROWS // rows))
+    for number in range(0 if whole else s.n_estimators):
         tree = _one_tree(state, rows, width, later, number, s, in_task)
         tree.arrays()
         trees.append(tree)
         later = [*later, tree]
-        if len(later) == REFRESH and number + 1 < s.n_estimators:
+        if len(later) == refresh and number + 1 < s.n_estimators:
             state, folder = _written(state, folder, width, later)
             later = []
     delete_folder(spark, folder)
